@@ -26,6 +26,7 @@ from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
 from tierlabel.session import scratch_path
 
 WEIGHT_CELLS = 1_000_000  # weights solved for at once: terms x classes of one group of classes
+DRIVER_CELLS = 4_000_000  # numbers in partial gradients that the driver adds up itself
 FAN_IN = 32  # partial gradients added up in one task
 MEMORY = 6  # steps that the quasi-Newton direction remembers
 
@@ -97,7 +98,8 @@ def _distributed_sums(
 ) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """A function from weights to (loss per class, gradient): one Spark job per call.
 
-    Each task gives one row per class; these are added up per class in groups of at most ``FAN_IN`` rows.
+    Each task gives one row per class. While all of them together are small, the driver adds them up;
+    otherwise tasks do so, per class and in groups of at most ``FAN_IN`` rows.
     """
     context = blocks.sparkSession.sparkContext
     salts = math.ceil(n_parts / FAN_IN)
@@ -122,12 +124,15 @@ def _distributed_sums(
             yield pa.RecordBatch.from_arrays(columns, names=["k", "salt", "sums"])
 
         parts = blocks.mapInArrow(partial, "k int, salt int, sums binary")
-        if salts > 1:
-            parts = parts.groupBy("k", "salt").applyInArrow(_sum_partials, "k int, salt int, sums binary")
-        parts = parts.select("k", "sums").groupBy("k").applyInArrow(_sum_partials, "k int, sums binary")
-        table = parts.toArrow().sort_by("k")
+        if n_parts * w.size > DRIVER_CELLS:
+            if salts > 1:
+                parts = parts.groupBy("k", "salt").applyInArrow(_sum_partials, "k int, salt int, sums binary")
+            parts = parts.select("k", "sums").groupBy("k").applyInArrow(_sum_partials, "k int, sums binary")
+        table = parts.select("k", "sums").toArrow()
         shared.destroy()
-        sums = np.stack([np.frombuffer(b.as_py()) for b in table["sums"].combine_chunks()], axis=1)
+        sums = np.zeros((n_terms + 1, w.shape[1]))
+        for k, partial_sums in zip(table["k"].to_pylist(), table["sums"].to_pylist()):
+            sums[:, k] += np.frombuffer(partial_sums)
         return sums[-1], sums[:-1]
 
     return evaluate

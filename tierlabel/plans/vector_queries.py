@@ -50,9 +50,9 @@ def tokenize_word_pairs(spark, sf):
 
 @query(
     "v01_tokenize_characters",
-    r"""WITH s AS (SELECT regexp_replace(lower(text), '\s\s+', ' ', 'g') AS t FROM documents)
+    r"""WITH s AS (SELECT string_split(regexp_replace(lower(text), '\s\s+', ' ', 'g'), '') AS t FROM documents)
         SELECT token, CAST(count(*) AS BIGINT) AS n FROM
-          (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS token FROM s) g GROUP BY token""",
+          (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])) AS token FROM s) g GROUP BY token""",
 )
 def tokenize_characters(spark, sf):
     found = table(spark, sf, "documents").select(F.explode(tokens(F.col("text"), "char", (3, 3))).alias("token"))
@@ -366,8 +366,8 @@ def lookup_labels(spark, sf):
 
 @query(
     "x05_detect_language",
-    """WITH g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS gram
-                  FROM (SELECT doc_id, lang, lower(text) AS t FROM documents) d),
+    """WITH g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])) AS gram
+                  FROM (SELECT doc_id, lang, string_split(lower(text), '') AS t FROM documents) d),
             c AS (SELECT lang, gram, count(*) AS c FROM g GROUP BY lang, gram),
             v AS (SELECT CAST(count(DISTINCT gram) AS DOUBLE) AS v FROM c),
             l AS (SELECT lang, ln(docs / CAST((SELECT count(*) FROM documents) AS DOUBLE)) AS prior, ln(1.0e0 / (total + v)) AS base
