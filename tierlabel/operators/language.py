@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,69 +18,58 @@ ENGLISH = "en"  # fixed value: the one language that is not translated
 
 @dataclass
 class LanguageModel:
-    """Naive Bayes over character n-grams: ``grams(gram, scores)`` and ``languages`` with priors.
+    """Naive Bayes over character n-grams.
 
-    A language's score for a text is its log prior, plus a base value per n-gram, plus what each n-gram seen
-    with that language adds. Only n-grams that occur in training have rows.
+    ``languages`` lists (name, log prior, base) in the order of the names, a handful of rows kept as values.
+    A language's score for a text is its log prior, plus its base per n-gram of the text, plus what each
+    n-gram seen with that language adds: column ``added_i`` of ``grams(gram, added_0, ...)``.
     """
 
     n: int
     grams: DataFrame
-    languages: DataFrame
+    languages: list[tuple[str, float, float]]
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str, lang: str, n: int = 3, alpha: float = 1.0) -> LanguageModel:
-        """Count n-grams of whole texts per language; both counts combine map-side before they shuffle."""
+        """Count n-grams of whole texts per language; the counts combine map-side before they shuffle."""
         known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
         grams = known.select(F.col(lang).alias("lang"), F.explode(char_ngrams(F.lower(text), n)).alias("gram"))
         counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")).persist()
-        vocabulary = counts.agg(F.count_distinct("gram").cast("double")).scalar()
-        total = counts.groupBy("lang").agg(F.sum("c").alias("total"))
-        priors = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
-        all_docs = known.agg(F.count(F.lit(1)).cast("double")).scalar()
-        languages = (
-            priors.join(total, "lang", "left")
-            .withColumn("__v", vocabulary)
-            .withColumn("__d", all_docs)
-            .select(
-                "lang",
-                F.log(F.col("docs") / F.col("__d")).alias("prior"),
-                F.log(F.lit(alpha) / (F.coalesce("total", F.lit(0)) + alpha * F.col("__v"))).alias("base"),
-            )
-        )
-        added = F.log((F.col("c") + alpha) / F.lit(alpha)).alias("added")
-        by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", added)).alias("scores"))
-        return cls(n, by_gram.persist(), languages.persist())
+        texts = {r.lang: r.n for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
+        vocabulary = counts.select("gram").distinct().count()
+        languages = [
+            (name, math.log(texts[name] / sum(texts.values())), math.log(alpha / (totals.get(name, 0) + alpha * vocabulary)))
+            for name in sorted(texts)
+        ]
+        added = F.log((F.col("c") + alpha) / F.lit(alpha))
+        wide = [F.max(F.when(F.col("lang") == name, added)).alias(f"added_{i}") for i, (name, _, _) in enumerate(languages)]
+        return cls(n, counts.groupBy("gram").agg(*wide).persist(), languages)
 
     def detect(self, df: DataFrame, id_col: str, text: str, out: str = "lang") -> DataFrame:
         """``(id, lang, score)``: the most probable language; equal scores go to the first language by name.
 
-        Texts are shuffled by id once; counting n-grams per text then stays in place. The join on the n-gram
-        has one model row per n-gram, so a frequent n-gram is a skewed left side only, which skew join
-        splits. There is one sum per text and language.
+        Texts are shuffled by id once. Counting the n-grams of a text, looking them up (one model row per
+        n-gram, broadcast when Spark measures the model as small) and summing per text then stay in place. A
+        frequent n-gram only ever skews the text side of the join, which skew join splits.
         """
-        lower = F.lower(F.col(text))
-        placed = df.select(F.col(id_col).alias("__id"), lower.alias("__t")).repartition("__id")
-        grams = placed.select("__id", F.explode(char_ngrams(F.col("__t"), self.n)).alias("gram"))
-        counted = grams.groupBy("__id", "gram").agg(F.count(F.lit(1)).alias("c"))
-        hits = counted.join(self.grams, "gram").select("__id", "c", F.explode("scores").alias("s"))
-        added = hits.groupBy("__id", F.col("s.lang").alias("lang")).agg(F.sum(F.col("c") * F.col("s.added")).alias("added"))
-        languages = self.languages.agg(F.collect_list(F.struct("lang", "prior", "base"))).scalar()
-        n_grams = F.greatest(F.coalesce(F.char_length(lower), F.lit(0)) - (self.n - 1), F.lit(0))
-        texts = df.select(F.col(id_col).alias("__id"), n_grams.alias("__n")).withColumn("__langs", languages)
-        options = texts.select("__id", "__n", F.inline("__langs"))
-        scored = options.join(added, ["__id", "lang"], "left").select(
-            "__id",
-            "lang",
-            F.round(F.col("prior") + F.col("__n") * F.col("base") + F.coalesce("added", F.lit(0.0)), 6).alias("score"),
-        )
-        return first_by_score(scored, "__id").select(F.col("__id").alias(id_col), F.col("lang").alias(out), "score")
-
-
-def first_by_score(scored: DataFrame, key: str) -> DataFrame:
-    """Per key the language of highest score, the first by name on ties."""
-    best = F.min_by("lang", F.struct(-F.col("score"), "lang")).alias("lang")
-    return scored.groupBy(key).agg(best, F.max("score").alias("score"))
+        placed = df.select(F.col(id_col).alias("__id"), F.lower(F.col(text)).alias("__t")).repartition("__id")
+        grams = placed.select("__id", F.explode_outer(char_ngrams(F.col("__t"), self.n)).alias("gram"))
+        counted = grams.groupBy("__id", "gram").agg(F.count("gram").alias("c"))
+        sums = [
+            F.sum(F.col("c") * F.coalesce(f"added_{i}", F.lit(0.0))).alias(f"sum_{i}") for i in range(len(self.languages))
+        ]
+        summed = counted.join(self.grams, "gram", "left").groupBy("__id").agg(F.sum("c").alias("n"), *sums)
+        options = [
+            F.struct(
+                F.round(F.lit(prior) + F.col("n") * F.lit(base) + F.col(f"sum_{i}"), 6).alias("score"),
+                F.lit(-i).alias("place"),
+                F.lit(name).alias("lang"),
+            )
+            for i, (name, prior, base) in enumerate(self.languages)
+        ]
+        best = summed.select("__id", F.array_max(F.array(*options)).alias("best"))
+        return best.select(F.col("__id").alias(id_col), F.col("best.lang").alias(out), F.col("best.score").alias("score"))
 
 
 def translate_non_english(
@@ -96,7 +86,7 @@ def translate_non_english(
     with unique sources; ``translator``, if given, gets the distinct texts that the memory does not have, a
     batch at a time. What is still missing passes unchanged.
     """
-    foreign = F.col(lang).isNotNull() & (F.col(lang) != ENGLISH) & F.col(text).isNotNull()
+    foreign = F.coalesce(F.col(lang) != ENGLISH, F.lit(False)) & F.col(text).isNotNull()
     known = None
     if memory is not None:
         known = memory.select(F.col("source").alias("__source"), F.col("translation").alias("__translation"))
@@ -116,7 +106,8 @@ def translate_non_english(
         known = fresh if known is None else known.unionByName(fresh)
     if known is None:
         return items.withColumn(out, F.col(text))
-    # English rows get a null key: they match nothing and need not be compared.
-    key = F.when(foreign, F.col(text))
-    joined = items.join(known, key == F.col("__source"), "left")
-    return joined.withColumn(out, F.coalesce("__translation", F.col(text))).drop("__source", "__translation")
+    # Only foreign rows take part in the join, so the many English ones are not shuffled.
+    unchanged = items.filter(~foreign).withColumn(out, F.col(text))
+    asked = items.filter(foreign).join(known, F.col(text) == F.col("__source"), "left")
+    translated = asked.withColumn(out, F.coalesce("__translation", F.col(text))).drop("__source", "__translation")
+    return unchanged.unionByName(translated)

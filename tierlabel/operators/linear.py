@@ -238,9 +238,9 @@ class LinearModel:
         rows = rows.filter(F.col("class_name").isNotNull())
         idf = tfidf_fit(rows, "__text", settings).persist()
         terms = class_table(idf, "token", "term_id", "token")
-        classes = class_table(rows, "class_name", "class_id")
-        counted = rows.groupBy("__text", "class_name").agg(F.count(F.lit(1)).alias("copies"))
-        counted = counted.join(classes, "class_name")
+        distinct = rows.groupBy("__text", "class_name").agg(F.count(F.lit(1)).alias("copies")).persist()
+        classes = class_table(distinct, "class_name", "class_id")
+        counted = distinct.join(classes, "class_name")
 
         texts = counted.select("__text").distinct()
         vectors = tfidf_transform(texts, "__text", "__text", idf, settings).join(terms, "token")
@@ -272,6 +272,7 @@ class LinearModel:
             table = pd.DataFrame({"class_id": k + first, "term_id": term_id, "weight": w[term_id, k]})
             spark.createDataFrame(table).write.mode("append").parquet(path)
         blocks.unpersist()
+        distinct.unpersist()
         tokens = terms.unionByName(
             spark.createDataFrame([(n_terms - 1, BIAS)], "term_id long, token string")
         )
