@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierlabel.operators.tables import Names, as_list, first_rows
+from tierlabel.operators.tables import Names, as_list, first_rows, lookup_join
 from tierlabel.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its lower 33 bits
@@ -96,7 +96,7 @@ def extract_labels(
         F.col("FamilyTitle").alias(family_out),
         F.lit(True).alias("__found"),
     )
-    joined = items.join(lookup, F.col(class_col) == F.col("__class"), "left")
+    joined = lookup_join(items, lookup, class_col, "__class")
     return joined.withColumn("in_taxonomy", F.coalesce("__found", F.lit(False))).drop("__class", "__found")
 
 

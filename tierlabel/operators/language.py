@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierlabel.functions.text import char_ngrams
+from tierlabel.operators.tables import lookup_join
 
 ENGLISH = "en"  # fixed value: the one language that is not translated
 
@@ -59,7 +60,8 @@ class LanguageModel:
         sums = [
             F.sum(F.col("c") * F.coalesce(f"added_{i}", F.lit(0.0))).alias(f"sum_{i}") for i in range(len(self.languages))
         ]
-        summed = counted.join(self.grams, "gram", "left").groupBy("__id").agg(F.sum("c").alias("n"), *sums)
+        model = self.grams.withColumnRenamed("gram", "__gram")
+        summed = lookup_join(counted, model, "gram", "__gram").groupBy("__id").agg(F.sum("c").alias("n"), *sums)
         options = [
             F.struct(
                 F.round(F.lit(prior) + F.col("n") * F.lit(base) + F.col(f"sum_{i}"), 6).alias("score"),
@@ -108,6 +110,6 @@ def translate_non_english(
         return items.withColumn(out, F.col(text))
     # Only foreign rows take part in the join, so the many English ones are not shuffled.
     unchanged = items.filter(~foreign).withColumn(out, F.col(text))
-    asked = items.filter(foreign).join(known, F.col(text) == F.col("__source"), "left")
+    asked = lookup_join(items.filter(foreign), known, text, "__source")
     translated = asked.withColumn(out, F.coalesce("__translation", F.col(text))).drop("__source", "__translation")
     return unchanged.unionByName(translated)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS
 from tierlabel.operators.groups import class_table, first_per_class
 from tierlabel.operators.sparse import BIAS, best_reference
+from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
 from tierlabel.session import scratch_path
 
@@ -38,7 +39,7 @@ def label_lookup(items: DataFrame, taxonomy: DataFrame, class_col: str, prefix:
         F.col("SegmentTitle").alias(f"{prefix}segment"),
         F.col("FamilyTitle").alias(f"{prefix}family"),
     )
-    return items.join(lookup, F.col(class_col) == F.col("__class"), "left").drop("__class")
+    return lookup_join(items, lookup, class_col, "__class").drop("__class")
 
 
 def _training_blocks(rows: DataFrame, max_terms: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS, chunked_best
 from tierlabel.operators.dense import DECIMALS
+from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_transform
 
 BIAS = ""  # no text has an empty token, so this one can carry a constant
@@ -189,7 +190,7 @@ def _best_in_blocks(items, text, settings, idf, vectors, ref_id, bias, n_cells,
     ).select("__text", F.col(ref_id).alias("__ref"), F.col("score").alias("__score"))
     first = vectors.agg(F.min(ref_id)).scalar()
     shown = items.withColumn("__shown", F.coalesce(F.col(text), F.lit("")))
-    joined = shown.join(best, F.col("__shown") == F.col("__text"), "left").withColumn("__first", first)
+    joined = lookup_join(shown, best, "__shown", "__text").withColumn("__first", first)
     return joined.select(
         *items.columns,
         F.coalesce("__ref", "__first").alias(ref_id),

@@ -15,6 +15,21 @@ def as_list(names: Names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Names, lookup_keys: Names, how: str = "left") -> DataFrame:
+    """Join rows, whose keys may be hot, with a table of one row per key.
+
+    A lookup that was just grouped by its key already lies where a join on that key wants it, and then Spark's
+    skew join cannot split a hot key of the rows. The hash of the keys as one more join column makes Spark shuffle
+    the small side once more (one row per key), so that it can. Small lookups are broadcast as ever.
+    """
+    keys, lookup_keys = as_list(keys), as_list(lookup_keys)
+    hashed_rows = rows.withColumn("__hash", F.xxhash64(*keys))
+    hashed_lookup = lookup.withColumn("__lookup_hash", F.xxhash64(*lookup_keys))
+    on = [F.col("__hash") == F.col("__lookup_hash")]
+    on += [hashed_rows[k] == hashed_lookup[lk] for k, lk in zip(keys, lookup_keys)]
+    return hashed_rows.join(hashed_lookup, on, how).drop("__hash", "__lookup_hash")
+
+
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Rename; names that do not occur are ignored."""
     return df.withColumnsRenamed(dict(names))
@@ -77,7 +92,7 @@ def delete_rows_not_in(target: DataFrame, source: DataFrame, target_col: str, so
     ).scalar()
     keys = source.select(F.col(source_col).alias("__key")).filter(F.col("__key").isNotNull()).distinct()
     keys = keys.withColumn("__match", F.lit(True))
-    joined = target.join(keys, target[target_col] == keys["__key"], "left").withColumn("__facts", facts)
+    joined = lookup_join(target, keys, target_col, "__key").withColumn("__facts", facts)
     survives = F.col("__match").isNotNull() | (
         (F.col("__facts.n") > 0) & (F.col("__facts.has_null") | F.col(target_col).isNull())
     )
@@ -94,8 +109,7 @@ def update_table_columns(
 ) -> DataFrame:
     """Overwrite a column where the keys match, also with null; other rows keep their value.
 
-    Two source rows with the same key make the query fail. That check is a group-by on the join keys, so
-    the join after it needs no further shuffle of the source.
+    Two source rows with the same key make the query fail; that check is a group-by on the join keys.
     """
     target_keys, source_keys = as_list(target_keys), as_list(source_keys)
     if len(target_keys) != len(source_keys):
@@ -112,9 +126,8 @@ def update_table_columns(
         F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("__match"),
         F.col("__first"),
     )
-    on = [target[t] == checked[k] for t, k in zip(target_keys, keys)]
     updated = F.when(F.col("__match"), F.col("__first")).otherwise(F.col(target_col)).alias(target_col)
-    return target.join(checked, on, "left").select(
+    return lookup_join(target, checked, target_keys, keys).select(
         *[updated if c == target_col else F.col(c) for c in target.columns]
     )
 
@@ -175,16 +188,19 @@ def split_dataset(
     prefix = F.substring("__h", 1, 4)
     by_prefix = hashed.groupBy(prefix.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     up_to = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = Window.partitionBy()
     cut = (
         by_prefix.withColumn("__cum", F.sum("__n").over(up_to))
-        .withColumn("__want", F.ceil(F.sum("__n").over(Window.partitionBy()) * F.lit(test_size)))
+        .withColumn("__want", F.ceil(F.sum("__n").over(total) * F.lit(test_size)))
         .filter((F.col("__cum") >= F.col("__want")) & (F.col("__cum") - F.col("__n") < F.col("__want")))
-        .select("__p", (F.col("__want") - F.col("__cum") + F.col("__n")).alias("__rank"))
+        .select(F.struct("__p", (F.col("__want") - F.col("__cum") + F.col("__n")).alias("__rank")).alias("__cut"))
+        .scalar()
     )
     ranked = (
-        hashed.withColumn("__p", prefix)
-        .join(cut, "__p")
-        .withColumn("__rn", F.row_number().over(Window.partitionBy("__p").orderBy("__h")))
+        hashed.withColumn("__cut", cut)
+        .filter(prefix == F.col("__cut.__p"))
+        .withColumn("__rank", F.col("__cut.__rank"))
+        .withColumn("__rn", F.row_number().over(Window.partitionBy(prefix).orderBy("__h")))
     )
     last = ranked.filter(F.col("__rn") == F.col("__rank")).agg(F.max("__h")).scalar()
     return labelled.withColumn("is_test", F.coalesce(split_key(id_col, seed) <= last, F.lit(False)))

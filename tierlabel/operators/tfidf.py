@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlabel.functions.text import tokens
+from tierlabel.operators.tables import lookup_join
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,8 @@ def tfidf_transform(
     The vocabulary joins as a broadcast when Spark measures it as small. Otherwise both sides shuffle by
     token; a frequent token has many document rows but one vocabulary row, which skew join splits.
     """
-    counted = term_counts(docs, doc_id, text, settings).join(idf.select("token", "idf"), "token")
+    vocabulary = idf.select(F.col("token").alias("__token"), "idf")
+    counted = lookup_join(term_counts(docs, doc_id, text, settings), vocabulary, "token", "__token", "inner")
     tf = F.log("tf") + 1.0 if settings.sublinear_tf else F.col("tf").cast("double")
     weighted = counted.select(doc_id, "token", (tf * F.col("idf")).alias("weight"))
     if settings.norm is None:

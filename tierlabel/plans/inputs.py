@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlabel.operators.groups import unique_table
+from tierlabel.operators.tables import lookup_join
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,8 +90,9 @@ def voters(spark: SparkSession, folder: str) -> DataFrame:
         ("brand_class", ["family", "p_size"]),
         ("clf_class", ["segment", "p_size"]),
     ):
-        first = rows.groupBy(*keys).agg(F.min_by("class", "item_id").alias(name))
-        rows = rows.join(first, keys)
+        grouped = rows.groupBy(*keys).agg(F.min_by("class", "item_id").alias(name))
+        first = grouped.withColumnsRenamed({k: f"__{k}" for k in keys})
+        rows = lookup_join(rows, first, keys, [f"__{k}" for k in keys]).drop(*first.columns[: len(keys)])
     return rows.drop("p_size")
 
 
