@@ -13,7 +13,9 @@ from tierlabel.operators.linear import LinearModel, _direction, _minimise
 from tierlabel.operators.tables import split_dataset
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
-from tierlabel.plans.ensemble import OUTPUT_COLUMNS, title_vectors, train, train_and_test
+from tierlabel.plans.ensemble import OUTPUT_COLUMNS, Ensemble, title_vectors, train, train_and_test
+from tierlabel.plans.jobs import classify_file, write_profile
+from tierlabel.sources.tables import write_csv
 from tierlabel.streaming.scoring import score_stream
 
 GPC = "row_idx long, SegmentTitle string, FamilyTitle string, ClassTitle string"
@@ -288,6 +290,27 @@ def test_ensemble_output_and_test_job(spark, small, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "predictions.csv")).count() == split.filter("is_test").count()
 
 
+def test_jobs_from_files_to_files(spark, small, tmp_path):
+    gpc, catalogue = inputs.full_taxonomy(spark, small), inputs.catalogue(spark, small)
+    model = CatalogueModel.fit(catalogue)
+    third = lambda df: df.select("*", *[F.col(f"brand_{lv}").alias(f"clf_{lv}") for lv in ("segment", "family", "class")])
+    ensemble = Ensemble(gpc, model, third, title_vectors(gpc))
+    source, out = str(tmp_path / "items.csv"), str(tmp_path / "classified")
+    names = inputs.items(spark, small).select("product_name", F.col("item_id").alias("note"))
+    write_csv(names.unionByName(names), source)
+    classify_file(spark, ensemble, source, "product_name string, note long", out)
+    found = spark.read.option("header", True).csv(out)
+    assert found.count() == names.select("product_name").distinct().count()
+    assert found.filter("pred_class IS NULL").count() == 0
+    assert found.columns == ["product_name", "note", *OUTPUT_COLUMNS[1:]]
+
+    labelled = ensemble.run(inputs.items(spark, small))
+    reports = write_profile(labelled, inputs.items(spark, small), gpc, str(tmp_path / "profile"))
+    assert len(reports) == 19
+    for name in reports:
+        assert spark.read.option("header", True).csv(str(tmp_path / "profile" / name)).count() > 0
+
+
 def test_stream_equals_batch_and_continues(spark, small, tmp_path):
     items = inputs.items(spark, small).select("item_id", "product_name")
     model = CatalogueModel.fit(inputs.catalogue(spark, small))

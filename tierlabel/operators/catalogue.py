@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tierlabel.functions.text import product_document
 from tierlabel.operators.blocks import BROADCAST_CELLS
 from tierlabel.operators.sparse import best_reference
+from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
 
 LABELS = ("Segment", "Family", "Class")
@@ -43,12 +44,13 @@ class CatalogueModel:
         scored = best_reference(
             items, text, self.settings, self.idf, self.vectors, "row_idx", broadcast_cells=broadcast_cells
         )
-        labels = self.rows.select("row_idx", *[F.col(c).alias(f"{prefix}{c.lower()}") for c in LABELS])
-        return scored.join(labels, "row_idx", "left").select(
+        labels = [F.col(c).alias(f"{prefix}{c.lower()}") for c in LABELS]
+        lookup = self.rows.select(F.col("row_idx").alias("__row"), *labels)
+        return lookup_join(scored, lookup, "__ref", "__row").select(
             *items.columns,
-            F.col("row_idx").alias(f"{prefix}row"),
-            F.col("score").alias(f"{prefix}score"),
-            (F.col("score") > 0).alias(f"{prefix}matched"),
+            F.col("__ref").alias(f"{prefix}row"),
+            F.col("__score").alias(f"{prefix}score"),
+            (F.col("__score") > 0).alias(f"{prefix}matched"),
             *[f"{prefix}{c.lower()}" for c in LABELS],
         )
 

@@ -294,8 +294,8 @@ class LinearModel:
         scored = best_reference(
             items, text, self.settings, self.idf, self.weights, "class_id", True, broadcast_cells
         )
-        named = self.classes.select("class_id", F.col("class_name").alias(f"{prefix}class"))
-        found = scored.join(named, "class_id", "left").select(*items.columns, f"{prefix}class")
+        named = self.classes.select(F.col("class_id").alias("__id"), F.col("class_name").alias(f"{prefix}class"))
+        found = lookup_join(scored, named, "__ref", "__id").select(*items.columns, f"{prefix}class")
         return found if taxonomy is None else label_lookup(found, taxonomy, f"{prefix}class", prefix)
 
     def save(self, path: str) -> None:

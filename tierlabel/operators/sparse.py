@@ -112,7 +112,7 @@ def best_reference(
     bias: bool = False,
     broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
-    """Items with ``(ref_id, score)`` of the reference of highest dot product with the text's TF-IDF vector.
+    """Items with ``__ref`` and ``__score``: the reference of highest dot product with the text's TF-IDF vector.
 
     ``vectors(ref_id, token, weight)`` are the references; with ``bias`` they also hold the empty token,
     which every text has once. A reference side of up to ``broadcast_cells`` weights is broadcast: the items
@@ -135,7 +135,7 @@ def best_reference(
     bias_term = int(postings.vocabulary.get_loc(BIAS)) if bias else -1
     shared = items.sparkSession.sparkContext.broadcast((postings, vocabulary, idf_of))
     hit = T.StructType(
-        [T.StructField(ref_id, vectors.schema[ref_id].dataType), T.StructField("score", T.DoubleType())]
+        [T.StructField("__ref", vectors.schema[ref_id].dataType), T.StructField("__score", T.DoubleType())]
     )
 
     @F.pandas_udf(hit)
@@ -147,12 +147,10 @@ def best_reference(
         if bias:
             row, term, weight = _with_bias(row, term, weight, len(distinct), bias_term)
         best, score = postings.best(row, term, weight, len(distinct))
-        return pd.DataFrame({ref_id: postings.ids.to_numpy(zero_copy_only=False)[best[places]], "score": score[places]})
+        return pd.DataFrame({"__ref": postings.ids.to_numpy(zero_copy_only=False)[best[places]], "__score": score[places]})
 
     shown = F.coalesce(F.col(text), F.lit(""))
-    return items.withColumn("__hit", search(shown, settings.tokens(shown))).select(
-        "*", f"__hit.{ref_id}", "__hit.score"
-    ).drop("__hit")
+    return items.withColumn("__hit", search(shown, settings.tokens(shown))).select("*", "__hit.*").drop("__hit")
 
 
 def _best_in_blocks(items, text, settings, idf, vectors, ref_id, bias, n_cells, block_cells) -> DataFrame:
@@ -187,12 +185,12 @@ def _best_in_blocks(items, text, settings, idf, vectors, ref_id, bias, n_cells,
         compare,
         1,
         block_cells=max(1, block_cells // 2),
-    ).select("__text", F.col(ref_id).alias("__ref"), F.col("score").alias("__score"))
+    ).select("__text", F.col(ref_id).alias("__best"), F.col("score").alias("__best_score"))
     first = vectors.agg(F.min(ref_id)).scalar()
     shown = items.withColumn("__shown", F.coalesce(F.col(text), F.lit("")))
     joined = lookup_join(shown, best, "__shown", "__text").withColumn("__first", first)
     return joined.select(
         *items.columns,
-        F.coalesce("__ref", "__first").alias(ref_id),
-        F.coalesce("__score", F.lit(0.0)).alias("score"),
+        F.coalesce("__best", "__first").alias("__ref"),
+        F.coalesce("__best_score", F.lit(0.0)).alias("__score"),
     )

@@ -61,7 +61,9 @@ class Ensemble:
     memory: DataFrame | None = None
     translator: Callable[[list[str]], list[str]] | None = None
 
-    def run(self, items: DataFrame, item_id: str = "item_id", text: str = "product_name", lang: str | None = None) -> DataFrame:
+    def run(
+        self, items: DataFrame, item_id: str = "item_id", text: str = "product_name", lang: str | None = None
+    ) -> DataFrame:
         """All items with the output columns; ``product_name`` keeps the original text.
 
         Classifiers only add columns, and each scores the items in place, so there is no join of three
@@ -78,9 +80,17 @@ class Ensemble:
         voted = vote(rows.drop("__vector"), self.taxonomy)
         return voted.drop("in_taxonomy", "translated")
 
-    def flat(self, items: DataFrame, item_id: str = "item_id", text: str = "product_name", lang: str | None = None) -> DataFrame:
-        """The fifteen output columns."""
-        return self.run(items, item_id, text, lang).withColumnRenamed(text, "product_name").select(*OUTPUT_COLUMNS)
+    def flat(
+        self,
+        items: DataFrame,
+        item_id: str = "item_id",
+        text: str = "product_name",
+        lang: str | None = None,
+        keep: tuple[str, ...] = (),
+    ) -> DataFrame:
+        """The fifteen output columns, after the columns of ``keep``."""
+        rows = self.run(items, item_id, text, lang).withColumnRenamed(text, "product_name")
+        return rows.select(*keep, *OUTPUT_COLUMNS)
 
 
 def train(
