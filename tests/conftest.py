@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tierlabel.session import local_session  # noqa: E402
+from tierlabel.session import local_session, ship_package  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,6 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = local_session(cores=8, partitions=4, memory="8g")
     session.sparkContext.setLogLevel("OFF")
+    ship_package(session)
     yield session
     session.stop()
 

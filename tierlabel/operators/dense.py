@@ -161,15 +161,18 @@ def top_k_similar(
         raise ValueError("k must be at least 1")
     rows = _with_vector(targets, target_id, target_vector)
     refs = _with_vector(references, reference_id, reference_vector)
+    refs = refs.persist()  # measured and then collected: computed once
     ref_cells = cells(refs, "__vector")
     id_type, ref_type = rows.schema[target_id].dataType, refs.schema[reference_id].dataType
     if ref_cells > broadcast_cells:
+        refs.unpersist()
         return chunked_best(
             rows, refs, target_id, reference_id, cells(rows, "__vector"), ref_cells,
             compare_tables(target_id, reference_id, k), k, block_cells=max(1, broadcast_cells // 2),
         )
 
     shared = rows.sparkSession.sparkContext.broadcast(collect_block(refs, reference_id, "__vector"))
+    refs.unpersist()
     schema = T.StructType(
         [
             T.StructField(target_id, id_type),
@@ -222,10 +225,12 @@ def cosine_scores(
     The full matrix is what this operator is asked for. The document side must fit a broadcast block, as
     a label set does; for more documents ask for the best ones with ``top_k_similar``.
     """
-    docs = _with_vector(documents, document_id, document_vector)
+    docs = _with_vector(documents, document_id, document_vector).persist()
     if cells(docs, "__vector") > BROADCAST_CELLS:
+        docs.unpersist()
         raise ValueError("too many documents for a full score matrix; use top_k_similar")
     shared = queries.sparkSession.sparkContext.broadcast(collect_block(docs, document_id, "__vector"))
+    docs.unpersist()
     schema = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),

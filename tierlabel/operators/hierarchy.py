@@ -71,12 +71,14 @@ def hierarchical_classify(
     shuffled; a larger one is searched level by level in bounded blocks.
     """
     out = [f"{prefix}{level}" for level in ("segment", "family", "class")]
-    choices = _candidates(taxonomy, vectors, labels)
+    choices = _candidates(taxonomy, vectors, labels).persist()  # measured and then collected: computed once
     n_cells = cells(choices, "vector")
     if n_cells > broadcast_cells:
+        choices.unpersist()
         return _by_level(items, choices, item_id, vector, out, n_cells, max(1, broadcast_cells // 2))
 
     table = choices.toArrow().sort_by([("level", "ascending"), ("row_idx", "ascending")]).combine_chunks()
+    choices.unpersist()
     level = table["level"].to_numpy()
     titles = np.array(table["title"].to_pylist(), dtype=object)
     children: dict[tuple[int, str | None], list[int]] = {}
