@@ -13,7 +13,7 @@ from tierlabel.operators.linear import LinearModel, _direction, _minimise
 from tierlabel.operators.tables import split_dataset
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
-from tierlabel.plans.ensemble import OUTPUT_COLUMNS, Ensemble, title_vectors, train, train_and_test
+from tierlabel.plans.ensemble import OUTPUT_COLUMNS, Ensemble, as_items, title_vectors, train, train_and_test
 from tierlabel.plans.jobs import classify_file, write_profile
 from tierlabel.sources.tables import write_csv
 from tierlabel.streaming.scoring import score_stream
@@ -304,6 +304,9 @@ def test_jobs_from_files_to_files(spark, small, tmp_path):
     assert found.filter("pred_class IS NULL").count() == 0
     assert found.columns == ["product_name", "note", *OUTPUT_COLUMNS[1:]]
 
+    one = ensemble.flat(as_items(spark, "Brand#1 red ring")).collect()
+    assert len(one) == 1 and one[0].product_name == "Brand#1 red ring" and one[0].pred_class is not None
+
     labelled = ensemble.run(inputs.items(spark, small))
     reports = write_profile(labelled, inputs.items(spark, small), gpc, str(tmp_path / "profile"))
     assert len(reports) == 19

@@ -165,9 +165,10 @@ def top_k_similar(
     ref_cells = cells(refs, "__vector")
     id_type, ref_type = rows.schema[target_id].dataType, refs.schema[reference_id].dataType
     if ref_cells > broadcast_cells:
+        row_cells = targets.count() * (refs.select(F.size("__vector")).first()[0] + 1)  # no vector of the targets is read
         refs.unpersist()
         return chunked_best(
-            rows, refs, target_id, reference_id, cells(rows, "__vector"), ref_cells,
+            rows, refs, target_id, reference_id, row_cells, ref_cells,
             compare_tables(target_id, reference_id, k), k, block_cells=max(1, broadcast_cells // 2),
         )
 

@@ -74,8 +74,9 @@ def hierarchical_classify(
     choices = _candidates(taxonomy, vectors, labels).persist()  # measured and then collected: computed once
     n_cells = cells(choices, "vector")
     if n_cells > broadcast_cells:
+        row_cells = items.count() * (choices.select(F.size("vector")).first()[0] + 1)
         choices.unpersist()
-        return _by_level(items, choices, item_id, vector, out, n_cells, max(1, broadcast_cells // 2))
+        return _by_level(items, choices, item_id, vector, out, row_cells, n_cells, max(1, broadcast_cells // 2))
 
     table = choices.toArrow().sort_by([("level", "ascending"), ("row_idx", "ascending")]).combine_chunks()
     choices.unpersist()
@@ -120,9 +121,8 @@ def _descend(vectors: pd.Series, titles: np.ndarray, matrix: np.ndarray, childre
     return chosen
 
 
-def _by_level(items, choices, item_id, vector, out, n_cells, block_cells) -> DataFrame:
+def _by_level(items, choices, item_id, vector, out, row_cells, n_cells, block_cells) -> DataFrame:
     rows = items.select(item_id, F.col(vector).alias("__vector"))
-    row_cells = cells(rows, "__vector")
     placed = rows.withColumn("__parent", F.lit(""))
     for level, name in enumerate(out):
         refs = choices.filter(F.col("level") == level).select(

@@ -229,8 +229,9 @@ class LinearModel:
 
         Equal (text, class) rows become one row with their number as weight, which leaves the objective as
         it is. ``class_weight='balanced'`` weighs the rows of a class, in its own problem, by
-        n / (classes * rows of the class). Classes are solved in groups of at most ``weight_cells`` weights,
-        so that what the driver and a task hold depends on neither the rows nor the number of classes.
+        n / (classes * rows of the class). Classes are solved in groups of at most ``weight_cells`` weights
+        (at least one class), so that what the driver and a task hold depends on neither the rows nor the
+        number of classes; bound the vocabulary with ``min_df``.
         """
         if class_weight not in (None, "balanced"):
             raise ValueError("class_weight must be None or 'balanced'")

@@ -15,6 +15,7 @@ from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS, chunked_bes
 from tierlabel.operators.dense import DECIMALS
 from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_transform
+from tierlabel.session import cut_lineage
 
 BIAS = ""  # no text has an empty token, so this one can carry a constant
 
@@ -158,6 +159,7 @@ def _best_in_blocks(items, text, settings, idf, vectors, ref_id, bias, n_cells,
     weights = tfidf_transform(texts, "__text", "__text", idf, settings)
     if bias:
         weights = weights.unionByName(texts.select("__text", F.lit(BIAS).alias("token"), F.lit(1.0).alias("weight")))
+    weights = cut_lineage(weights)  # counted and then compared: computed once
     n_weights = weights.count()
 
     def compare(chunk: pa.Table, block: pa.Table) -> pa.Table:

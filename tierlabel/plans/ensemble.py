@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlabel.operators.catalogue import CatalogueModel
@@ -39,6 +39,12 @@ OUTPUT_COLUMNS = (
 )
 
 
+def as_items(spark: SparkSession, texts: str | Sequence[str]) -> DataFrame:
+    """A text or a few texts, as typed in by a user, as items."""
+    texts = [texts] if isinstance(texts, str) else texts
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, product_name string")
+
+
 def title_vectors(taxonomy: DataFrame, dim: int = 64) -> DataFrame:
     """``(title, vector)`` for every distinct title of the taxonomy."""
     titles = taxonomy.select(F.explode(F.array("SegmentTitle", "FamilyTitle", "ClassTitle")).alias("title"))
