@@ -30,6 +30,30 @@ def test_workbook_folder(spark, tmp_path, small):
     assert rows(read) == rows(customers)
 
 
+def test_workbook_with_shared_strings_gaps_and_second_sheet(spark, tmp_path):
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="a" sheetId="7" r:id="rId9"/>'
+        '<sheet name="b" sheetId="8" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        '<Relationship Id="rId1" Target="worksheets/other.xml"/><Relationship Id="rId9" Target="/xl/worksheets/first.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>name</t></si><si><t>size</t></si><si><r><t>red </t></r><r><t>ring</t></r></si></sst>',
+        "xl/worksheets/first.xml": f'<worksheet xmlns="{main}"><sheetData>'
+        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
+        '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="C2"><v>4.5</v></c></row>'
+        '<row r="3"><c r="C3"><v>6</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/other.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>',
+    }
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as book:
+        for name, content in parts.items():
+            book.writestr(name, content)
+    got = S.read_table(spark, str(tmp_path / "book.xlsx"), "size double, name string, absent int")
+    assert rows(got) == [(4.5, "red ring", None), (6.0, None, None)]
+
+
 def test_insert_modes(spark, small):
     name = "insert_modes"
     spark.sql(f"DROP TABLE IF EXISTS {name}")

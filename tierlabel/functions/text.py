@@ -10,12 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The character classes that cleansing removes, in the order in which it removes them.
+# What cleansing deletes, and what it turns into one space. Punctuation is ASCII punctuation and
+# includes the joiners - _ / \ |.
 DIGIT_RUNS = r"[0-9]+"
-JOINERS = r"[-_/\\|]"
-PUNCTUATION = r"\p{Punct}"
-SPACE_RUNS = r"\s+"
-
+SEPARATOR_RUNS = r"[\p{Punct}\s]+"
 ANY_SPACES = r"(?U)\s+"
 
 # A word token is one or more letters, digits or underscores (one is enough).
@@ -26,10 +24,9 @@ LOW_UP_TO, MEDIUM_UP_TO, HIGH_UP_TO = 50, 75, 100
 
 
 def cleanse(text: Column) -> Column:
-    """Drop digits, turn joiners and punctuation into spaces, squeeze spaces, trim, lower-case."""
-    for pattern, by in ((DIGIT_RUNS, ""), (JOINERS, " "), (PUNCTUATION, " "), (SPACE_RUNS, " ")):
-        text = F.regexp_replace(text, pattern, by)
-    return F.lower(F.trim(text))
+    """Drop digits, turn runs of punctuation and white space into one space, trim, lower-case."""
+    without_digits = F.regexp_replace(text, DIGIT_RUNS, "")
+    return F.lower(F.trim(F.regexp_replace(without_digits, SEPARATOR_RUNS, " ")))
 
 
 @F.pandas_udf(T.StringType())
