@@ -272,7 +272,7 @@ class LinearModel:
             w = _minimise(evaluate, (n_terms, len(group)), c, tolerance, max_passes)
             term_id, k = np.nonzero(w)
             table = pd.DataFrame({"class_id": k + first, "term_id": term_id, "weight": w[term_id, k]})
-            spark.createDataFrame(table).write.mode("append").parquet(path)
+            spark.createDataFrame(table, "class_id long, term_id long, weight double").write.mode("append").parquet(path)
         blocks.unpersist()
         distinct.unpersist()
         tokens = terms.unionByName(
