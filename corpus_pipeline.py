@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierlabel.llm.common import store, table
 from tierlabel.llm.mixing import mix
+from tierlabel.llm.quality import keep_documents
 from tierlabel.llm.sharding import shard_documents
 from tierlabel.session import ship_package
 
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a quality rule go."""
+    ship_package(spark)
+    return keep_documents(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights; a document that the mix takes twice occurs twice."""
     ship_package(spark)
@@ -23,7 +30,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs)
 
 
-STAGES = [("mixing_sources", mixing_sources), ("sharding", sharding)]
+STAGES = [("quality_rules", quality_rules), ("mixing_sources", mixing_sources), ("sharding", sharding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
