@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tierlabel.llm.common import store, table
+from tierlabel.llm.minhash import drop_near_duplicates
 from tierlabel.llm.mixing import mix
 from tierlabel.llm.quality import keep_documents
 from tierlabel.llm.sharding import shard_documents
@@ -19,6 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    ship_package(spark)
+    return drop_near_duplicates(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights; a document that the mix takes twice occurs twice."""
     ship_package(spark)
@@ -30,7 +37,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mixing_sources", mixing_sources), ("sharding", sharding)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("mixing_sources", mixing_sources), ("sharding", sharding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
