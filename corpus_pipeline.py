@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tierlabel.llm.common import store, table
+from tierlabel.llm.decontaminate import drop_leaking
 from tierlabel.llm.minhash import drop_near_duplicates
 from tierlabel.llm.mixing import mix
 from tierlabel.llm.quality import keep_documents
@@ -26,6 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    ship_package(spark)
+    return drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights; a document that the mix takes twice occurs twice."""
     ship_package(spark)
@@ -37,7 +44,13 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("mixing_sources", mixing_sources), ("sharding", sharding)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing_sources", mixing_sources),
+    ("sharding", sharding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
