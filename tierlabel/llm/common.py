@@ -16,11 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
+    """A new folder in the shared one, deleted when the application ends."""
     path = scratch_path(spark, name)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
     return path
 
 
@@ -30,7 +31,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage like a checkpoint, gives column pruning and pushed filters to what follows, and tells the
     optimizer the true size, so that joins with small tables are broadcast and others are not.
     """
-    path = new_folder(df.sparkSession, name)
+    path = new_folder(df.sparkSession, name) + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
