@@ -4,20 +4,22 @@
 2. A node's signature is cut into bands; nodes with an equal band are candidates. The number of bands follows from the
    threshold and the accepted chance that a linked pair shares none (``miss``).
 3. A candidate pair's signatures are compared batch by batch. After each batch, the posterior of the similarity (uniform
-   prior) is asked for the chance that it reaches the threshold; below ``miss`` the pair is pruned.
+   prior) is asked for the chance that it reaches the threshold; below ``prune`` the pair is dropped.
 4. Survivors are verified exactly on their full shingle sets.
 5. Links are joined to components.
 
-No group is expanded into all pairs. Within a bucket, pivots are compared with all others; after that, pivots leave, and
-the others need comparing only where a link is still possible: d = 1 - similarity is a metric, so a node at distance
-over 2 * (1 - threshold) from a pivot is not linked with any node that is linked with that pivot. Members that are in
-one component already are not compared. Buckets are split and taken up again until all their members are settled, so no
-bucket is capped and no link between components is lost. The pivots of a round are members of the bucket's smallest
-components, four times as many in each round.
+Large buckets. A group of near copies, some of which are linked and most of which are not quite, fills its buckets with
+pairs that bands cannot tell apart. Members of buckets of more than ``small`` nodes therefore get exact keys in place of
+these buckets: their shingles, rarest first, of which two linked sets must share one of the first n - ceil(t n) + 1;
+and the places of a shared key in both sets bound what they can have in common. No linked pair is lost by that.
+
+No group is expanded into all pairs. In a first round each bucket's or key's members are compared with one pivot. In the
+second, members outside of the largest component of their bucket are compared with the members in other components;
+a pair within one component needs no comparing. So what is linked indirectly costs nothing, however large the group.
 
 Scale: texts are read by tasks and never shuffled; what moves is ids, 64-bit bands, signatures of half a kilobyte, and
-the shingle sets of surviving pairs. Hot keys (a set that a third of all rows share, a bucket of thousands) meet only
-in grouped sums with map-side combine and in joins that skew join splits.
+the shingles of nodes in large buckets and surviving pairs. Hot keys (a set that a third of all rows share, a bucket of
+thousands) meet only in grouped sums with map-side combine and in joins that skew join splits.
 
 Edge cases: null and empty texts, and texts without words, have no shingles and are linked with nothing; fewer than
 five words are one shingle of their own; rows that share an id share its links; a row with a null id is linked with
@@ -53,6 +55,7 @@ class NearSettings:
     rows: int = 6  # hashes in a band
     miss: float = 2e-8  # chance that a pair at the threshold shares no band
     prune: float = 1e-9  # posterior chance below which a pair is pruned
+    small: int = 4  # nodes in a bucket up to which the bucket itself is used
     id_col: str = "doc_id"
     text_col: str = "text"
 
@@ -64,11 +67,6 @@ class NearSettings:
     def hashes(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def grey_percent(self) -> int:
-        """Below it, a node is not linked with anything that is linked with the node it was compared to."""
-        return 2 * self.percent - 100
-
 
 # --- inside tasks -------------------------------------------------------------------------------------------
 
@@ -113,13 +111,13 @@ def signature(shingles: np.ndarray, salts: np.ndarray, factors: np.ndarray, step
     return (best >> np.uint32(16)).astype(np.uint16)
 
 
-def fewest_matches(settings: NearSettings, percent: int) -> list[int]:
-    """Per batch of one hash from each band's worth, the matches needed so far to stay a candidate.
+def fewest_matches(settings: NearSettings) -> list[int]:
+    """Per batch, the matches needed so far to stay a candidate. A batch is one hash of each band.
 
     With a uniform prior and m matches in n hashes, the posterior chance of a similarity of at least t is the chance of
     at most m successes in n + 1 trials of chance t.
     """
-    t, needed = percent / 100, []
+    t, needed = settings.percent / 100, []
     for n in range(settings.bands, settings.hashes + 1, settings.bands):
         total, m = 0.0, 0
         while m <= n:
@@ -188,48 +186,41 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _prune(pairs: DataFrame, nodes: DataFrame, settings: NearSettings, kind: str) -> DataFrame:
-    """Candidate pairs (lo, hi, percent) that stay possible at ``percent``, after all batches of their signatures."""
+    """The distinct candidate pairs (lo, hi) that stay possible after all batches of their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_percent = {p: fewest_matches(settings, p) for p in (settings.percent, settings.grey_percent)}
+        needed = fewest_matches(settings)
         for table in batches:
             if not len(table):
                 continue
-            a, b = _signatures(table.column(3)), _signatures(table.column(4))
             # every batch takes one hash of each band, since hashes of a shared band agree
-            a = a.reshape(len(a), settings.bands, settings.rows)
-            b = b.reshape(len(b), settings.bands, settings.rows)
-            percent = table.column(2).to_numpy(zero_copy_only=False)
-            alive = np.arange(len(table))
-            matches = np.zeros(len(table), np.int64)
+            a, b = (_signatures(table.column(i)).reshape(len(table), settings.bands, settings.rows) for i in (2, 3))
+            alive, matches = np.arange(len(table)), np.zeros(len(table), np.int64)
             for i in range(settings.rows):
                 matches += (a[alive, :, i] == b[alive, :, i]).sum(axis=1)
-                needed = np.where(percent[alive] == settings.percent, *[by_percent[p][i] for p in by_percent])
-                stays = matches >= needed
+                stays = matches >= needed[i]
                 alive, matches = alive[stays], matches[stays]
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(alive)) for c in table.columns[:3]], ["lo", "hi", "percent"])
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(alive)) for c in table.columns[:2]], ["lo", "hi"])
 
-    left = nodes.select(F.col("node").alias("lo"), F.col("n").alias("n_lo"), F.col("sig").alias("sig_lo"))
-    right = nodes.select(F.col("node").alias("hi"), F.col("n").alias("n_hi"), F.col("sig").alias("sig_hi"))
-    sized = pairs.join(left, "lo").join(right, "hi")
-    sized = sized.filter(100 * F.least("n_lo", "n_hi") >= F.col("percent") * F.greatest("n_lo", "n_hi"))
-    rows = sized.select("lo", "hi", "percent", "sig_lo", "sig_hi")
-    return store(rows.mapInArrow(run, f"lo {kind}, hi {kind}, percent int"), "near-survivors")
+    left = nodes.select(F.col("node").alias("lo"), F.col("sig").alias("sig_lo"))
+    right = nodes.select(F.col("node").alias("hi"), F.col("sig").alias("sig_hi"))
+    rows = pairs.distinct().join(left, "lo").join(right, "hi").select("lo", "hi", "sig_lo", "sig_hi")
+    return store(rows.mapInArrow(run, f"lo {kind}, hi {kind}"), "near-survivors")
 
 
 class _Sets:
-    """Shingle sets of the nodes that had to be verified so far, in the shared folder."""
+    """Shingle sets of the nodes that needed them so far, in the shared folder."""
 
     def __init__(self, docs: DataFrame, settings: NearSettings, kind: str):
         self.docs, self.settings, self.kind = docs, settings, kind
         self.parts: list[DataFrame] = []
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """(node, shingles) for all nodes of the pairs.
+    def of(self, needed: DataFrame) -> DataFrame:
+        """(node, shingles) for at least the given nodes.
 
         Texts stay where they are: tasks get a bit map of fixed size that tells (nearly) which of them are needed.
         """
-        needed = pairs.select(F.col("lo").alias("node")).union(pairs.select(F.col("hi").alias("node"))).distinct()
+        needed = needed.select("node").distinct()
         have = reduce(DataFrame.union, self.parts) if self.parts else None
         if have is not None:
             needed = needed.join(have.select("node"), "node", "left_anti")
@@ -260,31 +251,65 @@ class _Sets:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, settings: NearSettings, kind: str) -> DataFrame:
-    """(lo, hi, linked) of pairs that reach the grey percentage, by their full sets."""
+    """The pairs (a, b) that are linked by their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
-            counts = []
+            linked = []
             for a, b in zip(table.column(2), table.column(3)):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = np.sort(np.concatenate([a, b]), kind="stable")
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b)])
+                both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                counts.append((shared, len(both) - shared))
-            shared, union = np.array(counts, np.int64).reshape(-1, 2).T
-            linked = 100 * shared >= settings.percent * union
-            grey = 100 * shared >= settings.grey_percent * union
-            out = pa.RecordBatch.from_arrays([table.column(0), table.column(1), pa.array(linked)], ["lo", "hi", "linked"])
-            yield out.filter(pa.array(grey & (union > 0)))
+                linked.append(100 * shared >= settings.percent * (len(both) - shared) and shared > 0)
+            out = pa.RecordBatch.from_arrays(table.columns[:2], ["a", "b"])
+            yield out.filter(pa.array(linked, pa.bool_()))
 
     left = sets.select(F.col("node").alias("lo"), F.col("shingles").alias("set_lo"))
     right = sets.select(F.col("node").alias("hi"), F.col("shingles").alias("set_hi"))
     rows = pairs.join(left, "lo").join(right, "hi").select("lo", "hi", "set_lo", "set_hi")
-    found = rows.mapInArrow(run, f"lo {kind}, hi {kind}, linked boolean")
-    return store(found.groupBy("lo", "hi").agg(F.bool_or("linked").alias("linked")), "near-verified")
+    return store(rows.mapInArrow(run, f"a {kind}, b {kind}"), "near-links")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("lo").alias("node")).union(pairs.select(F.col("hi").alias("node")))
+
+
+def _rare_keys(dense: DataFrame, sets: DataFrame, settings: NearSettings, kind: str) -> DataFrame:
+    """(bucket, node, n, place) of the shingles, rarest first, of which linked sets must share one.
+
+    ``place`` is the number of shingles of the set that come before. Shingles of one set only come first and are counted,
+    and nothing else is done with them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            for node, shingles in zip(table.column(0), table.column(1)):
+                values = np.frombuffer(shingles.as_buffer(), np.int64)
+                owner = pa.array([node.as_py()] * len(values), table.column(0).type)
+                yield pa.RecordBatch.from_arrays([owner, pa.array(values), pa.array(np.full(len(values), len(values)))], names)
+
+    names = ["node", "shingle", "n"]
+    own = sets.join(dense, "node", "left_semi").dropDuplicates(["node", "shingles"])
+    rows = store(own.mapInArrow(run, f"node {kind}, shingle long, n long"), "near-shingles")
+    shared = store(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-frequencies")
+    known = rows.join(shared, "shingle")
+    order = Window.partitionBy("node", "n").orderBy("df", "shingle")
+    ranked = known.select(
+        "node",
+        "n",
+        "shingle",
+        F.row_number().over(order).alias("rank"),
+        F.count(F.lit(1)).over(Window.partitionBy("node", "n")).alias("known"),
+    )
+    place = F.col("n") - F.col("known") + F.col("rank") - 1
+    keys = ranked.select(F.xxhash64("shingle", F.lit("key")).alias("bucket"), "node", "n", place.alias("place"))
+    return keys.filter(100 * (F.col("n") - F.col("place")) >= settings.percent * F.col("n"))
 
 
-def _ordered(a, b, *more):
-    return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), *more]
+def _possible(settings: NearSettings, n: str, place: str, other_n: str, other_place: str):
+    """Whether two sets can reach the threshold, given the places of a key that is the first they share."""
+    most = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place))
+    return (100 + settings.percent) * most >= settings.percent * (F.col(n) + F.col(other_n))
 
 
 def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) -> tuple[DataFrame, DataFrame]:
@@ -293,57 +318,59 @@ def near_components(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     sketches = _sketches(docs, settings)
     named = sketches.filter("key IS NOT NULL AND id IS NOT NULL")
     first = named.groupBy("key").agg(F.min("id").alias("id"))
-    nodes = store(named.join(first, ["key", "id"], "left_semi").select(F.col("id").alias("node"), "n", "sig").distinct(), "near-nodes")
-    members = store(_band_rows(nodes, settings, kind), "near-bands")
-    sizes = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("k"))
-    buckets = store(sizes.filter("k > 1 AND pivot != last"), "near-buckets")
+    nodes = named.join(first, ["key", "id"], "left_semi").select(F.col("id").alias("node"), "n", "sig")
+    nodes = store(nodes.dropDuplicates(["node", "sig"]), "near-nodes")
+    bands = store(_band_rows(nodes, settings, kind), "near-bands")
+    sizes = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("k"))
+    buckets = store(sizes.filter("k > 1 AND first != last"), "near-buckets")
+    members = store(bands.join(buckets, "bucket").select("bucket", "node", "k"), "near-members")
+    dense = store(members.filter(F.col("k") > settings.small).select("node").distinct(), "near-dense")
+    few = members.filter(F.col("k") <= settings.small).join(nodes.select("node", "n"), "node")
+    few = store(few.select("bucket", "node", "n", F.lit(0).cast("long").alias("place")).distinct(), "near-few")
     sets = _Sets(docs, settings, kind)
 
-    # Round 0: the smallest node of each bucket against the others. Buckets of two are settled by it.
-    twos = buckets.filter("k = 2").select(F.col("pivot").alias("lo"), F.col("last").alias("hi"), F.lit(settings.percent).alias("percent"))
-    active = store(
-        members.join(buckets.filter("k > 2").select("bucket", "pivot"), "bucket").filter("node != pivot").distinct(), "near-active"
-    )
-    compared, comps, pivots = active, None, 1
-    pairs = twos.union(compared.select(*_ordered("pivot", "node", F.lit(settings.grey_percent).alias("percent"))))
-    while True:
-        pairs = pairs.groupBy("lo", "hi").agg(F.min("percent").cast("int").alias("percent"))
-        survivors = _prune(pairs, nodes, settings, kind)
-        verified = _verify(survivors, sets.of(survivors), settings, kind)
-        links = verified.filter("linked").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        if comps is not None:
-            links = links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        comps = store(components(links), "near-components")
-
-        # What is not settled: members near one pivot with those that may be linked with these, and members near none.
-        told = compared.select("bucket", "node", *_ordered("pivot", "node"), "pivot").join(verified, ["lo", "hi"])
-        near = told.filter("linked").groupBy("bucket", "node").agg(F.min("pivot").alias("own"))
-        left = active.select("bucket", "node").distinct()
-        if pivots > 1:
-            left = left.join(compared.select("bucket", F.col("pivot").alias("node")).distinct(), ["bucket", "node"], "left_anti")
-        none = left.join(near, ["bucket", "node"], "left_anti").select(F.xxhash64("bucket", F.lit("none")).alias("bucket"), "node")
-        by_pivot = told.select(F.xxhash64("bucket", "pivot").alias("bucket"), "node")
-        if pivots > 1:
-            by_pivot = told.join(left, ["bucket", "node"], "left_semi").select(F.xxhash64("bucket", "pivot").alias("bucket"), "node")
-        rest = none.union(by_pivot).distinct().join(comps, "node", "left")
-        rest = store(rest.withColumn("component", F.coalesce("component", "node")), "near-rest")
-        open_buckets = rest.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open")).filter("open")
-        active = store(rest.join(open_buckets, "bucket", "left_semi"), "near-active")
-        if active.isEmpty():
-            return sketches, comps
-
-        # The next pivots: members of the smallest components of each bucket.
-        pivots *= 4
-        in_bucket = active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        order = Window.partitionBy("bucket").orderBy("size", "component", "node")
-        ranked = active.join(in_bucket, ["bucket", "component"]).withColumn("rank", F.row_number().over(order))
-        chosen = ranked.filter(F.col("rank") <= pivots).select(
-            "bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component")
+    def pairs_of(rows: DataFrame, others: DataFrame, when=F.lit(True)) -> DataFrame:
+        joined = rows.join(others, "bucket").filter(_possible(settings, "n", "place", "other_n", "other_place"))
+        joined = joined.filter((F.col("node") != F.col("other")) & when)
+        return joined.select(F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"))
+
+    def stars(rows: DataFrame) -> DataFrame:
+        """Each member with the pivot of its bucket, the one in which the key comes first."""
+        pivots = store(rows.groupBy("bucket").agg(F.min(F.struct("place", "node", "n")).alias("p"), F.count(F.lit(1)).alias("k")), "near-pivots")
+        pivots = pivots.filter("k > 1").select(
+            "bucket", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.place").alias("other_place")
         )
-        # a bucket in which every pair with a pivot lies within one component loses these pivots all the same
-        compared = store(active.join(chosen, "bucket").filter("node != pivot"), "near-compared")
-        apart = compared.filter("component != pivot_component")
-        pairs = apart.select(*_ordered("pivot", "node", F.lit(settings.grey_percent).alias("percent")))
+        return pairs_of(rows, pivots)
+
+    # First round: every member with one pivot.
+    near = _prune(stars(few), nodes, settings, kind)
+    of_dense = sets.of(dense.union(_ends(near)))
+    keys = store(_rare_keys(dense, of_dense, settings, kind), "near-keys")
+    near_keys = _prune(stars(keys), nodes, settings, kind)
+    links = _verify(near.union(near_keys).distinct(), sets.of(_ends(near)), settings, kind)
+    comps = store(components(links), "near-components")
+
+    # Second round: members outside of the largest component of their bucket, with all in other components.
+    rest = few.union(keys).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = store(rest, "near-rest")
+    by_component = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = by_component.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
+    largest = store(largest.filter("parts > 1").select("bucket", F.col("m.component").alias("largest")), "near-open")
+    still = store(rest.join(largest, "bucket"), "near-open")
+    others = still.select(
+        "bucket",
+        *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "component")],
+        F.col("node").alias("other"),
+        (F.col("component") != F.col("largest")).alias("other_apart"),
+    )
+    apart = F.col("component") != F.col("other_component")
+    once = ~F.col("other_apart") | (F.col("node") < F.col("other"))  # two members that are both outside meet twice
+    near = _prune(pairs_of(still.filter("component != largest"), others, apart & once), nodes, settings, kind)
+    more = _verify(near, sets.of(_ends(near)), settings, kind)
+    if more.isEmpty():
+        return sketches, comps
+    old = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return sketches, store(components(more.union(old)), "near-components")
 
 
 def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
