@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierlabel.functions.text import tokens
-from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS, cells, chunked_best
+from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS, cells
+from tierlabel.operators.groups import renumber_ids
+from tierlabel.session import cut_lineage
 
 DECIMALS = 9  # scores are rounded before they are compared, so that the order of a sum cannot change a rank
 
@@ -91,12 +93,22 @@ def unit_rows(table: np.ndarray) -> np.ndarray:
     return table / np.where(norm == 0, 1.0, norm)
 
 
-def unit_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow column of equally long vectors as a matrix of unit rows in double precision."""
+def unit_matrix(vectors: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
+    """An Arrow column of equally long vectors as a matrix of unit rows in double precision.
+
+    Vectors of different lengths, or not of length ``dim``, and vectors with nulls inside are errors.
+    """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return unit_rows(flat.reshape(len(vectors), -1)) if len(vectors) else np.empty((0, 0))
+    if not len(vectors):
+        return np.empty((0, dim or 0))
+    lengths = set(vectors.value_lengths().to_pylist())
+    if len(lengths) > 1 or (dim is not None and lengths != {dim}):
+        raise ValueError(f"vectors must all have length {dim or min(lengths)}, found {sorted(lengths)}")
+    flat = vectors.flatten()
+    if flat.null_count:
+        raise ValueError("a vector holds a null")
+    return unit_rows(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1))
 
 
 def _best_k(scores: np.ndarray, k: int) -> np.ndarray:
@@ -106,35 +118,117 @@ def _best_k(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
 
 
-def _compare(rows: np.ndarray, refs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best columns and their rounded scores, a bounded number of scores at a time."""
-    step = max(1, SCORE_CELLS // len(refs))
-    columns, values = [], []
-    for at in range(0, len(rows), step):
-        scores = np.round(rows[at : at + step] @ refs.T, DECIMALS) + 0.0
-        best = _best_k(scores, k)
-        columns.append(best)
-        values.append(np.take_along_axis(scores, best, axis=1))
-    return np.vstack(columns), np.vstack(values)
-
+def collect_block(refs: DataFrame, order: str, vector: str, *columns: str) -> tuple:
+    """Columns and the matrix of a reference side whose size has been checked, in rising order."""
+    block = refs.select(*dict.fromkeys([order, vector, *columns])).toArrow().sort_by(order)
+    return *[block[c].combine_chunks() for c in columns], unit_matrix(block[vector])
 
-def compare_tables(row_id: str, ref_id: str, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Comparison of one chunk with one block, both with their vectors in ``__vector``."""
 
-    def compare(chunk: pa.Table, block: pa.Table) -> pa.Table:
-        block = block.sort_by(ref_id)
-        best, scores = _compare(unit_matrix(chunk["__vector"]), unit_matrix(block["__vector"]), k)
-        row = pa.array(np.repeat(np.arange(len(chunk)), best.shape[1]))
-        ids = chunk[row_id].combine_chunks().take(row), block[ref_id].combine_chunks().take(pa.array(best.ravel()))
-        return pa.table([*ids, pa.array(scores.ravel())], names=["row", "ref", "score"])
+def _blocks(refs: DataFrame, order: str, limit: int) -> Iterator[DataFrame]:
+    """A reference side in pieces of at most ``limit`` numbers, in rising order."""
+    refs = refs.persist()  # measured and then collected: computed once
+    total = cells(refs, "__vector")
+    if total <= limit:
+        yield refs
+        refs.unpersist()
+        return
+    numbered = cut_lineage(renumber_ids(refs.withColumn("__at", F.lit(0)), "__at", order))
+    refs.unpersist()
+    n = numbered.count()
+    step = max(1, n * limit // (2 * total))
+    for first in range(0, n, step):
+        yield numbered.filter((F.col("__at") > first) & (F.col("__at") <= first + step))
 
-    return compare
 
+def best_matches(
+    rows: DataFrame,
+    refs: DataFrame,
+    k: int,
+    order: str,
+    value: str,
+    within: str | None = None,
+    broadcast_cells: int = BROADCAST_CELLS,
+) -> DataFrame:
+    """Rows with ``__refs`` and ``__scores``: of the ``k`` best references the column ``value``, and the scores.
 
-def collect_block(refs: DataFrame, ref_id: str, vector: str) -> tuple[pa.Array, np.ndarray]:
-    """Ids in rising order and the matrix of a reference side whose size has been checked."""
-    block = refs.select(ref_id, vector).toArrow().sort_by(ref_id)
-    return block[ref_id].combine_chunks(), unit_matrix(block[vector])
+    Both sides have their vectors in ``__vector``; a row without one, or without references, has nulls and minus
+    infinity. Rows stay where they are and need no key: the references pass by in blocks of at most ``broadcast_cells``
+    numbers, and each block's matches are merged into those so far. Equal scores go to the reference that is first in
+    ``order``. With ``within``, only references whose column of that name is equal are compared.
+    """
+    ref_type = refs.schema[value].dataType
+    found = rows.withColumn("__refs", F.lit(None).cast(T.ArrayType(ref_type)))
+    found = found.withColumn("__scores", F.lit(None).cast("array<double>"))
+    names = found.columns
+    at_vector, at_within = names.index("__vector"), names.index(within) if within else -1
+    columns = [value, within] if within else [value]
+    for number, block in enumerate(_blocks(refs, order, broadcast_cells)):
+        shared = rows.sparkSession.sparkContext.broadcast(collect_block(block, order, "__vector", *columns))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, *parents, matrix = shared.value
+            step = max(1, SCORE_CELLS // max(1, len(ids)))
+            options = _by_parent(parents[0]) if parents else None
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
+                    score, column = _block_best(part.column(at_vector), part.column(at_within) if within else None, matrix, options, k)
+                    refs, scores = _merged(part.column(len(names) - 2), part.column(len(names) - 1), ids, score, column, k)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-2], refs, scores], names)
+
+        found = found.mapInArrow(search, found.schema)
+        if number % 8 == 7:  # as many passes in one stage at most
+            found = cut_lineage(found)
+            shared.destroy()
+    return found
+
+
+def _by_parent(parents: pa.Array) -> dict:
+    places: dict = {}
+    for i, p in enumerate(parents.to_pylist()):
+        places.setdefault(p, []).append(i)
+    return {p: np.array(own) for p, own in places.items()}
+
+
+def _block_best(
+    vectors: pa.Array, parents: pa.Array | None, matrix: np.ndarray, options: dict | None, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and columns of the ``k`` best references of a block per row; minus infinity where there are fewer."""
+    n = len(vectors)
+    scores, columns = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+    present = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    if not len(present) or not len(matrix):
+        return scores, columns
+    given = unit_matrix(vectors.take(pa.array(present)), matrix.shape[1])
+    groups = [(np.arange(len(present)), np.arange(len(matrix)))]
+    if options is not None:
+        own = pd.Series(parents.take(pa.array(present)).to_pylist(), dtype=object)
+        groups = [(rows.to_numpy(), options[p]) for p, rows in own.groupby(own).groups.items() if p in options]
+    for rows, refs in groups:
+        values = np.round(given[rows] @ matrix[refs].T, DECIMALS) + 0.0
+        best = _best_k(values, k)
+        scores[present[rows], : best.shape[1]] = np.take_along_axis(values, best, axis=1)
+        columns[present[rows], : best.shape[1]] = refs[best]
+    return scores, columns
+
+
+def _merged(
+    refs: pa.Array, scores: pa.Array, ids: pa.Array, score: np.ndarray, column: np.ndarray, k: int
+) -> tuple[pa.Array, pa.Array]:
+    """The ``k`` best of the matches so far and those of a block; earlier ones first if equal."""
+    n = len(score)
+    if scores.null_count:  # nothing yet
+        old, values, places = pa.array([], ids.type), score, column
+    else:
+        old = refs.flatten()
+        values = np.hstack([scores.flatten().to_numpy().reshape(n, k), score])
+        places = np.hstack([np.arange(n * k).reshape(n, k), column + n * k])
+    best = np.argsort(-values, axis=1, kind="stable")[:, :k]
+    values, places = np.take_along_axis(values, best, axis=1), np.take_along_axis(places, best, axis=1)
+    taken = pa.array(places.ravel(), mask=np.isneginf(values).ravel())
+    offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+    every = pa.concat_arrays([old.cast(ids.type), ids])
+    return pa.ListArray.from_arrays(offsets, every.take(taken)), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
 
 
 def _with_vector(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -153,49 +247,22 @@ def top_k_similar(
 ) -> DataFrame:
     """The ``k`` references of highest cosine for each target: ``(target, reference, score, rank)``.
 
-    Equal scores (to nine decimals) go to the lowest reference id. Up to ``broadcast_cells`` numbers the
-    reference matrix is broadcast and the targets are not shuffled at all; beyond that both sides are
-    compared in bounded blocks. Null vectors have no neighbours.
+    Equal scores (to nine decimals) go to the lowest reference id. Each target row is searched on its own, whatever
+    its id; null vectors have no neighbours. Targets are not shuffled, see :func:`best_matches`.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     rows = _with_vector(targets, target_id, target_vector)
     refs = _with_vector(references, reference_id, reference_vector)
-    refs = refs.persist()  # measured and then collected: computed once
-    ref_cells = cells(refs, "__vector")
-    id_type, ref_type = rows.schema[target_id].dataType, refs.schema[reference_id].dataType
-    if ref_cells > broadcast_cells:
-        row_cells = targets.count() * (refs.select(F.size("__vector")).first()[0] + 1)  # no vector of the targets is read
-        refs.unpersist()
-        return chunked_best(
-            rows, refs, target_id, reference_id, row_cells, ref_cells,
-            compare_tables(target_id, reference_id, k), k, block_cells=max(1, broadcast_cells // 2),
-        )
-
-    shared = rows.sparkSession.sparkContext.broadcast(collect_block(refs, reference_id, "__vector"))
-    refs.unpersist()
-    schema = T.StructType(
-        [
-            T.StructField(target_id, id_type),
-            T.StructField(reference_id, ref_type),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("rank", T.IntegerType()),
-        ]
+    found = best_matches(rows, refs, k, reference_id, reference_id, broadcast_cells=broadcast_cells)
+    hits = found.select(target_id, F.posexplode(F.arrays_zip("__refs", "__scores")).alias("__place", "__hit"))
+    return hits.filter(F.col("__hit.__scores") > float("-inf")).select(
+        target_id,
+        F.col("__hit.__refs").alias(reference_id),
+        F.col("__hit.__scores").alias("score"),
+        (F.col("__place") + 1).alias("rank"),
     )
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        for batch in batches:
-            if len(batch) and len(ids):
-                best, scores = _compare(unit_matrix(batch.column(1)), matrix, k)
-                width = best.shape[1]
-                row = pa.array(np.repeat(np.arange(len(batch)), width))
-                rank = np.tile(np.arange(1, width + 1, dtype=np.int32), len(batch))
-                columns = [batch.column(0).take(row), ids.take(pa.array(best.ravel())), scores.ravel(), rank]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.fieldNames())
-
-    return rows.mapInArrow(search, schema)
-
 
 def cosine_top1(
     targets: DataFrame,
@@ -220,18 +287,16 @@ def cosine_scores(
     document_id: str = "reference_id",
     query_vector: str = "vector",
     document_vector: str = "vector",
+    at_least: float | None = None,
+    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
-    """Every query against every document: ``(query, document, score)``.
+    """Every query against every document: ``(query, document, score)``, or the pairs that reach ``at_least``.
 
-    The full matrix is what this operator is asked for. The document side must fit a broadcast block, as
-    a label set does; for more documents ask for the best ones with ``top_k_similar``.
+    The full matrix is what this operator is asked for without a threshold; for the best ones use ``top_k_similar``.
+    Documents pass by in blocks, one pass over the queries each.
     """
-    docs = _with_vector(documents, document_id, document_vector).persist()
-    if cells(docs, "__vector") > BROADCAST_CELLS:
-        docs.unpersist()
-        raise ValueError("too many documents for a full score matrix; use top_k_similar")
-    shared = queries.sparkSession.sparkContext.broadcast(collect_block(docs, document_id, "__vector"))
-    docs.unpersist()
+    asked = _with_vector(queries, query_id, query_vector)
+    known = _with_vector(documents, document_id, document_vector)
     schema = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),
@@ -239,20 +304,24 @@ def cosine_scores(
             T.StructField("score", T.DoubleType()),
         ]
     )
+    result = None
+    for block in _blocks(known, document_id, broadcast_cells):
+        shared = queries.sparkSession.sparkContext.broadcast(collect_block(block, document_id, "__vector", document_id))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        step = max(1, SCORE_CELLS // max(1, len(ids)))
-        for batch in batches:
-            for at in range(0, len(batch) if len(ids) else 0, step):
-                part = batch.slice(at, step)
-                values = np.round(unit_matrix(part.column(1)) @ matrix.T, DECIMALS) + 0.0
-                row = pa.array(np.repeat(np.arange(len(part)), len(ids)))
-                col = pa.array(np.tile(np.arange(len(ids)), len(part)))
-                columns = [part.column(0).take(row), ids.take(col), pa.array(values.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
-
-    return _with_vector(queries, query_id, query_vector).mapInArrow(score, schema)
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            step = max(1, SCORE_CELLS // max(1, len(ids)))
+            for batch in batches:
+                for at in range(0, len(batch) if len(ids) else 0, step):
+                    part = batch.slice(at, step)
+                    values = np.round(unit_matrix(part.column(1), matrix.shape[1]) @ matrix.T, DECIMALS) + 0.0
+                    row, col = np.nonzero(values >= (-np.inf if at_least is None else at_least))
+                    columns = [part.column(0).take(pa.array(row)), ids.take(pa.array(col)), pa.array(values[row, col])]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+        scored = asked.mapInArrow(score, schema)
+        result = scored if result is None else result.union(scored)
+    return result
 
 
 def text_scores(

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS, cells, chunked_best
-from tierlabel.operators.dense import DECIMALS, compare_tables, top_k_similar, unit_matrix, unit_rows
+from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS, cells
+from tierlabel.operators.dense import DECIMALS, best_matches, unit_matrix, unit_rows
 from tierlabel.operators.groups import distinct_children, distinct_titles
 
 
@@ -21,18 +21,20 @@ def classify(
     item_id: str = "item_id",
     vector: str = "vector",
     is_max: bool = True,
+    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """``(item_id, label, score)``: the label of highest (or lowest) cosine, the first one on ties.
 
-    ``labels(row_idx, label, vector)``. One label is given to every item.
+    ``labels(row_idx, label, vector)``. Every item gives one row; without a vector its label and score are null.
     """
-    names = labels.select("row_idx", "label")
-    refs = labels.select("row_idx", "vector")
+    refs = labels.select("row_idx", "label", F.col("vector").alias("__vector")).filter("__vector IS NOT NULL")
     if not is_max:
-        refs = refs.withColumn("vector", F.transform("vector", lambda x: -x))
-    best = top_k_similar(items, refs, 1, item_id, "row_idx", vector, "vector")
-    score = F.col("score") if is_max else F.lit(0.0) - F.col("score")
-    return best.join(names, "row_idx").select(item_id, "label", score.alias("score"))
+        refs = refs.withColumn("__vector", F.transform("__vector", lambda x: -x))
+    rows = items.select(item_id, F.col(vector).alias("__vector"))
+    found = best_matches(rows, refs, 1, "row_idx", "label", broadcast_cells=broadcast_cells)
+    value = F.get("__scores", F.lit(0))
+    score = F.when(value > float("-inf"), value if is_max else F.lit(0.0) - value)
+    return found.select(item_id, F.get("__refs", F.lit(0)).alias("label"), score.alias("score"))
 
 
 def _candidates(taxonomy: DataFrame, vectors: DataFrame, labels: Sequence[str] | None) -> DataFrame:
@@ -67,16 +69,15 @@ def hierarchical_classify(
     The segment is chosen from all segment titles (or ``labels``), the family among the children of that
     segment, the class among the children of that family title. ``vectors(title, vector)`` has one vector per
     title, made once; a title without a vector is no candidate, and an item without candidates or without a
-    vector gets null. A taxonomy of up to ``broadcast_cells`` numbers is broadcast and the items are not
-    shuffled; a larger one is searched level by level in bounded blocks.
+    vector gets null. Items are never shuffled and need no id: a taxonomy of up to ``broadcast_cells`` numbers is
+    broadcast as one, a larger one passes by level by level in bounded blocks.
     """
     out = [f"{prefix}{level}" for level in ("segment", "family", "class")]
     choices = _candidates(taxonomy, vectors, labels).persist()  # measured and then collected: computed once
     n_cells = cells(choices, "vector")
     if n_cells > broadcast_cells:
-        row_cells = items.count() * (choices.select(F.size("vector")).first()[0] + 1)
         choices.unpersist()
-        return _by_level(items, choices, item_id, vector, out, row_cells, n_cells, max(1, broadcast_cells // 2))
+        return _by_level(items, choices, vector, out, broadcast_cells)
 
     table = choices.toArrow().sort_by([("level", "ascending"), ("row_idx", "ascending")]).combine_chunks()
     choices.unpersist()
@@ -121,26 +122,12 @@ def _descend(vectors: pd.Series, titles: np.ndarray, matrix: np.ndarray, childre
     return chosen
 
 
-def _by_level(items, choices, item_id, vector, out, row_cells, n_cells, block_cells) -> DataFrame:
-    rows = items.select(item_id, F.col(vector).alias("__vector"))
-    placed = rows.withColumn("__parent", F.lit(""))
+def _by_level(items: DataFrame, choices: DataFrame, vector: str, out: Sequence[str], broadcast_cells: int) -> DataFrame:
+    placed = items.withColumn("__vector", F.col(vector)).withColumn("__parent", F.lit(""))
     for level, name in enumerate(out):
         refs = choices.filter(F.col("level") == level).select(
             "row_idx", F.coalesce("parent", F.lit("")).alias("__parent"), "title", F.col("vector").alias("__vector")
         )
-        asked = placed.filter(F.col("__parent").isNotNull() & F.col("__vector").isNotNull())
-        best = chunked_best(
-            asked.select(item_id, "__vector", "__parent"),
-            refs.drop("title"),
-            item_id,
-            "row_idx",
-            row_cells,
-            n_cells,
-            compare_tables(item_id, "row_idx", 1),
-            1,
-            within="__parent",
-            block_cells=block_cells,
-        )
-        found = best.join(refs.select("row_idx", F.col("title").alias(name)), "row_idx").select(item_id, name)
-        placed = placed.join(found, item_id, "left").withColumn("__parent", F.col(name))
-    return items.join(placed.select(item_id, *out), item_id, "left").select(*items.columns, *out)
+        found = best_matches(placed, refs.filter("__vector IS NOT NULL"), 1, "row_idx", "title", "__parent", broadcast_cells)
+        placed = found.withColumn(name, F.get("__refs", F.lit(0))).drop("__refs", "__scores").withColumn("__parent", F.col(name))
+    return placed.drop("__vector", "__parent")

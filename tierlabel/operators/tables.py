@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 Names = str | Sequence[str]
@@ -15,16 +16,42 @@ def as_list(names: Names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which two keys can be compared without loss of either; an error if there is none."""
+    if a == b:
+        return a
+    whole = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+    digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+    kinds = {type(a), type(b)}
+    if kinds <= set(whole):
+        return max(a, b, key=lambda t: whole.index(type(t)))
+    if kinds <= {T.DecimalType, *whole}:
+        sides = [(t.precision, t.scale) if isinstance(t, T.DecimalType) else (digits[type(t)], 0) for t in (a, b)]
+        scale = max(s for _, s in sides)
+        precision = max(p - s for p, s in sides) + scale
+        if precision <= 38:
+            return T.DecimalType(precision, scale)
+    elif kinds <= {T.FloatType, T.DoubleType, *whole[:3]}:
+        return T.DoubleType()
+    elif kinds == {T.DateType, T.TimestampType}:
+        return T.TimestampType()
+    elif kinds <= {T.StringType, T.VarcharType, T.CharType}:
+        return T.StringType()
+    raise TypeError(f"keys of types {a.simpleString()} and {b.simpleString()} have no common type")
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Names, lookup_keys: Names, how: str = "left") -> DataFrame:
     """Join rows, whose keys may be hot, with a table of one row per key.
 
     A lookup that was just grouped by its key already lies where a join on that key wants it, and then Spark's
     skew join cannot split a hot key of the rows. The hash of the keys as one more join column makes Spark shuffle
-    the small side once more (one row per key), so that it can. Small lookups are broadcast as ever.
+    the small side once more (one row per key), so that it can. Small lookups are broadcast as ever. Equal values of
+    different types hash differently, so both sides are hashed in their common type.
     """
     keys, lookup_keys = as_list(keys), as_list(lookup_keys)
-    hashed_rows = rows.withColumn("__hash", F.xxhash64(*keys))
-    hashed_lookup = lookup.withColumn("__lookup_hash", F.xxhash64(*lookup_keys))
+    types = [common_type(rows.schema[k].dataType, lookup.schema[lk].dataType) for k, lk in zip(keys, lookup_keys, strict=True)]
+    hashed_rows = rows.withColumn("__hash", F.xxhash64(*[F.col(k).cast(t) for k, t in zip(keys, types)]))
+    hashed_lookup = lookup.withColumn("__lookup_hash", F.xxhash64(*[F.col(k).cast(t) for k, t in zip(lookup_keys, types)]))
     on = [F.col("__hash") == F.col("__lookup_hash")]
     on += [hashed_rows[k] == hashed_lookup[lk] for k, lk in zip(keys, lookup_keys)]
     return hashed_rows.join(hashed_lookup, on, how).drop("__hash", "__lookup_hash")
