@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,11 +37,21 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _without_marks(text: pd.Series) -> pd.Series:
-    def strip(s: str | None) -> str | None:
-        return s if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+def _nfkd(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKD")
 
-    return text.map(strip, na_action="ignore")
+
+@cache
+def _marks() -> str:
+    """A pattern of all characters with a combining class, as ranges."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    starts = [c for c, before in zip(found, [-1, *found]) if c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], -1]) if c + 1 != after]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"
+
+
+def _without_marks(text: Column) -> Column:
+    return F.regexp_replace(_nfkd(text), _marks(), "")
 
 
 def unicode_clean(text: Column) -> Column:

@@ -11,7 +11,7 @@ from tierlabel.functions.text import product_document
 from tierlabel.operators.blocks import BROADCAST_CELLS
 from tierlabel.operators.sparse import best_reference
 from tierlabel.operators.tables import lookup_join
-from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
+from tierlabel.operators.tfidf import TfidfSettings, load_settings, save_settings, tfidf_fit, tfidf_transform
 
 LABELS = ("Segment", "Family", "Class")
 
@@ -44,6 +44,9 @@ class CatalogueModel:
         scored = best_reference(
             items, text, self.settings, self.idf, self.vectors, "row_idx", broadcast_cells=broadcast_cells
         )
+        # without any known token: the first row, whether or not it has a vector
+        nothing = F.col("__score") == 0
+        scored = scored.withColumn("__ref", F.when(nothing, self.rows.agg(F.min("row_idx")).scalar()).otherwise(F.col("__ref")))
         labels = [F.col(c).alias(f"{prefix}{c.lower()}") for c in LABELS]
         lookup = self.rows.select(F.col("row_idx").alias("__row"), *labels)
         return lookup_join(scored, lookup, "__ref", "__row").select(
@@ -57,8 +60,9 @@ class CatalogueModel:
     def save(self, path: str) -> None:
         for name in ("idf", "vectors", "rows"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        save_settings(self.idf.sparkSession, self.settings, path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, settings: TfidfSettings = TfidfSettings()) -> CatalogueModel:
-        """Read a saved model; a missing one is an error. The settings are those it was fitted with."""
-        return cls(settings, *[spark.read.parquet(f"{path}/{name}") for name in ("idf", "vectors", "rows")])
+    def load(cls, spark: SparkSession, path: str) -> CatalogueModel:
+        """Read a saved model with the settings it was fitted with; a missing one is an error."""
+        return cls(load_settings(spark, path), *[spark.read.parquet(f"{path}/{name}") for name in ("idf", "vectors", "rows")])

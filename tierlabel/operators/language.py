@@ -84,14 +84,18 @@ def translate_non_english(
 ) -> DataFrame:
     """Add the English form of a text; the text itself stays as it is.
 
-    English and unknown languages pass unchanged. Others are looked up in ``memory(source, translation)``,
-    with unique sources; ``translator``, if given, gets the distinct texts that the memory does not have, a
+    English and unknown languages pass unchanged. Others are looked up in ``memory(source, translation)``; a source
+    that it has twice makes the query fail. ``translator``, if given, gets the distinct texts that the memory does not have, a
     batch at a time. What is still missing passes unchanged.
     """
     foreign = F.coalesce(F.col(lang) != ENGLISH, F.lit(False)) & F.col(text).isNotNull()
     known = None
     if memory is not None:
-        known = memory.select(F.col("source").alias("__source"), F.col("translation").alias("__translation"))
+        grouped = memory.groupBy(F.col("source").alias("__source")).agg(
+            F.count(F.lit(1)).alias("n"), F.first("translation").alias("translation")
+        )
+        twice = F.raise_error(F.lit("translate: a source occurs twice in the memory")).cast("string")
+        known = grouped.select("__source", F.when(F.col("n") > 1, twice).otherwise(F.col("translation")).alias("__translation"))
     if translator is not None:
         misses = items.filter(foreign).select(F.col(text).alias("__source")).distinct()
         if known is not None:
@@ -108,8 +112,10 @@ def translate_non_english(
         known = fresh if known is None else known.unionByName(fresh)
     if known is None:
         return items.withColumn(out, F.col(text))
-    # Only foreign rows take part in the join, so the many English ones are not shuffled.
-    unchanged = items.filter(~foreign).withColumn(out, F.col(text))
-    asked = lookup_join(items.filter(foreign), known, text, "__source")
-    translated = asked.withColumn(out, F.coalesce("__translation", F.col(text))).drop("__source", "__translation")
-    return unchanged.unionByName(translated)
+    # Other rows have no key, and are spread by a random one where Spark has to shuffle.
+    asked = items.withColumn("__asked", F.when(foreign, F.col(text)))
+    spread = F.when(foreign, F.lit(0)).otherwise(F.floor(F.rand(7) * 1024) + 1).cast("int")
+    known = known.withColumn("__none", F.lit(0))
+    joined = lookup_join(asked.withColumn("__spread", spread), known, ["__asked", "__spread"], ["__source", "__none"])
+    translated = joined.withColumn(out, F.coalesce("__translation", F.col(text)))
+    return translated.drop("__asked", "__spread", "__none", "__source", "__translation")

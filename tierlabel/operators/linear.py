@@ -23,7 +23,7 @@ from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS
 from tierlabel.operators.groups import class_table, first_per_class
 from tierlabel.operators.sparse import BIAS, best_reference
 from tierlabel.operators.tables import lookup_join
-from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
+from tierlabel.operators.tfidf import TfidfSettings, load_settings, save_settings, tfidf_fit, tfidf_transform
 from tierlabel.session import scratch_path
 
 WEIGHT_CELLS = 1_000_000  # weights solved for at once: terms x classes of one group of classes
@@ -200,6 +200,9 @@ def _minimise(
         value = np.where(accepted, new_value, value)
         gradient = np.where(accepted, new_gradient, gradient)
         direction = np.where(accepted, _direction(gradient, steps, changes), direction)
+    left = int((np.sqrt((gradient * gradient).sum(axis=0)) > goal).sum())
+    if left:
+        raise RuntimeError(f"{left} of {shape[1]} classes have not converged in {max_passes} passes; allow more of them")
     return w
 
 
@@ -304,8 +307,9 @@ class LinearModel:
             raise ValueError("fit the model first")
         for name in ("idf", "weights", "classes"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        save_settings(self.idf.sparkSession, self.settings, path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, settings: TfidfSettings = TfidfSettings()) -> LinearModel:
-        """Read a saved model. The settings are those it was fitted with."""
-        return cls(settings, *[spark.read.parquet(f"{path}/{name}") for name in ("idf", "weights", "classes")])
+    def load(cls, spark: SparkSession, path: str) -> LinearModel:
+        """Read a saved model with the settings it was fitted with."""
+        return cls(load_settings(spark, path), *[spark.read.parquet(f"{path}/{name}") for name in ("idf", "weights", "classes")])

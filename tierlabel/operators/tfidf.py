@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +36,17 @@ class TfidfSettings:
         return tokens(text, self.analyzer, self.ngram_range, self.lowercase, self.strip_accents, self.stop_words)
 
 
+def save_settings(spark: SparkSession, settings: TfidfSettings, path: str) -> None:
+    """Keep the settings with a model, as a table of one row."""
+    row = spark.range(1).select(F.lit(json.dumps(asdict(settings))).alias("settings"))
+    row.write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_settings(spark: SparkSession, path: str) -> TfidfSettings:
+    stored = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+    return TfidfSettings(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored.items()})
+
+
 def tfidf_fit(docs: DataFrame, text: str, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
     """The vocabulary: ``(token, df, idf)``.
 

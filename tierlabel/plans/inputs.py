@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,9 +122,9 @@ def prototypes(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("title", F.col("v.value").alias("vector"))
 
 
-def pack_workbooks(df: DataFrame) -> DataFrame:
-    """Each task packs its rows as small .xlsx workbooks: ``(path, content)``, as a folder of files would give."""
-    import io
+def write_workbooks(df: DataFrame, folder: str) -> DataFrame:
+    """Each task writes its rows as .xlsx workbooks below a folder that all executors share; returns their paths."""
+    import uuid
     import zipfile
     from xml.sax.saxutils import escape
 
@@ -141,16 +142,18 @@ def pack_workbooks(df: DataFrame) -> DataFrame:
             return "<c/>"
         return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = pafs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             rows = [names, *batch.itertuples(index=False)]
             body = "".join(f"<row>{''.join(cell(v) for v in r)}</row>" for r in rows)
-            content = io.BytesIO()
-            with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+            path = f"{root}/{uuid.uuid4().hex}.xlsx"
+            with system.open_output_stream(path) as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
                 z.writestr("xl/workbook.xml", book)
                 z.writestr("xl/_rels/workbook.xml.rels", links)
                 z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-            yield pd.DataFrame({"path": ["packed.xlsx"], "content": [content.getvalue()]})
+            yield pd.DataFrame({"path": [path]})
 
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in names])
-    return texts.mapInPandas(pack, "path string, content binary")
+    return texts.mapInPandas(write, "path string")

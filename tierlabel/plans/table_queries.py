@@ -14,7 +14,6 @@ from tierlabel.plans.inputs import table
 from tierlabel.plans.registry import query
 from tierlabel.session import scratch_path
 from tierlabel.sources import tables as S
-from tierlabel.sources.workbooks import parse_workbooks
 
 PART_SCHEMA = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 CUSTOMER_SCHEMA = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -44,12 +43,28 @@ def csv_texts(spark, sf):
     """Texts with line breaks and quotes survive the way through CSV."""
     path = scratch_path(spark, "documents") + ".csv"
     S.write_csv(table(spark, sf, "documents").select("doc_id", "text"), path)
-    return S.read_table(spark, path, "doc_id long, text string")
+    return S.read_table(spark, path, "doc_id long, text string", multiline=True)
+
+
+@query(
+    "s01_row_index",
+    """SELECT row_number() OVER (ORDER BY p_partkey % 7 <> 0, p_partkey) - 1 AS row_idx, p_partkey, p_name FROM part""",
+)
+def row_index(spark, sf):
+    """Several files of unequal size, numbered in file order: the small ones come first by name."""
+    path, part = scratch_path(spark, "parts"), table(spark, sf, "part").select("p_partkey", "p_name")
+    for name, rows in (("a", part.filter("p_partkey % 7 = 0")), ("b", part.filter("p_partkey % 7 <> 0"))):
+        S.write_csv(rows.repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey"), f"{path}/{name}.csv")
+    files = spark.read.option("header", True).schema("p_partkey long, p_name string").csv([f"{path}/{n}.csv" for n in "ab"])
+    return S.with_row_index(files)
 
 
 @query("s02_read_workbooks", "SELECT * FROM customer")
 def read_workbooks(spark, sf):
-    return parse_workbooks(inputs.pack_workbooks(table(spark, sf, "customer")), CUSTOMER_SCHEMA)
+    """Tasks write workbooks to the shared folder; they are read back as files."""
+    path = scratch_path(spark, "books")
+    inputs.write_workbooks(table(spark, sf, "customer"), path).count()
+    return S.read_workbooks(spark, path, CUSTOMER_SCHEMA)
 
 
 @query("s04_s05_saved_table", "SELECT * FROM supplier UNION ALL SELECT * FROM supplier")
@@ -198,33 +213,57 @@ def delete_empty_source(spark, sf):
 
 @query(
     "t08_j3_update_table_columns",
-    """WITH s AS (SELECT l_partkey, nullif(max(l_discount), 0.1) AS d FROM lineitem
-                  WHERE l_returnflag = 'R' AND l_quantity >= 49 GROUP BY l_partkey)
+    """WITH s AS (SELECT CASE WHEN l_partkey % 3 > 0 THEN l_partkey END AS l_partkey, nullif(max(l_discount), 0.1) AS d
+                  FROM lineitem GROUP BY 1)
        SELECT p_partkey, CASE WHEN s.l_partkey IS NOT NULL THEN s.d ELSE p_retailprice END AS p_retailprice
        FROM part LEFT JOIN s ON l_partkey = p_partkey""",
 )
 def update_table_columns(spark, sf):
-    lines = table(spark, sf, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49))
-    source = lines.groupBy("l_partkey").agg(F.nullif(F.max("l_discount"), F.lit(0.1)).alias("d"))
+    """Every third part has no source row."""
+    key = F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey")).alias("l_partkey")
+    source = table(spark, sf, "lineitem").groupBy(key).agg(F.nullif(F.max("l_discount"), F.lit(0.1)).alias("d"))
     target = table(spark, sf, "part").select("p_partkey", "p_retailprice")
     return T.update_table_columns(target, source, "p_retailprice", "d", "p_partkey", "l_partkey")
 
 
 @query(
     "t08_update_on_two_keys",
-    """WITH s AS (SELECT p_brand, p_type, max(p_name) AS name FROM part WHERE p_size > 40 GROUP BY p_brand, p_type)
+    """WITH s AS (SELECT p_brand, p_type, max(p_name) AS name FROM part GROUP BY p_brand, p_type HAVING max(p_name) < 'n')
        SELECT p_partkey, part.p_brand, part.p_type,
               CASE WHEN s.p_brand IS NOT NULL THEN s.name ELSE p_name END AS p_name
        FROM part LEFT JOIN s ON part.p_brand = s.p_brand AND part.p_type = s.p_type""",
 )
 def update_on_two_keys(spark, sf):
     part = table(spark, sf, "part")
-    source = part.filter(F.col("p_size") > 40).groupBy("p_brand", "p_type").agg(F.max("p_name").alias("name"))
+    source = part.groupBy("p_brand", "p_type").agg(F.max("p_name").alias("name")).filter("name < 'n'")
     source = source.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), "name")
     target = part.select("p_partkey", "p_brand", "p_type", "p_name")
     return T.update_table_columns(target, source, "p_name", "name", ["p_brand", "p_type"], ["brand", "type"])
 
 
+@query(
+    "t07_delete_mixed_key_types",
+    """SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN
+       (SELECT CAST(c_custkey % 20 AS BIGINT) FROM customer)""",
+)
+def delete_mixed_key_types(spark, sf):
+    """Int keys against bigint keys: equal values stay."""
+    target = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    source = table(spark, sf, "customer").select((F.col("c_custkey") % 20).cast("long").alias("key"))
+    return T.delete_rows_not_in(target, source, "n_nationkey", "key").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+
+
+@query(
+    "t08_update_mixed_key_types",
+    """WITH s AS (SELECT c_nationkey, max(c_name) AS c FROM customer GROUP BY c_nationkey)
+       SELECT n_nationkey, coalesce(c, n_name) AS n_name FROM nation LEFT JOIN s ON c_nationkey = n_nationkey""",
+)
+def update_mixed_key_types(spark, sf):
+    target = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    source = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("key")).agg(F.max("c_name").alias("c"))
+    return T.update_table_columns(target, source, "n_name", "c", "n_nationkey", "key")
+
+
 @query(
     "t09_j2_merge_table_columns",
     "SELECT c_custkey, c_name, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",

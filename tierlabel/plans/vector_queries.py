@@ -35,6 +35,27 @@ def tokenize_words(spark, sf):
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "v01_tokenize_stop_words",
+    f"""SELECT token, CAST(count(*) AS BIGINT) AS n FROM (SELECT {WORDS_SQL.format(text='text')} AS token FROM documents) t
+        WHERE token NOT IN ('the', 'of', 'la', 'der') GROUP BY token""",
+)
+def tokenize_stop_words(spark, sf):
+    found = tokens(F.col("text"), stop_words=("the", "of", "la", "der"))
+    rows = table(spark, sf, "documents").select(F.explode(found).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "v01_tokenize_accents",
+    f"""SELECT token, CAST(count(*) AS BIGINT) AS n FROM (SELECT {WORDS_SQL.format(text='strip_accents(text)')} AS token FROM documents) t
+        GROUP BY token""",
+)
+def tokenize_accents(spark, sf):
+    rows = table(spark, sf, "documents").select(F.explode(tokens(F.col("text"), strip_accents=True)).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "v01_tokenize_word_pairs",
     r"""WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_type || ' ' || p_brand || ' ' || p_name), '[\p{L}\p{N}_]+') AS ws FROM part),
@@ -155,18 +176,28 @@ def cosine_scores(spark, sf):
     return D.cosine_scores(_targets(spark, sf), _class_prototypes(spark, sf), "vec_id")
 
 
-@query(
-    "v05_top_k_similar",
-    """WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-            s AS (SELECT a.vec_id, b.vec_id AS reference_id, round(list_cosine_similarity(a.v, b.v), 9) + 0.0e0 AS score FROM t a, t b)
-       SELECT vec_id, reference_id, score, CAST(rn AS INTEGER) AS rank FROM
-         (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, reference_id) AS rn FROM s) z WHERE rn <= 5""",
-)
+_TOP_SQL = f"""WITH {_EMBEDDING_SQL},
+        refs AS (SELECT title AS reference_id, v FROM proto),
+        s AS (SELECT vec_id, reference_id, round(list_cosine_similarity(target.v, refs.v), 9) + 0.0e0 AS score FROM target, refs)
+   SELECT vec_id {{id}} AS vec_id, reference_id, score, CAST(rn AS INTEGER) AS rank FROM
+     (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, reference_id) AS rn FROM s) z WHERE rn <= 5"""
+
+
+@query("v05_top_k_similar", _TOP_SQL.format(id=""))
 def top_k_similar(spark, sf):
-    references = _targets(spark, sf).withColumnRenamed("vec_id", "reference_id")
+    """The five nearest titles of any level."""
+    references = inputs.prototypes(spark, sf).select(F.col("title").alias("reference_id"), "vector")
     return D.top_k_similar(_targets(spark, sf), references, 5, "vec_id")
 
 
+@query("v05_top_k_of_repeated_ids", _TOP_SQL.format(id="// 3"))
+def top_k_of_repeated_ids(spark, sf):
+    """Three rows share an id; references pass by in blocks of one."""
+    references = inputs.prototypes(spark, sf).select(F.col("title").alias("reference_id"), "vector")
+    targets = _targets(spark, sf).withColumn("vec_id", F.expr("vec_id div 3"))
+    return D.top_k_similar(targets, references, 5, "vec_id", broadcast_cells=512)
+
+
 @query(
     "a08_top_1_per_group",
     f"""WITH {_EMBEDDING_SQL}
@@ -202,6 +233,18 @@ def classify_min(spark, sf):
     return classify(_targets(spark, sf), labels, "vec_id", is_max=False)
 
 
+@query(
+    "v06_classify_null_vectors",
+    f"""WITH {_EMBEDDING_SQL}
+        SELECT vec_id, CASE WHEN vec_id % 5 > 0 THEN title END AS label, CASE WHEN vec_id % 5 > 0 THEN score + 0.0e0 END AS score FROM
+          (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS rn FROM scores) t WHERE rn = 1""",
+)
+def classify_null_vectors(spark, sf):
+    labels = _class_prototypes(spark, sf).select(F.col("reference_id").alias("row_idx"), F.col("title").alias("label"), "vector")
+    items = _targets(spark, sf).withColumn("vector", F.when(F.col("vec_id") % 5 > 0, F.col("vector")))
+    return classify(items, labels, "vec_id")
+
+
 @query(
     "v07_unpack_and_pack",
     "SELECT vec_id, label, embedding AS vector, embedding[1] AS first, embedding[64] AS last FROM embeddings",
@@ -260,9 +303,7 @@ def results(spark, sf):
     return result_table(scores, products, names, actual).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(
-    "v08_hierarchical_classify",
-    f"""WITH {_EMBEDDING_SQL},
+_LEVELS_SQL = f"""WITH {_EMBEDDING_SQL},
         first AS (SELECT label, min(vec_id) AS row_idx FROM embeddings GROUP BY label),
         tree AS (SELECT row_idx, 'segment ' || (label // 4) AS s, 'family ' || (label // 2) AS f, 'class ' || label AS c FROM first),
         seg AS (SELECT s, min(row_idx) AS o FROM tree GROUP BY s), fam AS (SELECT s, f, min(row_idx) AS o FROM tree GROUP BY s, f),
@@ -273,8 +314,10 @@ def results(spark, sf):
                FROM p1 JOIN fam ON fam.s = p1.s JOIN proto ON title = f WHERE p1.rn = 1),
         p3 AS (SELECT vec_id, p2.s, p2.f, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(p2.v, proto.v), 9) DESC, o) AS rn
                FROM p2 JOIN cls ON cls.f = p2.f JOIN proto ON title = c WHERE p2.rn = 1)
-        SELECT vec_id, s AS embed_segment, f AS embed_family, c AS embed_class FROM p3 WHERE rn = 1""",
-)
+        SELECT {{id}} AS vec_id, s AS embed_segment, f AS embed_family, c AS embed_class FROM p3 WHERE rn = 1"""
+
+
+@query("v08_hierarchical_classify", _LEVELS_SQL.format(id="vec_id"))
 def classify_by_level(spark, sf):
     found = hierarchical_classify(
         _targets(spark, sf), inputs.embedding_taxonomy(spark, sf), inputs.prototypes(spark, sf), "vec_id"
@@ -282,6 +325,14 @@ def classify_by_level(spark, sf):
     return found.drop("vector")
 
 
+@query("v08_classify_in_blocks", _LEVELS_SQL.format(id="CASE WHEN vec_id % 4 > 0 THEN vec_id // 4 END"))
+def classify_in_blocks(spark, sf):
+    """Ids that repeat or are null, and a taxonomy that passes by in blocks."""
+    items = _targets(spark, sf).withColumn("vec_id", F.when(F.col("vec_id") % 4 > 0, F.expr("vec_id div 4")))
+    tree, vectors = inputs.embedding_taxonomy(spark, sf), inputs.prototypes(spark, sf)
+    return hierarchical_classify(items, tree, vectors, "vec_id", broadcast_cells=512).drop("vector")
+
+
 # --- catalogue and linear classifier ------------------------------------------------------------------
 
 # TF-IDF of the catalogue, and for every text t in texts the best catalogue row.
@@ -333,7 +384,13 @@ def save_and_load(spark, sf):
     return CatalogueModel.load(spark, path).predict(items, "product_name")
 
 
-@query("v10_v11_svm_of_items")
+# Every text of an item names its class, so a fitted classifier must give each item its own class back.
+_OWN_CLASS_SQL = """WITH gpc AS (SELECT p_partkey AS row_idx, nullif(p_type, 'PROMO') AS s, p_brand AS f, nullif(p_name, 'hot gear') AS c FROM part),
+         l AS (SELECT c, min_by(s, row_idx) FILTER (WHERE s IS NOT NULL) AS s, min_by(f, row_idx) AS f FROM gpc WHERE c IS NOT NULL GROUP BY c)
+    SELECT p_partkey AS item_id, p_name AS class, s AS clf_segment, f AS clf_family, p_name AS clf_class FROM part LEFT JOIN l ON c = p_name"""
+
+
+@query("v10_v11_svm_of_items", _OWN_CLASS_SQL)
 def svm_of_items(spark, sf):
     """Fit on all items, then predict them: class by margin, segment and family from the taxonomy."""
     items = inputs.items(spark, sf)
@@ -342,11 +399,20 @@ def svm_of_items(spark, sf):
     return found.select("item_id", "class", "clf_segment", "clf_family", "clf_class")
 
 
-@query("v10_v11_svm_of_languages")
+@query("v12_svm_save_and_load", _OWN_CLASS_SQL)
+def svm_save_and_load(spark, sf):
+    """Word pairs too; the loaded model knows its settings."""
+    items, path = inputs.items(spark, sf), scratch_path(spark, "svm")
+    LinearModel.fit(items, "product_name", "class", TfidfSettings(ngram_range=(1, 2)), c=10.0).save(path)
+    found = LinearModel.load(spark, path).predict(items, "product_name", inputs.taxonomy(spark, sf))
+    return found.select("item_id", "class", "clf_segment", "clf_family", "clf_class")
+
+
+@query("v10_v11_svm_of_languages", "SELECT doc_id, lang, lang AS clf_class FROM documents")
 def svm_of_languages(spark, sf):
     """Four classes of whole documents with balanced weights."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    model = LinearModel.fit(docs, "text", "lang", TfidfSettings(min_df=2), class_weight="balanced")
+    model = LinearModel.fit(docs, "text", "lang", class_weight="balanced")
     return model.predict(docs, "text").select("doc_id", "lang", "clf_class")
 
 
@@ -454,12 +520,25 @@ def run_ensemble(spark, sf):
     return rows.drop("lang").withColumn("confidence_rate", F.round("confidence_rate", 9))
 
 
-@query("v14_ensemble_with_svm")
+_SVM_ENSEMBLE_SQL = _ENSEMBLE_SQL.replace(
+    "CASE WHEN p_type = 'PROMO' THEN p_name || ' imported ' || p_brand ELSE p_brand || ' ' || p_name END AS t", "p_brand || ' ' || p_name AS t"
+).replace("min_by(p_name, p_partkey) OVER (PARTITION BY p_type, p_size) AS clf_class", "p_name AS clf_class")
+
+
+@query(
+    "v14_ensemble_with_svm",
+    f"""{_SVM_ENSEMBLE_SQL}
+        SELECT product_name, firsts.s AS pred_segment, firsts.f AS pred_family, pred_class, brand_segment, brand_family, brand_class,
+               embed_segment, embed_family, embed_class, clf_segment, clf_family, clf_class, round(n / 3.0e0, 9) AS confidence_rate,
+               CASE n WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' ELSE 'High' END AS confidence_level
+        FROM w JOIN firsts ON firsts.c = pred_class""",
+)
 def ensemble_with_svm(spark, sf):
     """All three classifiers fitted and voting: the fifteen output columns."""
     items = inputs.items(spark, sf)
     ensemble, _ = train(items, inputs.full_taxonomy(spark, sf), inputs.catalogue(spark, sf))
-    return ensemble.flat(items.select("item_id", "product_name"))
+    rows = ensemble.flat(items.select("item_id", "product_name"))
+    return rows.withColumn("confidence_rate", F.round("confidence_rate", 9))
 
 
 @query("v15_train_and_test")

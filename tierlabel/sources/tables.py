@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tierlabel.operators.groups import renumber_ids
 from tierlabel.sources.workbooks import read_workbooks
 
 # What to do with a table that already exists.
@@ -26,12 +27,12 @@ TYPE_CODES = {
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
 ) -> DataFrame:
     """Read a .csv, .parquet or .xlsx path with a header.
 
-    Types are inferred only when no schema is given, which costs one more pass over a CSV. Files whose
-    values hold no line breaks can be read with ``multiline=False``; Spark then splits large files.
+    Types are inferred only when no schema is given, which costs one more pass over a CSV. Spark splits large files;
+    those whose values hold line breaks need ``multiline=True``, and are then read by one task each.
     """
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix == ".csv":
@@ -49,8 +50,20 @@ def read_table(
 
 
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Number the rows in the order in which Spark read them: increasing, not gapless."""
-    return df.select(F.monotonically_increasing_id().alias(name), *df.columns)
+    """Number the rows of files from 0 in file order: by path, then by place in the file.
+
+    ``df`` comes straight from a reader (filters and projections may follow it). Spark reads larger files first, so the
+    order of its partitions says nothing; the order here is file, start of the split, and position within the split.
+    The numbering costs one range-partitioned shuffle and is stable, see ``renumber_ids``.
+    """
+    place = [
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__split"),
+        F.monotonically_increasing_id().alias("__place"),
+    ]
+    ordered = df.select(*df.columns, *place)
+    numbered = renumber_ids(ordered.withColumn(name, F.lit(0)), name, ["__file", "__split", "__place"], df.columns)
+    return numbered.withColumn(name, F.col(name) - 1)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
