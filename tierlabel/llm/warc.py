@@ -32,6 +32,8 @@ from tierlabel.llm.common import new_folder, store
 
 _WINDOW = 1 << 20
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d")
+_FIELD = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+$")
+_DEMANDED = ("warc-type", "warc-record-id", "warc-date")
 _VERSION = re.compile(rb"WARC/\d+\.\d+$")
 
 
@@ -150,11 +152,18 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     if not _VERSION.match(first):
         raise Damaged("no version line")
     headers = {}
+    name = b""
     for line in lines:
+        if name and line[:1] in (b" ", b"\t"):  # goes on from the line before
+            headers[name.decode()] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
+        name = name.strip().lower()
+        if not colon or not _FIELD.match(name) or _VERSION.match(line):
             raise Damaged("broken header line")
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        headers[name.decode()] = value.strip().decode("utf-8", "replace")
+    if not all(headers.get(x) for x in _DEMANDED):
+        raise Damaged("demanded header is missing")
     if not headers.get("content-length", "").isdecimal():
         raise Damaged("no content length")
     begin, after = end + 4, end + 4 + int(headers["content-length"])
