@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     named = named.withColumn("__salt", F.xxhash64("__key"))
     rows = sketches.select("id", "n", "key", F.xxhash64("key").alias("__at"))
     joined = rows.join(named, (F.col("__at") == F.col("__salt")) & (F.col("key") == F.col("__key")), "left")
-    found = F.coalesce("component_id", "id")
+    found = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return joined.select(
         F.col("id").alias(settings.id_col),
         F.col("n").alias("n_shingles"),
