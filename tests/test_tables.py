@@ -19,13 +19,12 @@ def test_unknown_file_type(spark):
 
 
 def test_workbook_folder(spark, tmp_path, small):
-    from tierlabel.plans.inputs import pack_workbooks
+    from tierlabel.plans.inputs import write_workbooks
     from tierlabel.plans.table_queries import CUSTOMER_SCHEMA
 
     customers = spark.read.parquet(f"{small}/customer.parquet").repartition(3)
-    for i, r in enumerate(pack_workbooks(customers).collect()):
-        (tmp_path / f"{i}.xlsx").write_bytes(r.content)
-    assert rows(S.read_table(spark, f"{tmp_path}/0.xlsx", CUSTOMER_SCHEMA)) != []
+    paths = [r.path for r in write_workbooks(customers, str(tmp_path)).collect()]
+    assert rows(S.read_table(spark, paths[0], CUSTOMER_SCHEMA)) != []
     read = S.read_workbooks(spark, str(tmp_path), CUSTOMER_SCHEMA)
     assert rows(read) == rows(customers)
 
@@ -76,6 +75,30 @@ def test_row_index_rises_in_file_order(spark, small):
     assert keys == sorted(keys)
 
 
+def test_row_index_over_files_of_unequal_size(spark, tmp_path):
+    spark.range(1).write.csv(f"{tmp_path}/a.csv")
+    spark.range(1, 1999).repartition(3).sortWithinPartitions("id").write.csv(f"{tmp_path}/b.csv")
+    files = spark.read.schema("id long").csv([f"{tmp_path}/b.csv", f"{tmp_path}/a.csv"])
+    indexed = S.with_row_index(files).orderBy("row_idx").collect()
+    assert [r.row_idx for r in indexed] == list(range(1999)) and indexed[0].id == 0
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "value"),
+    [("int", "bigint", "7"), ("smallint", "int", "7"), ("date", "timestamp", "'2020-01-02'"), ("decimal(5,1)", "decimal(9,3)", "1.5"), ("int", "decimal(9,2)", "7")],
+)
+def test_keys_of_different_types_match(spark, a, b, value):
+    target = spark.sql(f"SELECT CAST({value} AS {a}) AS k, 'old' AS v UNION ALL SELECT NULL, 'kept'")
+    source = spark.sql(f"SELECT CAST({value} AS {b}) AS s, 'new' AS w")
+    assert sorted(r.v for r in T.update_table_columns(target, source, "v", "w", "k", "s").collect()) == ["kept", "new"]
+    assert sorted(r.v for r in T.delete_rows_not_in(target, source, "k", "s").collect()) == ["kept", "old"]
+
+
+def test_keys_without_a_common_type(spark):
+    with pytest.raises(TypeError):
+        T.delete_rows_not_in(frame(spark, "k int", (1,)), frame(spark, "s string", ("1",)), "k", "s")
+
+
 def test_sample_without_key(spark, small):
     assert S.sample_rows(spark.read.parquet(f"{small}/part.parquet")).count() == 3
 
