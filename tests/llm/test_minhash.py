@@ -44,7 +44,7 @@ def edited(r, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("small", [1, 4, 1000])
+@pytest.mark.parametrize("small", [1, 4])
 def test_components_equal_brute_force(documents, small):
     r = random.Random(small)
     rows = []

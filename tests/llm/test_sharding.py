@@ -34,8 +34,7 @@ def texts(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("n_shards", [1, 3, 8])
-@pytest.mark.parametrize("local", [0, 20_000])
+@pytest.mark.parametrize(("n_shards", "local"), [(1, 0), (3, 20_000), (8, 0)])
 def test_smallest_capacity(documents, monkeypatch, n_shards, local):
     monkeypatch.setattr(sharding, "_LOCAL", local)
     rows = texts(n_shards, 120)
