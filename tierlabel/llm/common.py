@@ -10,6 +10,8 @@ from tierlabel.session import scratch_path
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -29,10 +31,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, gives column pruning and pushed filters to what follows, and tells the
-    optimizer the true size, so that joins with small tables are broadcast and others are not.
+    optimizer the true size, so that joins with small tables are broadcast and others are not. While it runs, Arrow
+    batches are held to a size that keeps Python workers and Arrow buffers small.
     """
-    path = new_folder(df.sparkSession, name) + "/rows"
-    df.write.parquet(path)
+    path, conf = new_folder(df.sparkSession, name) + "/rows", df.sparkSession.conf
+    before = conf.get(_BATCH_BYTES)
+    conf.set(_BATCH_BYTES, "8m")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH_BYTES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 Everything works on the UTF-8 bytes of a whole batch at once. A word or line is known by a 64-bit hash: a polynomial
 over a table of random numbers per byte, taken from running sums, and mixed. Memory follows the batch that Spark
-sends (bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``), hashing goes in segments of a megabyte.
+sends (bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``), hashing goes in segments of a quarter of a megabyte.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-_SEGMENT = 1 << 20
-_BLOCK = 4 << 20
+_SEGMENT = 1 << 18
+_BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
