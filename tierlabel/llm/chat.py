@@ -25,6 +25,7 @@ text; repeated rows are repeated turns; a null conversation id is a conversation
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,24 +55,31 @@ def render(role: Column, text: Column, escaped: bool, loss_role: str = "assistan
     return F.concat(F.lit(TURN), escape(role), mark, escape(text) if escaped else text, F.lit(END))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, also where ``then`` uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def parse(rendered: Column) -> Column:
     """Array of (role, text, loss) of a rendered conversation; null if it does not follow the grammar."""
     marks = F.regexp_extract_all(rendered, F.lit(f"({_ANY})"), F.lit(1))
-    texts = F.split(rendered, _ANY, -1)
+    split = F.struct(marks.alias("marks"), F.split(rendered, _ANY, -1).alias("texts"))
+    return _once(split, _turns)
+
+
+def _turns(split: Column) -> Column:
+    marks, texts = split["marks"], split["texts"]
     n = (F.size(marks) / 3).cast("int")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     opens = F.array(*[F.lit(x) for x in (PLAIN, LOSS, PLAIN_ESCAPED, LOSS_ESCAPED)])
 
-    def follows(m: Column, t: Column) -> Column:
-        def turn(i: Column) -> Column:
-            return (
-                (F.get(m, i * 3) == TURN)
-                & F.array_contains(opens, F.get(m, i * 3 + 1))
-                & (F.get(m, i * 3 + 2) == END)
-                & (F.get(t, i * 3) == "")
-            )
-
-        return (F.size(m) == n * 3) & (F.get(t, n * 3) == "") & F.forall(places, turn)
+    def follows(i: Column) -> Column:
+        return (
+            (F.get(marks, i * 3) == TURN)
+            & F.array_contains(opens, F.get(marks, i * 3 + 1))
+            & (F.get(marks, i * 3 + 2) == END)
+            & (F.get(texts, i * 3) == "")
+        )
 
     def turn(i: Column) -> Column:
         mark, body = F.get(marks, i * 3 + 1), F.get(texts, i * 3 + 2)
@@ -81,7 +89,8 @@ def parse(rendered: Column) -> Column:
             mark.isin(LOSS, LOSS_ESCAPED).alias("loss"),
         )
 
-    return F.when(follows(marks, texts), F.transform(places, turn))
+    whole = (F.size(marks) == n * 3) & (F.get(texts, n * 3) == "") & F.forall(places, follows)
+    return F.when(whole, F.transform(places, turn))
 
 
 def format_conversations(
