@@ -22,8 +22,3 @@ def spark():
 @pytest.fixture(scope="session")
 def small():
     return SMALL
-
-
-def rows(df):
-    """All rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

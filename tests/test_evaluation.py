@@ -1,7 +1,7 @@
 """Votes and measures on rows that the given tables lack."""
 
 import pytest
-from conftest import rows
+from row_helpers import rows
 from pyspark.sql import functions as F
 
 from tierlabel.operators import evaluation as E

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import rows
+from row_helpers import rows
 from pyspark.sql import functions as F
 
 from tierlabel.operators import dense as D

@@ -1,7 +1,7 @@
 """Hot keys: plans keep what splits them, and results stay whole."""
 
 import pytest
-from conftest import rows
+from row_helpers import rows
 from pyspark.sql import functions as F
 
 from tierlabel.operators import groups as G
