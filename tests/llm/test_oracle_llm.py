@@ -9,7 +9,7 @@ from tierlabel.llm.catalog import ORACLE, QUERIES
 @pytest.fixture(scope="module")
 def duck(small):
     connection = duckdb.connect()
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
     yield connection
     connection.close()
@@ -29,4 +29,4 @@ def test_query_matches_sql(spark, small, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,6 +33,8 @@ class Counter:
     """Counts the tokens of texts."""
 
     def __init__(self, pieces: Sequence[tuple[str, float]], remembered: int = 1_000_000):
+        import ahocorasick  # only workers that count need it
+
         self.pieces = {p: s for p, s in pieces if p}
         self.unknown = min(self.pieces.values(), default=0.0) - _UNKNOWN_PENALTY
         self.has_bytes = all(f"<0x{b:02X}>" in self.pieces for b in range(256))
