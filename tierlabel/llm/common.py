@@ -27,7 +27,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, gives column pruning and pushed filters to what follows, and tells the
@@ -38,7 +38,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     before = conf.get(_BATCH_BYTES)
     conf.set(_BATCH_BYTES, "8m")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         conf.set(_BATCH_BYTES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
