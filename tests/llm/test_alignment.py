@@ -3,6 +3,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 import tokenizers as library
@@ -103,13 +104,34 @@ def test_small_slices(spark, documents, both, monkeypatch):
         monkeypatch.setattr(alignment, name, 7)
     groups = []
     vocabularies = Vocabularies.of(both)
-    a, b = both.encode(given)
+    a, b = ([np.frombuffer(x, both.kind) for x in side] for side in both.encode(given))
     for i in range(len(given)):
         cut = alignment.Groups.cut([a[i]], [b[i]], vocabularies.length_a, vocabularies.length_b)
         groups.append(int(cut.links(vocabularies.same, vocabularies.width)[2].sum()))
     assert groups == [w[3] for w in want]
 
 
+def test_texts_in_stretches_equal_whole_texts(both):
+    r = random.Random(8)
+    bits = ["a", "The", " b", "  c", " ", "\t", "\n", ".", ",", "'s", "1", " 2", "é", " é", "<s>", "\u00a0", "世", "x" * 70, "\u2581", "\u0301", " Z"]
+    assert both.splits_at_spaces and both.by_rank
+    for _ in range(400):
+        text = "".join(r.choices(bits, k=r.randrange(1, 40)))
+        (whole,) = both._encode_whole([text])
+        (a,), (b,) = both.encode([text])
+        assert (a, b) == (whole or (b"", b""))
+
+
+def test_words_by_rank_equal_the_merges(both):
+    r = random.Random(9)
+    letters = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x100)]]
+    words = ["".join(r.choices(letters, k=r.randrange(1, 9))) for _ in range(3000)] + ["".join(r.choices("thesanding", k=r.randrange(3, 30))) for _ in range(3000)]
+    assert both._encode_words(words) == both._encode_whole(words)
+    merges = json.loads(both.file_a)
+    merges["model"]["merges"][300:302] = merges["model"]["merges"][301:299:-1]
+    assert not Tokenizers(json.dumps(merges).encode(), both.file_b).by_rank
+
+
 def test_same_bytes_prefers_plain_pieces(both):
     stored = json.loads(both.file_a)["model"]["vocab"]
     same = both.same_bytes
