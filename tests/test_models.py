@@ -9,6 +9,8 @@ from tierlabel.operators import dense as D
 from tierlabel.operators.catalogue import CatalogueModel
 from tierlabel.operators.hierarchy import classify, hierarchical_classify
 from tierlabel.operators.language import LanguageModel, translate_non_english
+from tierlabel.operators import language as L
+from tierlabel.operators.memory import TranslationMemory
 from tierlabel.operators.linear import LinearModel, _direction, _minimise
 from tierlabel.operators.tables import split_dataset
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_fit, tfidf_transform
@@ -235,7 +237,7 @@ def test_svm_beats_the_largest_class_on_held_out_rows(spark, small):
     split = split_dataset(docs, "doc_id", "lang")
     train_df, test_df = split.filter("NOT is_test"), split.filter("is_test")
     svm = LinearModel.fit(train_df, "text", "lang", TfidfSettings(min_df=2)).predict(test_df, "text")
-    bayes = LanguageModel.fit(train_df, "text", "lang").detect(test_df, "doc_id", "text", "found").join(test_df, "doc_id")
+    bayes = LanguageModel.fit(train_df, "text", "lang").detect(test_df, "text", "found")
     share = [r["count"] for r in test_df.groupBy("lang").count().collect()]
     largest = max(share) / sum(share)
     assert svm.filter("lang = clf_class").count() / sum(share) > max(largest, 0.9)
@@ -262,11 +264,105 @@ def test_language_of_short_and_empty_texts(spark):
     docs = spark.createDataFrame([("the ring the", "en"), ("der ring der", "de"), ("den ding", "de")], "t string, lang string")
     model = LanguageModel.fit(docs, "t", "lang")
     texts = spark.createDataFrame([(1, "the"), (2, "der"), (3, ""), (4, None), (5, "zzzz")], "id int, t string")
-    got = {r.id: r.lang for r in model.detect(texts, "id", "t").collect()}
+    got = {r.id: r.lang for r in model.detect(texts, "t").collect()}
     # unknown n-grams count a little against the language with more text, here less than its prior is worth
     assert got == {1: "en", 2: "de", 3: "de", 4: "de", 5: "de"}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_detection_against_counting_by_hand(spark, n, monkeypatch, tmp_path):
+    from collections import Counter
+    from math import log
+
+    known = [("the ring the", "en"), ("", "en"), ("der rïng der 😀😀", "de"), ("den ding", "de"), ("anillo", "es"), (None, "es"), ("x", None)]
+    asked = ["the", "DER", "", None, "zzzz", "rïng 😀", "anillo the der", "the"]
+    grams = lambda t: [t[i : i + n] for i in range(len(t) - n + 1)]
+    counts, texts = {}, Counter()
+    for t, lang in known:
+        if t is not None and lang is not None:
+            texts[lang] += 1
+            counts.setdefault(lang, Counter()).update(grams(t))
+    size = len({g for c in counts.values() for g in c})
+    want = []
+    for t in asked:
+        scores = [(round(log(texts[x] / sum(texts.values())) + sum(log((counts[x][g] + 1) / (sum(counts[x].values()) + size)) for g in grams((t or "").lower())), 6), x) for x in sorted(texts)]
+        want.append(max(scores, key=lambda s: s[0])[::-1])
+    model = LanguageModel.fit(spark.createDataFrame(known, "t string, l string"), "t", "l", n)
+    ids = [1, 1, None, None, 2, 3, 4, 5]
+    df = spark.createDataFrame(list(zip(ids, asked)), "id int, t string").coalesce(1)
+    model.save(str(tmp_path / "m"))
+    for which, cells in ((model, 8_000_000), (model, 8), (LanguageModel.load(spark, str(tmp_path / "m")), 30)):
+        found = which.detect(df, "t", broadcast_cells=cells).collect()
+        assert [r.id for r in found] == ids
+        assert [(r.lang, pytest.approx(r.lang_score, abs=2e-6)) for r in found] == want
+    monkeypatch.setattr("tierlabel.operators.language.DENSE_CODES", 0)  # by sorting
+    assert [(r.lang, pytest.approx(r.lang_score, abs=2e-6)) for r in model.detect(df, "t").collect()] == want
+    nothing = LanguageModel.fit(df.withColumn("l", F.lit(None).cast("string")), "t", "l").detect(df, "t")
+    assert [r.lang for r in nothing.collect()] == [None] * len(ids)
+
+
+def test_dense_and_sorted_grams_agree(monkeypatch):
+    texts = ["", "a", "abcab", "😀b😀b😀", "abc" * 50]
+    dense = [L.distinct_grams(texts, n) for n in (1, 2, 3, 4)]
+    monkeypatch.setattr(L, "DENSE_CODES", -1)
+    for n, (row, place, codes) in zip((1, 2, 3, 4), dense):
+        other = L.distinct_grams(texts, n)
+        assert row.tolist() == other[0].tolist() and codes[place].tolist() == other[2][other[1]].tolist()
+    assert [len(x) for x in L.distinct_grams([], 3)] == [0, 0, 0] and [len(x) for x in L.distinct_grams(["", "ab"], 3)] == [0, 0, 0]
+
+
+def test_detection_does_not_move_texts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = LanguageModel.fit(docs, "text", "lang").detect(docs.drop("lang"), "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def test_memory_grows_once_per_text_and_batch(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def translator(texts):
+        calls.add(len(texts))
+        return [t.upper() for t in texts]
+
+    memory = TranslationMemory(spark, str(tmp_path / "memory"))
+    assert memory.table().collect() == [] and memory.batches() == []
+    items = spark.createDataFrame([("a", "de"), ("a", "de"), ("b", "fr"), ("c", "en"), (None, "de"), ("d", None)], "t string, l string")
+    assert memory.add(items.limit(2), "t", "l", translator, 1) and calls.value == 1
+    assert memory.add(items, "t", "l", translator, "2") and calls.value == 2  # only b is new
+    assert not memory.add(items, "t", "l", translator, "2") and calls.value == 2  # the batch is there
+    assert memory.add(items, "t", "l", translator, 3) and calls.value == 2  # nothing is missing
+    assert rows(memory.table()) == [("a", "A"), ("b", "B")] and memory.batches() == ["1", "2", "3"]
+    # a batch that was cut off does not count and is written anew
+    (tmp_path / "memory" / "batch=2" / "_SUCCESS").unlink()
+    assert rows(memory.table()) == [("a", "A")]
+    assert memory.add(items, "t", "l", translator, 2) and calls.value == 3
+    assert rows(memory.table()) == [("a", "A"), ("b", "B")]
+    assert rows(translate_non_english(items, "t", "l", memory.table()).select("translated")) == rows(spark.createDataFrame([("A",), ("A",), ("B",), ("c",), (None,), ("d",)], "t string"))
+    with pytest.raises(ValueError):
+        memory.add(items, "t", "l", translator, "a/b")
+
+
+def test_ensemble_detects_translates_and_remembers(spark, small, tmp_path):
+    gpc, catalogue = inputs.full_taxonomy(spark, small), inputs.catalogue(spark, small)
+    model = CatalogueModel.fit(catalogue)
+    third = lambda df: df.select("*", *[F.col(f"brand_{lv}").alias(f"clf_{lv}") for lv in ("segment", "family", "class")])
+    languages = LanguageModel.fit(spark.createDataFrame([("the red ring", "en"), ("der rote Ring für das Kind", "de")], "t string, l string"), "t", "l")
+    calls = spark.sparkContext.accumulator(0)
+    first = model.rows.join(catalogue, "row_idx").orderBy("row_idx").first()
+
+    def translator(texts):
+        calls.add(len(texts))
+        return [f"{first.Brand} {first.Product}" for _ in texts]
+
+    memory = TranslationMemory(spark, str(tmp_path / "m"))
+    ensemble = Ensemble(gpc, model, third, title_vectors(gpc), memory=memory, translator=translator, languages=languages)
+    items = spark.createDataFrame([(1, "der rote Ring für das"), (1, "der rote Ring für das"), (None, "the ring")], "item_id int, product_name string")
+    for batch in ("a", "a", "b"):
+        found = ensemble.flat(items, batch=batch).collect()
+        assert [r.brand_class for r in found if r.product_name.startswith("der")] == [first.Product] * 2 and len(found) == 3
+    assert calls.value == 1
+
+
 # --- ensemble and stream ---
 
 

@@ -10,13 +10,20 @@ TABLES = (
 ).split()
 
 
+# The SQL takes the held-out classes as rightly predicted, which needs training rows of every class.
+LARGER = {"v15_train_and_test"}
+
+
 @pytest.fixture(scope="module")
-def duck(small):
-    connection = duckdb.connect()
-    for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
-    yield connection
-    connection.close()
+def ducks(small):
+    connections = {}
+    for folder in (small, small.replace("sf0.001", "sf0.01")):
+        connections[folder] = duckdb.connect()
+        for name in TABLES:
+            connections[folder].execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    yield connections
+    for c in connections.values():
+        c.close()
 
 
 def test_every_sql_has_a_query():
@@ -24,9 +31,10 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_matches_sql(spark, small, duck, name):
-    got = QUERIES[name](spark, small).toArrow()
-    want = duck.sql(ORACLE[name]).to_arrow_table()
+def test_query_matches_sql(spark, small, ducks, name):
+    folder = small.replace("sf0.001", "sf0.01") if name in LARGER else small
+    got = QUERIES[name](spark, folder).toArrow()
+    want = ducks[folder].sql(ORACLE[name]).to_arrow_table()
     columns = sorted(got.column_names)
     assert columns == sorted(want.column_names)
 

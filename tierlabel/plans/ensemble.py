@@ -12,8 +12,9 @@ from tierlabel.operators.catalogue import CatalogueModel
 from tierlabel.operators.dense import hashed_encoder
 from tierlabel.operators.evaluation import accuracy
 from tierlabel.operators.hierarchy import hierarchical_classify
-from tierlabel.operators.language import translate_non_english
+from tierlabel.operators.language import LanguageModel, translate_non_english
 from tierlabel.operators.linear import LinearModel
+from tierlabel.operators.memory import TranslationMemory
 from tierlabel.operators.tfidf import TfidfSettings
 from tierlabel.operators.voting import vote
 from tierlabel.session import cut_lineage
@@ -57,6 +58,8 @@ class Ensemble:
     """The fitted parts of the ensemble.
 
     ``classifier`` adds ``clf_segment, clf_family, clf_class`` to a frame with the text column ``translated``.
+    ``languages`` detects the language of items that come without one. ``memory`` is a table of translations, or a
+    ``TranslationMemory`` that grows with what ``translator`` translates.
     """
 
     taxonomy: DataFrame
@@ -64,21 +67,43 @@ class Ensemble:
     classifier: Callable[[DataFrame], DataFrame]
     vectors: DataFrame
     dim: int = 64
-    memory: DataFrame | None = None
+    memory: DataFrame | TranslationMemory | None = None
     translator: Callable[[list[str]], list[str]] | None = None
+    languages: LanguageModel | None = None
+
+    def translated(self, items: DataFrame, text: str, lang: str | None = None, batch: str | int | None = None) -> DataFrame:
+        """Items with ``translated``: the English form of their text.
+
+        Without a column ``lang`` the languages are detected, if there is a model for it. With a growing memory, what it lacks
+        is translated and kept first, under the name ``batch``; without that name nothing is kept.
+        """
+        rows, columns = items, items.columns
+        if lang is None and self.languages is not None:
+            rows, lang = self.languages.detect(items, text, "__lang", "__lang_score"), "__lang"
+        if lang is None:
+            return items.withColumn("translated", F.col(text))
+        memory, translator = self.memory, self.translator
+        if isinstance(memory, TranslationMemory):
+            if translator is not None and batch is not None:
+                memory.add(rows, text, lang, translator, batch)
+                translator = None
+            memory = memory.table()
+        return translate_non_english(rows, text, lang, memory, translator).select(*columns, "translated")
 
     def run(
-        self, items: DataFrame, item_id: str = "item_id", text: str = "product_name", lang: str | None = None
+        self,
+        items: DataFrame,
+        item_id: str = "item_id",
+        text: str = "product_name",
+        lang: str | None = None,
+        batch: str | int | None = None,
     ) -> DataFrame:
         """All items with the output columns; ``product_name`` keeps the original text.
 
-        Classifiers only add columns, and each scores the items in place, so there is no join of three
-        results by id: the only joins are with label tables of the size of the taxonomy.
+        Detection, translation and classifiers only add columns, and each scores the items in place, so there is
+        no join of three results by id: the only joins are with the memory and with label tables of the size of the taxonomy.
         """
-        if lang is None:
-            rows = items.withColumn("translated", F.col(text))
-        else:
-            rows = translate_non_english(items, text, lang, self.memory, self.translator)
+        rows = self.translated(items, text, lang, batch)
         rows = self.brands.predict(rows, "translated").drop("brand_row", "brand_score", "brand_matched")
         rows = self.classifier(rows)
         rows = rows.withColumn("__vector", hashed_encoder(F.col("translated"), self.dim))
@@ -93,9 +118,10 @@ class Ensemble:
         text: str = "product_name",
         lang: str | None = None,
         keep: tuple[str, ...] = (),
+        batch: str | int | None = None,
     ) -> DataFrame:
         """The fifteen output columns, after the columns of ``keep``."""
-        rows = self.run(items, item_id, text, lang).withColumnRenamed(text, "product_name")
+        rows = self.run(items, item_id, text, lang, batch).withColumnRenamed(text, "product_name")
         return rows.select(*keep, *OUTPUT_COLUMNS)
 
 
@@ -107,13 +133,22 @@ def train(
     text: str = "product_name",
     label: str = "class",
     dim: int = 64,
+    lang: str | None = None,
+    languages: LanguageModel | None = None,
+    memory: DataFrame | TranslationMemory | None = None,
+    translator: Callable[[list[str]], list[str]] | None = None,
     **svm_options,
 ) -> tuple[Ensemble, LinearModel]:
-    """Fit the catalogue model and the linear classifier and put the ensemble together."""
+    """Fit the catalogue model and the linear classifier and put the ensemble together.
+
+    Training items are translated as later ones are: their languages from the column ``lang`` or by ``languages``.
+    """
     brands = CatalogueModel.fit(catalogue, settings)
-    svm = LinearModel.fit(train_items, text, label, settings, **svm_options)
     vectors = title_vectors(taxonomy, dim).persist()
-    return Ensemble(taxonomy, brands, lambda df: svm.predict(df, "translated", taxonomy), vectors, dim), svm
+    ensemble = Ensemble(taxonomy, brands, lambda df: df, vectors, dim, memory, translator, languages)
+    svm = LinearModel.fit(ensemble.translated(train_items, text, lang), "translated", label, settings, **svm_options)
+    ensemble.classifier = lambda df: svm.predict(df, "translated", taxonomy)
+    return ensemble, svm
 
 
 def train_and_test(
@@ -122,15 +157,17 @@ def train_and_test(
     taxonomy: DataFrame,
     catalogue: DataFrame,
     output: str | None = None,
+    lang: str | None = None,
     **options,
 ) -> DataFrame:
     """Fit, predict the test items, write their predictions if asked, and give one accuracy row per model.
 
+    Items are translated by the column ``lang``, or by the languages that ``languages`` among the options detects.
     Accuracy compares true and predicted labels at each level, for each of the three models and the vote.
     The predictions are checkpointed, so the output and all accuracies come from one scoring pass.
     """
-    ensemble, _ = train(train_items, taxonomy, catalogue, **options)
-    predictions = cut_lineage(ensemble.run(test_items))
+    ensemble, _ = train(train_items, taxonomy, catalogue, lang=lang, **options)
+    predictions = cut_lineage(ensemble.run(test_items, lang=lang))
     if output is not None:
         write_csv(predictions, output)
     scores = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tierlabel.functions.text import tokens
@@ -11,6 +13,7 @@ from tierlabel.operators.catalogue import CatalogueModel
 from tierlabel.operators.hierarchy import classify, hierarchical_classify
 from tierlabel.operators.language import LanguageModel, translate_non_english
 from tierlabel.operators.linear import LinearModel, label_lookup
+from tierlabel.operators.memory import TranslationMemory
 from tierlabel.operators.tables import result_table
 from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
@@ -430,9 +433,7 @@ def lookup_labels(spark, sf):
 # --- languages ----------------------------------------------------------------------------------------
 
 
-@query(
-    "x05_detect_language",
-    """WITH g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])) AS gram
+_DETECTED_SQL = """WITH g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])) AS gram
                   FROM (SELECT doc_id, lang, string_split(lower(text), '') AS t FROM documents) d),
             c AS (SELECT lang, gram, count(*) AS c FROM g GROUP BY lang, gram),
             v AS (SELECT CAST(count(DISTINCT gram) AS DOUBLE) AS v FROM c),
@@ -442,11 +443,14 @@ def lookup_labels(spark, sf):
             a AS (SELECT doc_id, c.lang, sum(k * ln(c + 1.0e0)) AS added FROM dg JOIN c USING (gram) GROUP BY doc_id, c.lang),
             s AS (SELECT d.doc_id, l.lang, round(prior + greatest(len(text) - 2, 0) * base + coalesce(added, 0), 6) AS score
                   FROM documents d CROSS JOIN l LEFT JOIN a ON a.doc_id = d.doc_id AND a.lang = l.lang)
-       SELECT doc_id, lang, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS rn FROM s) z WHERE rn = 1""",
-)
+       SELECT doc_id, lang, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS rn FROM s) z WHERE rn = 1"""
+
+
+@query("x05_detect_language", _DETECTED_SQL)
 def detect_language(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return LanguageModel.fit(docs, "text", "lang").detect(docs, "doc_id", "text")
+    found = LanguageModel.fit(docs, "text", "lang").detect(docs.drop("lang"), "text", score="score")
+    return found.select("doc_id", "lang", "score")
 
 
 @query(
@@ -461,11 +465,25 @@ def translate(spark, sf):
     return translate_non_english(docs, "text", "lang", memory).select("doc_id", "translated")
 
 
+@query("x06_translations_that_are_kept", "SELECT doc_id, CASE WHEN lang <> 'en' THEN 'EN ' || md5(text) ELSE text END AS translated, 2 AS n_batches FROM documents")
+def translations_that_are_kept(spark, sf):
+    """The memory starts with French texts, then gets all others, then the same batch again; nobody translates afterwards."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    memory = TranslationMemory(spark, scratch_path(spark, "translations"))
+    translate = lambda texts: [f"EN {hashlib.md5(t.encode()).hexdigest()}" for t in texts]
+    memory.add(docs.filter("lang = 'fr'"), "text", "lang", translate, "french")
+    for _ in range(2):
+        memory.add(docs, "text", "lang", translate, "others")
+    found = translate_non_english(docs, "text", "lang", memory.table())
+    return found.select("doc_id", "translated", F.lit(len(memory.batches())).alias("n_batches"))
+
+
 # --- ensemble -----------------------------------------------------------------------------------------
 
-_ENSEMBLE_SQL = f"""WITH it AS (SELECT p_partkey AS item_id, p_brand || ' ' || p_name AS product_name, p_type,
-        CASE WHEN p_type = 'PROMO' THEN p_name || ' imported ' || p_brand ELSE p_brand || ' ' || p_name END AS t,
-        min_by(p_name, p_partkey) OVER (PARTITION BY p_type, p_size) AS clf_class FROM part),
+
+def _ensemble_sql(items: str) -> str:
+    """Votes ``w`` of the items ``it(item_id, product_name, t, clf_class)``; t is the text that is classified."""
+    return f"""it AS ({items}),
     texts AS (SELECT DISTINCT t FROM it UNION SELECT p_type FROM part UNION SELECT p_brand FROM part UNION SELECT p_name FROM part),
     {_CATALOGUE_SQL}, {ENCODER_SQL},
     gpc AS (SELECT p_partkey AS row_idx, p_type AS s, p_brand AS f, p_name AS c FROM part),
@@ -492,20 +510,23 @@ _ENSEMBLE_SQL = f"""WITH it AS (SELECT p_partkey AS item_id, p_brand || ' ' || p
                       WHEN embed_class = brand_class OR embed_class = clf_class OR brand_class = clf_class THEN 2 ELSE 1 END AS n FROM votes)"""
 
 
+_ITEM_TEXT = "CASE WHEN p_type = 'PROMO' THEN p_name || ' imported ' || p_brand ELSE p_brand || ' ' || p_name END"
+_FLAT_COLUMNS = """product_name, firsts.s AS pred_segment, firsts.f AS pred_family, pred_class, brand_segment, brand_family, brand_class,
+               embed_segment, embed_family, embed_class, clf_segment, clf_family, clf_class, round(n / 3.0e0, 9) AS confidence_rate,
+               CASE n WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' ELSE 'High' END AS confidence_level"""
+
+
 def _third_voter(spark, sf):
     rows = inputs.voters(spark, sf).select(F.col("item_id"), "clf_class")
     taxonomy = inputs.full_taxonomy(spark, sf)
     return lambda df: label_lookup(df.join(rows, "item_id"), taxonomy, "clf_class")
 
 
-@query(
-    "v14_run_ensemble",
-    f"""{_ENSEMBLE_SQL}
-        SELECT item_id, product_name, firsts.s AS pred_segment, firsts.f AS pred_family, pred_class, brand_segment, brand_family, brand_class,
-               embed_segment, embed_family, embed_class, clf_segment, clf_family, clf_class, round(n / 3.0e0, 9) AS confidence_rate,
-               CASE n WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' ELSE 'High' END AS confidence_level
-        FROM w JOIN firsts ON firsts.c = pred_class""",
-)
+_VOTED_ITEMS = _ensemble_sql(f"""SELECT p_partkey AS item_id, p_brand || ' ' || p_name AS product_name, {_ITEM_TEXT} AS t,
+        min_by(p_name, p_partkey) OVER (PARTITION BY p_type, p_size) AS clf_class FROM part""")
+
+
+@query("v14_run_ensemble", f"WITH {_VOTED_ITEMS} SELECT item_id, {_FLAT_COLUMNS} FROM w JOIN firsts ON firsts.c = pred_class")
 def run_ensemble(spark, sf):
     """Translation from memory, both similarity voters, and a lookup as third voter in place of the linear one."""
     taxonomy = inputs.full_taxonomy(spark, sf)
@@ -520,19 +541,44 @@ def run_ensemble(spark, sf):
     return rows.drop("lang").withColumn("confidence_rate", F.round("confidence_rate", 9))
 
 
-_SVM_ENSEMBLE_SQL = _ENSEMBLE_SQL.replace(
-    "CASE WHEN p_type = 'PROMO' THEN p_name || ' imported ' || p_brand ELSE p_brand || ' ' || p_name END AS t", "p_brand || ' ' || p_name AS t"
-).replace("min_by(p_name, p_partkey) OVER (PARTITION BY p_type, p_size) AS clf_class", "p_name AS clf_class")
+_DOCUMENT_MEMORY = "SELECT text AS source, min(doc_id) AS k FROM documents WHERE lang IN ('fr', 'de') GROUP BY text"
+
+_VOTED_DOCUMENTS = _ensemble_sql(f"""SELECT d.doc_id AS item_id, d.text AS product_name,
+        CASE WHEN g.lang <> 'en' AND m.source IS NOT NULL THEN p.p_brand || ' ' || p.p_name ELSE d.text END AS t, c.p_name AS clf_class
+        FROM documents d JOIN ({_DETECTED_SQL}) g USING (doc_id) LEFT JOIN ({_DOCUMENT_MEMORY}) m ON m.source = d.text
+        LEFT JOIN part p ON p.p_partkey = m.k JOIN part c ON c.p_partkey = d.doc_id""")
 
 
 @query(
-    "v14_ensemble_with_svm",
-    f"""{_SVM_ENSEMBLE_SQL}
-        SELECT product_name, firsts.s AS pred_segment, firsts.f AS pred_family, pred_class, brand_segment, brand_family, brand_class,
-               embed_segment, embed_family, embed_class, clf_segment, clf_family, clf_class, round(n / 3.0e0, 9) AS confidence_rate,
-               CASE n WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' ELSE 'High' END AS confidence_level
+    "v14_ensemble_of_documents",
+    f"""WITH {_VOTED_DOCUMENTS} SELECT item_id, {_FLAT_COLUMNS.replace("product_name", "md5(product_name) AS product_md5", 1)}
         FROM w JOIN firsts ON firsts.c = pred_class""",
 )
+def ensemble_of_documents(spark, sf):
+    """Languages are detected in the run, the memory has French and German texts, Spanish ones pass unchanged."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    part = table(spark, sf, "part").withColumnRenamed("p_partkey", "k")
+    sources = docs.filter(F.col("lang").isin("fr", "de")).groupBy(F.col("text").alias("source")).agg(F.min("doc_id").alias("k"))
+    memory = sources.join(part, "k").select("source", F.concat("p_brand", F.lit(" "), "p_name").alias("translation"))
+    taxonomy = inputs.full_taxonomy(spark, sf)
+    third = part.select(F.col("k").alias("__id"), F.col("p_name").alias("clf_class"))
+    ensemble = Ensemble(
+        taxonomy,
+        CatalogueModel.fit(inputs.catalogue(spark, sf)),
+        lambda df: label_lookup(df.join(third, df["item_id"] == F.col("__id")).drop("__id"), taxonomy, "clf_class"),
+        title_vectors(taxonomy),
+        memory=memory,
+        languages=LanguageModel.fit(docs, "text", "lang"),
+    )
+    rows = ensemble.flat(docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("product_name")), keep=("item_id",))
+    rows = rows.withColumns({"confidence_rate": F.round("confidence_rate", 9), "product_md5": F.md5("product_name")})
+    return rows.drop("product_name")
+
+
+_VOTED_BY_SVM = _ensemble_sql("SELECT p_partkey AS item_id, p_brand || ' ' || p_name AS product_name, p_brand || ' ' || p_name AS t, p_name AS clf_class FROM part")
+
+
+@query("v14_ensemble_with_svm", f"WITH {_VOTED_BY_SVM} SELECT {_FLAT_COLUMNS} FROM w JOIN firsts ON firsts.c = pred_class")
 def ensemble_with_svm(spark, sf):
     """All three classifiers fitted and voting: the fifteen output columns."""
     items = inputs.items(spark, sf)
@@ -541,15 +587,35 @@ def ensemble_with_svm(spark, sf):
     return rows.withColumn("confidence_rate", F.round("confidence_rate", 9))
 
 
-@query("v15_train_and_test")
+# The fitted linear classifier gives every held-out item its own class, since its text names it; this needs training
+# items of every class, which the smallest table does not have.
+_HELD_OUT = _ensemble_sql(f"""SELECT * FROM (SELECT p_partkey AS item_id, p_brand || ' ' || p_name AS product_name, {_ITEM_TEXT} AS t, p_name AS clf_class,
+        row_number() OVER (ORDER BY md5('42:' || p_partkey)) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM part) WHERE is_test""")
+
+
+def _accuracy_sql(model: str, prefix: str) -> str:
+    shares = [
+        f"round(avg(CASE WHEN coalesce({prefix}_{level} = {true}, false) THEN 1.0e0 ELSE 0 END), 9) AS {level}_accuracy"
+        for level, true in (("segment", "p_type"), ("family", "p_brand"), ("class", "p_name"))
+    ]
+    return f"SELECT '{model}' AS model, {', '.join(shares)} FROM v"
+
+
+@query(
+    "v15_train_and_test",
+    f"""WITH {_HELD_OUT},
+        v AS MATERIALIZED (SELECT w.*, firsts.s AS pred_segment, firsts.f AS pred_family, p_type, p_brand, p_name
+                           FROM w JOIN firsts ON firsts.c = pred_class JOIN part ON p_partkey = item_id)
+        {" UNION ALL ".join(_accuracy_sql(*m) for m in (("linear", "clf"), ("catalogue", "brand"), ("embedding", "embed"), ("ensemble", "pred")))}""",
+)
 def run_train_and_test(spark, sf):
-    """Split, fit, predict the held-out part, and accuracy per model and level."""
+    """Split, translate, fit, predict the held-out part, and accuracy per model and level."""
     from tierlabel.operators.tables import split_dataset
 
     split = split_dataset(inputs.items(spark, sf), "item_id")
-    held_out = split.filter("is_test").drop("is_test", "lang")
-    fitted_on = split.filter("NOT is_test").drop("is_test", "lang")
-    return train_and_test(fitted_on, held_out, inputs.full_taxonomy(spark, sf), inputs.catalogue(spark, sf))
+    held_out, fitted_on = (split.filter(which).drop("is_test") for which in ("is_test", "NOT is_test"))
+    taxonomy, catalogue = inputs.full_taxonomy(spark, sf), inputs.catalogue(spark, sf)
+    return train_and_test(fitted_on, held_out, taxonomy, catalogue, lang="lang", memory=inputs.item_memory(spark, sf))
 
 
 # --- stream -------------------------------------------------------------------------------------------
