@@ -10,6 +10,8 @@ from tierlabel.operators.catalogue import CatalogueModel
 from tierlabel.operators.hierarchy import classify, hierarchical_classify
 from tierlabel.operators.language import LanguageModel, translate_non_english
 from tierlabel.operators import language as L
+from tierlabel.operators import sparse
+from tierlabel.operators.sparse import best_reference
 from tierlabel.operators.memory import TranslationMemory
 from tierlabel.operators.linear import LinearModel, _direction, _minimise
 from tierlabel.operators.tables import split_dataset
@@ -151,10 +153,10 @@ def brands(spark):
     return CatalogueModel.fit(spark.createDataFrame(rows_, CATALOGUE))
 
 
-@pytest.mark.parametrize("cells", [10_000, 3])
+@pytest.mark.parametrize("cells", [10_000, 100])
 def test_brand_ties_and_unknown_texts(spark, brands, cells):
     items = spark.createDataFrame([(1, "Chocolate bar!"), (2, "nothing known"), (3, None), (4, "hammer"), (5, "chocolate bar")], "item_id int, t string")
-    got = {r.item_id: r for r in brands.predict(items, "t", broadcast_cells=cells).collect()}
+    got = {r.item_id: r for r in brands.predict(items, "t", block_bytes=cells).collect()}
     assert [got[i].brand_class for i in (1, 2, 3, 4, 5)] == ["sweets", "sweets", "sweets", "hammers", "sweets"]
     assert [got[i].brand_matched for i in (1, 2, 3, 4, 5)] == [True, False, False, True, True]
     assert got[2].brand_row == 1 and got[2].brand_score == 0.0
@@ -164,7 +166,7 @@ def test_brand_paths_agree(spark, small):
     model = CatalogueModel.fit(inputs.catalogue(spark, small))
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     texts = docs.unionByName(inputs.items(spark, small).select(F.col("item_id").alias("doc_id"), F.col("product_name").alias("text")))
-    same(model.predict(texts, "text"), model.predict(texts, "text", broadcast_cells=300))
+    same(model.predict(texts, "text"), model.predict(texts, "text", block_bytes=8000))
 
 
 def test_load_of_a_missing_model(spark, tmp_path):
@@ -208,6 +210,62 @@ def test_svm_reaches_the_optimum(spark, balanced):
         assert have == pytest.approx(want, abs=2e-3)
 
 
+@pytest.mark.parametrize("norm", ["l2", "l1", None])
+def test_sparse_search_in_blocks_equals_brute_force(spark, norm):
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    settings = TfidfSettings(norm=norm)
+    docs = spark.createDataFrame([(f"r{i:03}", " ".join(r.choices(words, k=r.randrange(1, 6)))) for i in range(60)], "ref string, t string")
+    texts = [None, "", "unknown words", *[" ".join(r.choices([*words, "zz"], k=r.randrange(1, 9))) for _ in range(50)]] * 2
+    items = spark.createDataFrame([(i % 7 or None, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+    idf = tfidf_fit(docs, "t", settings)
+    vectors = tfidf_transform(docs, "ref", "t", idf, settings)
+    constants = spark.createDataFrame([("r009", "", 0.25), ("r031", "", 0.25), ("r044", "", -1.0)], "ref string, token string, weight double")
+    weights = idf.toPandas().set_index("token").idf.to_dict()
+    for refs in (vectors, vectors.unionByName(constants), vectors.withColumn("weight", F.when(F.col("ref") < "r030", -F.col("weight")).otherwise(F.col("weight")))):
+        by_ref = {}
+        for x in refs.collect():
+            by_ref.setdefault(x.ref, {})[x.token] = x.weight
+        want = []
+        for i, t in enumerate(texts):
+            tf = {w: (t or "").split().count(w) for w in set((t or "").split()) if w in weights}
+            w = {k: (np.log(n) + 1) * weights[k] for k, n in tf.items()}
+            size = {"l2": np.sqrt(sum(x * x for x in w.values())), "l1": sum(w.values()), None: 1.0}[norm] or 1.0
+            scores = [(round(sum(w[k] / size * v.get(k, 0.0) for k in w) + v.get("", 0.0), 9), ref) for ref, v in by_ref.items()]
+            top = max(s for s, _ in scores)
+            want.append((i % 7 or None, t, min(ref for s, ref in scores if s == top), pytest.approx(top, abs=1e-8)))
+        counts = []
+        for block_bytes in (64_000_000, 1500):
+            skipped = spark.sparkContext.accumulator(0)
+            found = best_reference(items, "t", settings, idf, refs, "ref", block_bytes, skipped)
+            got = [tuple(x) for x in found.collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+            counts.append(skipped.value)
+        assert counts[0] == 0 and counts[1] > 0
+
+
+def test_sparse_blocks_hold_their_bytes(spark, small):
+    catalogue = inputs.catalogue(spark, small)
+    model = CatalogueModel.fit(catalogue)
+    idf = model.idf.select(F.xxhash64("token").alias("key"), "idf")
+    pieces, blocks = sparse._blocks(model.vectors, idf, "row_idx", 4000)
+    pieces, blocks = list(pieces), list(blocks)
+    assert sum(len(p) for p in pieces) == idf.count() and max(p.nbytes for p in pieces) <= 8000  # by hash, so about the bound
+    arrays = lambda b: sum(x.nbytes for x in (b.keys, b.idf, b.refs, b.weights, b.top, b.starts, b.bias)) + b.ids.nbytes
+    one = max(len(b.weights) / len(b.ids) for b in blocks) * sparse.POSTING_BYTES
+    assert len(blocks) > 3 and max(arrays(b) for b in blocks) <= 4000 + 2 * one
+    ids = [i for b in blocks for i in b.ids.to_pylist()]
+    assert ids == sorted(ids) == sorted(r.row_idx for r in model.vectors.select("row_idx").distinct().collect())
+
+
+def test_brands_of_documents_move_no_texts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    found = CatalogueModel.fit(inputs.catalogue(spark, small)).handle().search(docs, "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_minimiser_on_a_quadratic():
     scale = np.array([[1.0, 100.0], [10.0, 1.0], [0.1, 5.0]])
     goal = np.array([[1.0, 2.0], [3.0, -1.0], [0.5, 0.25]])
@@ -229,7 +287,7 @@ def test_svm_saved_loaded_and_both_paths(spark, small, tmp_path):
     loaded = LinearModel.load(spark, str(tmp_path / "m"))
     found = model.predict(items, "product_name", inputs.taxonomy(spark, small))
     same(found, loaded.predict(items, "product_name", inputs.taxonomy(spark, small)))
-    same(found, model.predict(items, "product_name", inputs.taxonomy(spark, small), broadcast_cells=500))
+    same(found, model.predict(items, "product_name", inputs.taxonomy(spark, small), block_bytes=20_000))
 
 
 def test_svm_beats_the_largest_class_on_held_out_rows(spark, small):

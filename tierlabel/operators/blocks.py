@@ -1,23 +1,11 @@
-"""Exact best matches between many rows and a reference side.
-
-A small reference side (its size is measured first) goes to every executor as one block. A larger one is
-cut into blocks, the rows into chunks, and each (chunk, block) pair is one bounded group that gives out its
-own best matches only; these are merged per row. Nothing but best matches is ever written out as pairs.
-"""
+"""Bounds on what is broadcast or held at once, counted in numbers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
 BROADCAST_CELLS = 8_000_000  # numbers in a broadcast block: 64 MB as doubles
-BLOCK_CELLS = 4_000_000  # numbers in one block or chunk of the chunked form
 SCORE_CELLS = 4_000_000  # scores held at once while a block is compared
 
 
@@ -25,48 +13,3 @@ def cells(df: DataFrame, *arrays: str) -> int:
     """How many numbers the array columns hold in all, at least one per row."""
     size = sum((F.coalesce(F.size(a), F.lit(0)) for a in arrays), F.lit(1)).cast("long")
     return int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
-
-
-def chunked_best(
-    rows: DataFrame,
-    refs: DataFrame,
-    row_id: str,
-    ref_id: str,
-    row_cells: int,
-    ref_cells: int,
-    compare: Callable[[pa.Table, pa.Table], pa.Table],
-    k: int,
-    within: str | None = None,
-    block_cells: int = BLOCK_CELLS,
-) -> DataFrame:
-    """The ``k`` best references of each row as ``(row_id, ref_id, score, rank)``.
-
-    ``compare(chunk, block)`` gives at most ``k`` rows ``(row, ref, score)`` for each chunk row. With
-    ``within`` only references whose column of that name is equal are compared.
-    """
-    chunks = max(1, -(-row_cells // block_cells))
-    blocks = max(1, -(-ref_cells // block_cells))
-    keys = ["__chunk", "__block", *([within] if within else [])]
-    left = rows.withColumn("__chunk", F.pmod(F.xxhash64(row_id), F.lit(chunks)).cast("int")).withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = refs.withColumn("__block", F.pmod(F.xxhash64(ref_id), F.lit(blocks)).cast("int")).withColumn(
-        "__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    )
-    schema = T.StructType(
-        [
-            T.StructField("__row", rows.schema[row_id].dataType),
-            T.StructField("__ref", refs.schema[ref_id].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-
-    def one_pair(chunk: pa.Table, block: pa.Table) -> pa.Table:
-        if not len(chunk) or not len(block):
-            return pa.table([[], [], []], names=schema.fieldNames()).cast(to_arrow_schema(schema))
-        return compare(chunk, block).rename_columns(schema.fieldNames())
-
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(one_pair, schema)
-    order = Window.partitionBy("__row").orderBy(F.desc("score"), F.asc("__ref"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("__row").alias(row_id), F.col("__ref").alias(ref_id), "score", "rank")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlabel.functions.text import product_document
-from tierlabel.operators.blocks import BROADCAST_CELLS
-from tierlabel.operators.sparse import best_reference
+from tierlabel.operators.sparse import BLOCK_BYTES, BlockSearch
 from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, load_settings, save_settings, tfidf_fit, tfidf_transform
 
@@ -24,6 +23,7 @@ class CatalogueModel:
     idf: DataFrame
     vectors: DataFrame
     rows: DataFrame
+    _handles: dict[int, BlockSearch] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def fit(cls, catalogue: DataFrame, settings: TfidfSettings = TfidfSettings()) -> CatalogueModel:
@@ -33,17 +33,19 @@ class CatalogueModel:
         vectors = tfidf_transform(docs, "row_idx", "document", idf, settings)
         return cls(settings, idf.persist(), vectors.persist(), catalogue.select("row_idx", *LABELS))
 
-    def predict(
-        self, items: DataFrame, text: str, prefix: str = "brand_", broadcast_cells: int = BROADCAST_CELLS
-    ) -> DataFrame:
+    def handle(self, block_bytes: int = BLOCK_BYTES) -> BlockSearch:
+        """The measured and, if it fits one block, broadcast reference side; made once, so that later calls start no job."""
+        if block_bytes not in self._handles:
+            self._handles[block_bytes] = BlockSearch.prepare(self.settings, self.idf, self.vectors, "row_idx", block_bytes)
+        return self._handles[block_bytes]
+
+    def predict(self, items: DataFrame, text: str, prefix: str = "brand_", block_bytes: int = BLOCK_BYTES) -> DataFrame:
         """Items with the catalogue row, cosine score and labels of their best entry.
 
         The first entry wins ties. A text without any known token gets the first catalogue row, score 0
         and ``matched = false``.
         """
-        scored = best_reference(
-            items, text, self.settings, self.idf, self.vectors, "row_idx", broadcast_cells=broadcast_cells
-        )
+        scored = self.handle(block_bytes).search(items, text)
         # without any known token: the first row, whether or not it has a vector
         nothing = F.col("__score") == 0
         scored = scored.withColumn("__ref", F.when(nothing, self.rows.agg(F.min("row_idx")).scalar()).otherwise(F.col("__ref")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +44,34 @@ def renumber_ids(df: DataFrame, id_col: str, order_by: Names, columns: Names | N
     return numbered.select((F.col("__start") + row + 1).alias(id_col), *keep)
 
 
+def running_sums(df: DataFrame, groups: Names, order_by: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
+    """Add running sums of whole numbers in an order, and as ``<name>_total`` the sums of all rows, within each group.
+
+    No group goes through one task: rows are range-partitioned by group and order, summed within each range, and the sums
+    of the ranges before are added. The ranged rows are checkpointed, as both passes must see the same ranges; the table of
+    starts has at most one row per range and group. The order must be total within a group.
+    """
+    keys = as_list(groups)
+    ranged = df.withColumns({f"__v_{name}": value for name, value in sums.items()})
+    ranged = ranged.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    ranged = cut_lineage(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__part", F.shiftright("__at", _ROW_BITS))
+    inside = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = ranged.groupBy("__part", *keys).agg(*[F.sum(f"__v_{name}").alias(f"__v_{name}") for name in sums])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    starts = parts.select(
+        F.col("__part").alias("__p"),
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"__v_{name}").over(before), F.lit(0)).alias(f"__s_{name}") for name in sums],
+        *[F.sum(f"__v_{name}").over(every).alias(f"{name}_total") for name in sums],
+    )
+    on = [F.col("__part") == F.col("__p"), *[F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]]
+    summed = ranged.withColumns({name: F.sum(f"__v_{name}").over(inside) for name in sums}).join(F.broadcast(starts), on)
+    totals = [(F.col(f"__s_{name}") + F.col(name)).alias(name) for name in sums]
+    return summed.select(*df.columns, *totals, *[f"{name}_total" for name in sums])
+
+
 def class_table(df: DataFrame, column: str, id_col: str = "id", name: str = "class_name") -> DataFrame:
     """Distinct values, numbered from 0 in their order."""
     values = df.select(F.col(column).alias(name)).distinct()

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS
+from tierlabel.operators.blocks import SCORE_CELLS
 from tierlabel.operators.groups import class_table, first_per_class
-from tierlabel.operators.sparse import BIAS, best_reference
+from tierlabel.operators.sparse import BIAS, BLOCK_BYTES, best_reference
 from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, load_settings, save_settings, tfidf_fit, tfidf_transform
 from tierlabel.session import scratch_path
@@ -290,14 +290,12 @@ class LinearModel:
         text: str,
         taxonomy: DataFrame | None = None,
         prefix: str = "clf_",
-        broadcast_cells: int = BROADCAST_CELLS,
+        block_bytes: int = BLOCK_BYTES,
     ) -> DataFrame:
         """Items with the class of highest margin and, given a taxonomy, its segment and family."""
         if self.weights is None:
             raise ValueError("fit or load the model first")
-        scored = best_reference(
-            items, text, self.settings, self.idf, self.weights, "class_id", True, broadcast_cells
-        )
+        scored = best_reference(items, text, self.settings, self.idf, self.weights, "class_id", block_bytes)
         named = self.classes.select(F.col("class_id").alias("__id"), F.col("class_name").alias(f"{prefix}class"))
         found = lookup_join(scored, named, "__ref", "__id").select(*items.columns, f"{prefix}class")
         return found if taxonomy is None else label_lookup(found, taxonomy, f"{prefix}class", prefix)

@@ -1,52 +1,73 @@
-"""Texts against a reference side of sparse weighted tokens: the best reference of each text."""
+"""Texts against a reference side of sparse weighted tokens: the best reference of each text.
+
+Items stay where they are and need no key. The references pass by in blocks whose size is measured in bytes, each broadcast as
+arrays of numbers (a token is its 64-bit hash), and each row keeps the best reference so far. A block also has the
+highest weight per token: from it follows a bound on every score that a text can get in the block, and texts whose best
+score so far reaches the bound are not compared with it. Blocks come in the order of the reference ids, and equal scores go to the
+lowest id, so the result is the same at every block size.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierlabel.operators.blocks import BROADCAST_CELLS, SCORE_CELLS, chunked_best
+from tierlabel.operators.blocks import SCORE_CELLS
 from tierlabel.operators.dense import DECIMALS
-from tierlabel.operators.tables import lookup_join
-from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_transform
+from tierlabel.operators.groups import running_sums
+from tierlabel.operators.tfidf import TfidfSettings
 from tierlabel.session import cut_lineage
 
 BIAS = ""  # no text has an empty token, so this one can carry a constant
+BLOCK_BYTES = 64_000_000  # of a broadcast block
+IDF_BYTES = 16  # of a token's hash and idf
+POSTING_BYTES = 32  # of a posting, with the hash, idf and highest weight of a token that no other posting has
+PASSES = 8  # blocks that pass by in one stage
 
 
 @dataclass
-class Postings:
-    """Reference vectors by token: for each token the references that hold it, and their weights."""
+class Block:
+    """Some references, by token: for each token those that hold it, and their weights."""
 
-    ids: pa.Array
-    vocabulary: pd.Index
+    ids: pa.Array  # in rising order
+    keys: np.ndarray  # token hashes in rising order
+    idf: np.ndarray
     starts: np.ndarray
     refs: np.ndarray
     weights: np.ndarray
+    top: np.ndarray  # per token its highest weight, at least 0, which a reference without the token has
+    bias: np.ndarray  # per reference
 
     @classmethod
-    def build(cls, ids: pa.Array, tokens: pa.Array, weights: np.ndarray) -> Postings:
-        """From parallel columns in any order; references are numbered in the order of their id."""
-        ref = ids.dictionary_encode()
+    def build(cls, rows: pa.Table, idf: pa.Table) -> Block:
+        """From ``rows(ref, key, weight)``, key null for the constant, and ``idf(key, idf)`` of at least their tokens."""
+        ref = rows["ref"].combine_chunks().dictionary_encode()
         order = pa.compute.array_sort_indices(ref.dictionary)
-        place = np.empty(len(order), dtype=np.int64)
+        place = np.empty(len(order), np.int64)
         place[order.to_numpy()] = np.arange(len(order))
-        token = tokens.dictionary_encode()
-        term = token.indices.to_numpy().astype(np.int64)
+        number, weight = place[ref.indices.to_numpy()], rows["weight"].to_numpy()
+        constant = rows["key"].is_null().to_numpy()
+        bias = np.zeros(len(order))
+        bias[number[constant]] = weight[constant]
+        by_key = np.argsort(idf["key"].to_numpy())
+        keys = idf["key"].to_numpy()[by_key]
+        term = np.searchsorted(keys, rows["key"].drop_null().to_numpy())
+        number, weight = number[~constant], weight[~constant]
         by_term = np.argsort(term, kind="stable")
-        counts = np.bincount(term, minlength=len(token.dictionary))
+        top = np.zeros(len(keys))
+        np.maximum.at(top, term, weight)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(keys)))]).astype(np.int64)
         return cls(
-            ref.dictionary.take(order),
-            pd.Index(token.dictionary.to_pandas()),
-            np.concatenate([[0], np.cumsum(counts)]),
-            place[ref.indices.to_numpy()][by_term],
-            weights[by_term],
+            ref.dictionary.take(order), keys, idf["idf"].to_numpy()[by_key], starts, number[by_term].astype(np.int32), weight[by_term], top, bias
         )
 
     def best(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,37 +91,74 @@ class Postings:
             cell = np.repeat(row[lo:hi] - at, size) * width + self.refs[posting]
             product = np.repeat(weight[lo:hi], size) * self.weights[posting]
             table = np.bincount(cell, weights=product, minlength=(to - at) * width).reshape(to - at, width)
-            table = np.round(table, DECIMALS) + 0.0
+            table = np.round(table + self.bias, DECIMALS) + 0.0
             best[at:to] = table.argmax(axis=1)
             score[at:to] = table[np.arange(to - at), best[at:to]]
             at = to
         return best, score
 
+    def bounds(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """No reference of the block gives a row a higher rounded score than this."""
+        slack = 2.0 * 10.0**-DECIMALS
+        return np.bincount(row, weights=weight * self.top[term], minlength=n) + self.bias.max(initial=0.0) + slack
+
 
-def _weigh(
-    batch: list[np.ndarray], known: pd.Index, idf: np.ndarray, settings: TfidfSettings
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF weights of token lists as (row, term, weight), sorted by row; unknown tokens are dropped."""
+def _term_weights(batch: list[np.ndarray], keys: np.ndarray, idf: np.ndarray, sublinear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of lists of token hashes as (row, term, weight), sorted by row; unknown tokens are dropped."""
     row = np.repeat(np.arange(len(batch)), [len(b) for b in batch])
-    code, distinct = pd.factorize(np.concatenate(batch) if batch else np.array([], dtype=object))
-    term = known.get_indexer(distinct)[code] if len(code) else code
-    hit = term >= 0
-    key, tf = np.unique(row[hit] * len(known) + term[hit], return_counts=True)
-    row, term = key // len(known), key % len(known)
-    weight = (np.log(tf) + 1.0 if settings.sublinear_tf else tf.astype(np.float64)) * idf[term]
-    if settings.norm == "l2":
-        weight = weight / np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(batch)))[row]
-    elif settings.norm == "l1":
-        weight = weight / np.bincount(row, weights=np.abs(weight), minlength=len(batch))[row]
-    return row, term, weight
-
-
-def _with_bias(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, bias_term: int):
-    """Give every row one more term of weight one."""
-    row, term = np.concatenate([row, np.arange(n)]), np.concatenate([term, np.full(n, bias_term)])
-    weight = np.concatenate([weight, np.ones(n)])
-    order = np.argsort(row, kind="stable")
-    return row[order], term[order], weight[order]
+    flat = np.concatenate([np.empty(0, np.int64), *batch]).astype(np.int64)
+    if not len(keys) or not len(flat):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    term = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+    hit = keys[term] == flat
+    key, tf = np.unique(row[hit] * len(keys) + term[hit], return_counts=True)
+    row, term = key // len(keys), key % len(keys)
+    return row, term, (np.log(tf) + 1.0 if sublinear else tf.astype(np.float64)) * idf[term]
+
+
+def _parts_of_norm(row: np.ndarray, weight: np.ndarray, n: int, norm: str | None) -> np.ndarray:
+    """What some terms add to the squared (or, for l1, plain) length of their rows."""
+    return np.bincount(row, weights=weight * weight if norm == "l2" else np.abs(weight), minlength=n)
+
+
+def _divisor(parts: np.ndarray, norm: str | None) -> np.ndarray:
+    if norm is None:
+        return np.ones(len(parts))
+    length = np.sqrt(parts) if norm == "l2" else parts
+    return np.where(length > 0, length, 1.0)
+
+
+def _hashed(text: Column, settings: TfidfSettings) -> Column:
+    return F.transform(settings.tokens(text), lambda token: F.xxhash64(token))
+
+
+def _blocks(vectors: DataFrame, idf: DataFrame, ref_id: str, block_bytes: int) -> tuple[list[pa.Table] | None, Iterator[Block]]:
+    """Blocks of the references in the order of their ids; first, if the idf does not fit with them, the idf in pieces.
+
+    ``vectors(ref, token, weight)`` and ``idf(key, idf)``. The sizes are measured by Spark before anything is collected.
+    """
+    id_bytes = F.octet_length(F.col(ref_id).cast("string")) + 16
+    per_ref = vectors.groupBy(ref_id).agg((F.count(F.lit(1)) * POSTING_BYTES + F.max(id_bytes)).alias("bytes"))
+    ref_bytes = per_ref.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    idf_bytes = idf.count() * IDF_BYTES
+    key = F.when(F.col("token") != BIAS, F.xxhash64("token")).alias("key")
+    keyed = vectors.select(F.col(ref_id).alias("ref"), key, F.col("weight").cast("double").alias("weight"))
+    if ref_bytes + idf_bytes <= block_bytes:
+        return None, iter([Block.build(keyed.toArrow(), idf.toArrow())])
+    n_pieces = math.ceil(idf_bytes / block_bytes)
+    pieces = (idf.filter(F.pmod("key", F.lit(n_pieces)) == i).toArrow() for i in range(n_pieces))
+    places = running_sums(per_ref, [], [F.asc(ref_id)], {"upto": F.col("bytes")})
+    block = F.floor((F.col("upto") - F.col("bytes")) / F.lit(block_bytes)).cast("long").alias("block")
+    numbered = places.select(F.col(ref_id).alias("ref"), block)
+    own = cut_lineage(keyed.join(numbered, "ref").join(idf, "key", "left"))
+
+    def each() -> Iterator[Block]:
+        for r in own.select("block").distinct().orderBy("block").collect():
+            rows = own.filter(F.col("block") == r.block).select("ref", "key", "weight", "idf").toArrow()
+            tokens = rows.select(["key", "idf"]).drop_null().group_by("key").aggregate([("idf", "min")]).rename_columns(["key", "idf"])
+            yield Block.build(rows, tokens)
+
+    return pieces, each()
 
 
 def best_reference(
@@ -110,89 +168,95 @@ def best_reference(
     idf: DataFrame,
     vectors: DataFrame,
     ref_id: str,
-    bias: bool = False,
-    broadcast_cells: int = BROADCAST_CELLS,
+    block_bytes: int = BLOCK_BYTES,
+    skipped: Accumulator | None = None,
 ) -> DataFrame:
     """Items with ``__ref`` and ``__score``: the reference of highest dot product with the text's TF-IDF vector.
 
-    ``vectors(ref_id, token, weight)`` are the references; with ``bias`` they also hold the empty token,
-    which every text has once. A reference side of up to ``broadcast_cells`` weights is broadcast: the items
-    are then not shuffled, and equal texts of one Arrow batch are scored once. A larger one is compared in
-    bounded blocks, once per distinct text.
+    ``vectors(ref_id, token, weight)`` are the references; their empty token, if any, is a constant that every text has once.
+    Equal texts of one Arrow batch are scored once. A block holds whole references: as many as ``block_bytes`` hold, and at least one.
+    ``skipped`` counts the texts that did not have to be compared with a block.
     """
-    n_cells = vectors.count() + idf.count()
-    if n_cells > broadcast_cells:
-        return _best_in_blocks(items, text, settings, idf, vectors, ref_id, bias, n_cells, broadcast_cells)
-
-    table = vectors.select(ref_id, "token", "weight").toArrow().combine_chunks()
-    columns = [table[c].combine_chunks() for c in table.column_names]
-    postings = Postings.build(columns[0], columns[1], columns[2].to_numpy())
-    known = idf.select("token", "idf").toArrow().to_pandas().set_index("token")["idf"]
-    weights_of = known.reindex(postings.vocabulary)  # tokens in the order of the postings
-    extra = known[~known.index.isin(postings.vocabulary)]  # known tokens without a posting still count in the norm
-    vocabulary = postings.vocabulary.append(extra.index)
-    idf_of = np.concatenate([weights_of.fillna(0.0).to_numpy(), extra.to_numpy()])
-    postings.starts = np.concatenate([postings.starts, np.full(len(extra), postings.starts[-1])])
-    bias_term = int(postings.vocabulary.get_loc(BIAS)) if bias else -1
-    shared = items.sparkSession.sparkContext.broadcast((postings, vocabulary, idf_of))
-    hit = T.StructType(
-        [T.StructField("__ref", vectors.schema[ref_id].dataType), T.StructField("__score", T.DoubleType())]
-    )
-
-    @F.pandas_udf(hit)
-    def search(texts: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-        postings, vocabulary, idf_of = shared.value
-        places, distinct = pd.factorize(texts)
-        first = np.unique(places, return_index=True)[1]
-        row, term, weight = _weigh(tokens.iloc[first].to_list(), vocabulary, idf_of, settings)
-        if bias:
-            row, term, weight = _with_bias(row, term, weight, len(distinct), bias_term)
-        best, score = postings.best(row, term, weight, len(distinct))
-        return pd.DataFrame({"__ref": postings.ids.to_numpy(zero_copy_only=False)[best[places]], "__score": score[places]})
-
-    shown = F.coalesce(F.col(text), F.lit(""))
-    return items.withColumn("__hit", search(shown, settings.tokens(shown))).select("*", "__hit.*").drop("__hit")
-
-
-def _best_in_blocks(items, text, settings, idf, vectors, ref_id, bias, n_cells, block_cells) -> DataFrame:
-    texts = items.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).distinct()
-    weights = tfidf_transform(texts, "__text", "__text", idf, settings)
-    if bias:
-        weights = weights.unionByName(texts.select("__text", F.lit(BIAS).alias("token"), F.lit(1.0).alias("weight")))
-    weights = cut_lineage(weights)  # counted and then compared: computed once
-    n_weights = weights.count()
-
-    def compare(chunk: pa.Table, block: pa.Table) -> pa.Table:
-        def flat(side: pa.Table, id_name: str):
-            lists = side["terms"].combine_chunks()
-            row = np.repeat(np.arange(len(side)), lists.value_lengths().to_numpy())
-            return side[id_name].combine_chunks(), row, lists.flatten(), side["weights"].combine_chunks().flatten().to_numpy()
-
-        ids, row, tokens, values = flat(block, ref_id)
-        postings = Postings.build(ids.take(pa.array(row)), tokens, values)
-        ids, row, tokens, values = flat(chunk, "__text")
-        code = tokens.dictionary_encode()
-        term = postings.vocabulary.get_indexer(code.dictionary.to_pandas())[code.indices.to_numpy()]
-        known = term >= 0
-        best, score = postings.best(row[known], term[known], values[known], len(ids))
-        return pa.table([ids, postings.ids.take(pa.array(best)), pa.array(score)], names=["row", "ref", "score"])
-
-    best = chunked_best(
-        packed_vectors(weights, "__text"),
-        packed_vectors(vectors, ref_id),
-        "__text",
-        ref_id,
-        n_weights,
-        n_cells,
-        compare,
-        1,
-        block_cells=max(1, block_cells // 2),
-    ).select("__text", F.col(ref_id).alias("__best"), F.col("score").alias("__best_score"))
-    first = vectors.agg(F.min(ref_id)).scalar()
-    shown = items.withColumn("__shown", F.coalesce(F.col(text), F.lit("")))
-    joined = lookup_join(shown, best, "__shown", "__text").withColumn("__first", first)
-    return joined.select(
-        *items.columns,
-        F.coalesce("__best", "__first").alias("__ref"),
-        F.coalesce("__best_score", F.lit(0.0)).alias("__score"),
-    )
+    return BlockSearch.prepare(settings, idf, vectors, ref_id, block_bytes).search(items, text, skipped)
+
+
+@dataclass
+class BlockSearch:
+    """A reference side that has been measured; what fits one block is broadcast once and serves any number of searches."""
+
+    settings: TfidfSettings
+    ref_type: T.DataType
+    whole: object | None  # the broadcast block, if all fits one
+    blocks: Callable[[], tuple[list[pa.Table] | None, Iterator[Block]]]
+    context: object
+
+    @classmethod
+    def prepare(cls, settings: TfidfSettings, idf: DataFrame, vectors: DataFrame, ref_id: str, block_bytes: int = BLOCK_BYTES) -> BlockSearch:
+        hashed = idf.select(F.xxhash64("token").alias("key"), "idf")
+        context = vectors.sparkSession.sparkContext
+        pieces, blocks = _blocks(vectors, hashed, ref_id, block_bytes)
+        whole = context.broadcast(next(blocks)) if pieces is None else None
+        again = lambda: _blocks(vectors, hashed, ref_id, block_bytes)
+        return cls(settings, vectors.schema[ref_id].dataType, whole, again, context)
+
+    def search(self, items: DataFrame, text: str, skipped: Accumulator | None = None) -> DataFrame:
+        settings, context = self.settings, self.context
+        hit = T.StructType([T.StructField("ref", self.ref_type), T.StructField("score", T.DoubleType())])
+        shown = F.coalesce(F.col(text), F.lit(""))
+        hashes, same = _hashed(shown, settings), F.xxhash64(shown)
+        start = F.struct(F.lit(None).cast(self.ref_type).alias("ref"), F.lit(float("-inf")).alias("score"))
+        rows = items.withColumn("__hit", start)
+        if self.whole is None:
+            pieces, blocks = self.blocks()
+            rows = rows.withColumn("__norm", F.lit(0.0))
+            for i, piece in enumerate(pieces if settings.norm else ()):
+                rows = rows.withColumn("__norm", F.col("__norm") + self._norms(context.broadcast(piece))(hashes))
+                rows = cut_lineage(rows) if i % PASSES == PASSES - 1 else rows
+            norm, shared = F.col("__norm"), (context.broadcast(b) for b in blocks)
+        else:
+            norm, shared = F.lit(None).cast("double"), iter([self.whole])
+        for i, block in enumerate(shared):
+            rows = rows.withColumn("__hit", self._search(block, hit, skipped)(same, hashes, norm, F.col("__hit.ref"), F.col("__hit.score")))
+            rows = cut_lineage(rows) if i % PASSES == PASSES - 1 else rows
+        return rows.select(*items.columns, F.col("__hit.ref").alias("__ref"), F.col("__hit.score").alias("__score"))
+
+    def _norms(self, shared) -> Callable:
+        settings = self.settings
+
+        @F.pandas_udf(T.DoubleType())
+        def norms(tokens: pd.Series) -> pd.Series:
+            piece = shared.value.sort_by("key")
+            row, _, weight = _term_weights(tokens.to_list(), piece["key"].to_numpy(), piece["idf"].to_numpy(), settings.sublinear_tf)
+            return pd.Series(_parts_of_norm(row, weight, len(tokens), settings.norm))
+
+        return norms
+
+    def _search(self, shared, hit: T.StructType, skipped: Accumulator | None) -> Callable:
+        settings = self.settings
+
+        @F.pandas_udf(hit)
+        def search(same: pd.Series, tokens: pd.Series, norm: pd.Series, ref: pd.Series, score: pd.Series) -> pd.DataFrame:
+            block = shared.value
+            places, distinct = pd.factorize(same)
+            first = np.unique(places, return_index=True)[1]
+            n = len(distinct)
+            row, term, weight = _term_weights(tokens.iloc[first].to_list(), block.keys, block.idf, settings.sublinear_tf)
+            parts = norm.iloc[first].to_numpy(dtype=np.float64)
+            if len(parts) and np.isnan(parts[0]):  # the block has the whole vocabulary
+                parts = _parts_of_norm(row, weight, n, settings.norm)
+            weight = weight / _divisor(parts, settings.norm)[row]
+            so_far = score.iloc[first].to_numpy(dtype=np.float64)
+            live = block.bounds(row, term, weight, n) > so_far if len(block.ids) else np.zeros(n, bool)
+            if skipped is not None:
+                skipped.add(int(n - live.sum()))
+            number = np.cumsum(live) - 1
+            kept = live[row]
+            best, found = block.best(number[row[kept]], term[kept], weight[kept], int(live.sum()))
+            better = np.zeros(n, bool)
+            better[live] = found > so_far[live]
+            new_ref, new_score = ref.iloc[first].to_numpy(dtype=object), so_far.copy()
+            new_ref[better] = np.array(block.ids.take(pa.array(best[better[live]])).to_pylist(), dtype=object)
+            new_score[better] = found[better[live]]
+            return pd.DataFrame({"ref": new_ref[places], "score": new_score[places]})
+
+        return search
