@@ -91,3 +91,28 @@ def test_sublevels(preds):
     got = rows(E.results_by_sublevel(preds, "segment", "family").select("upper_label", "sub_label", "correct", "incorrect"))
     assert got == [("s1", "f1", 1, 1), ("s1", "f2", 0, 1)]
     assert rows(E.sublevel_summary(preds, "segment", "family").select("upper_label", "n_sub_labels", "total", F.round("accuracy", 3))) == [("s1", 2, 3, 33.333)]
+
+
+def test_running_sums_over_ranges(spark):
+    from tierlabel.operators.groups import running_sums
+
+    data = [(g, i, (i * 7) % 5) for g in ("a", "b", None) for i in range(50 if g else 3)]
+    df = spark.createDataFrame(data, "g string, i int, v long").repartition(5)
+    got = running_sums(df, "g", [F.desc("v"), F.asc("i")], {"upto": F.col("v"), "place": F.lit(1)})
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    for g in ("a", "b", None):
+        own = sorted([(-v, i) for x, i, v in data if x == g])
+        found = {r.i: (r.upto, r.place, r.upto_total, r.place_total) for r in got.collect() if r.g == g}
+        total = -sum(v for v, _ in own)
+        assert found == {i: (-sum(v for v, _ in own[: k + 1]), k + 1, total, len(own)) for k, (_, i) in enumerate(own)}
+    assert running_sums(df.limit(0), "g", [F.asc("i")], {"upto": F.col("v")}).collect() == []
+
+
+def test_levels_come_from_one_scan(spark, small):
+    from tierlabel.plans.evaluation_queries import predictions
+
+    rows_ = predictions(spark, small)
+    for operator in (E.level_distribution, E.classification_results):
+        found = E.all_levels(operator, rows_)
+        for level in E.LEVELS:
+            assert rows(found.filter(F.col("level") == level).drop("level")) == rows(operator(rows_, level))

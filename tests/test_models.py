@@ -60,6 +60,24 @@ def test_ties_null_and_zero_vectors(spark):
         D.top_k_similar(targets, refs, 0)
 
 
+def test_pairs_at_least_skip_and_stay_exact(spark, small):
+    rng = np.random.default_rng(1)
+    for dim in (1, 3, 64):
+        a, b = D.unit_rows(rng.normal(size=(40, dim))), D.unit_rows(rng.normal(size=(30, dim)) * np.linspace(3, 0.1, dim))
+        whole = np.round(a @ b.T, 9)
+        for at_least in (-1.0, 0.0, 0.4, 0.9, 1.0):
+            row, col, score, dropped = D.pairs_at_least(a, b, at_least)
+            assert set(zip(row.tolist(), col.tolist())) == set(map(tuple, np.argwhere(whole >= at_least).tolist()))
+            assert score == pytest.approx(whole[row, col], abs=1e-9)
+        assert dropped > 0 or dim < 64
+    e = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    skipped = spark.sparkContext.accumulator(0)
+    near = D.cosine_scores(e, e.withColumnRenamed("vec_id", "reference_id"), "vec_id", at_least=0.97, skipped=skipped)
+    full = D.cosine_scores(e, e.withColumnRenamed("vec_id", "reference_id"), "vec_id", broadcast_cells=9000).filter("score >= 0.97")
+    same(near, full)
+    assert skipped.value > 0
+
+
 def test_more_neighbours_than_references(spark):
     targets = spark.createDataFrame([(1, [1.0, 0.0])], "id int, vector array<double>")
     refs = spark.createDataFrame([(4, [1.0, 0.0]), (7, [0.0, 1.0])], "reference_id int, vector array<double>")

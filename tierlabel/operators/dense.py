@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,6 +281,26 @@ def cosine_top1(
     return best.select(target_id, reference_id, (F.round(F.lit(1.0) - F.col("score"), DECIMALS) + 0.0).alias("distance"))
 
 
+def pairs_at_least(a: np.ndarray, b: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pairs of rows whose rounded dot product reaches a value: ``(row of a, row of b, score)``; and how many were not scored.
+
+    The dimensions in which ``b`` is largest come first; what the others add is at most the product of their lengths.
+    """
+    order = np.argsort(-(b * b).sum(axis=0), kind="stable")
+    head, tail = order[: -(-len(order) // 4)], order[-(-len(order) // 4) :]
+    rest_a, rest_b = (np.sqrt((x[:, tail] ** 2).sum(axis=1)) for x in (a, b))
+    bound = a[:, head] @ b[:, head].T + np.outer(rest_a, rest_b)
+    row, col = np.nonzero(bound >= at_least - 10.0 ** (1 - DECIMALS))
+    scores = np.empty(len(row))
+    step = max(1, SCORE_CELLS // max(1, a.shape[1]))
+    for at in range(0, len(row), step):
+        cut = slice(at, at + step)
+        scores[cut] = np.einsum("ij,ij->i", a[row[cut]], b[col[cut]])
+    scores = np.round(scores, DECIMALS) + 0.0
+    hit = scores >= at_least
+    return row[hit], col[hit], scores[hit], bound.size - len(row)
+
+
 def cosine_scores(
     queries: DataFrame,
     documents: DataFrame,
@@ -289,11 +310,13 @@ def cosine_scores(
     document_vector: str = "vector",
     at_least: float | None = None,
     broadcast_cells: int = BROADCAST_CELLS,
+    skipped: Accumulator | None = None,
 ) -> DataFrame:
     """Every query against every document: ``(query, document, score)``, or the pairs that reach ``at_least``.
 
     The full matrix is what this operator is asked for without a threshold; for the best ones use ``top_k_similar``.
-    Documents pass by in blocks, one pass over the queries each.
+    Documents pass by in blocks, one pass over the queries each. With a threshold, a quarter of the dimensions and the length of the
+    rest bound a score from above; pairs whose bound stays below it are not scored (``skipped`` counts them), and only hits are written.
     """
     asked = _with_vector(queries, query_id, query_vector)
     known = _with_vector(documents, document_id, document_vector)
@@ -314,9 +337,15 @@ def cosine_scores(
             for batch in batches:
                 for at in range(0, len(batch) if len(ids) else 0, step):
                     part = batch.slice(at, step)
-                    values = np.round(unit_matrix(part.column(1), matrix.shape[1]) @ matrix.T, DECIMALS) + 0.0
-                    row, col = np.nonzero(values >= (-np.inf if at_least is None else at_least))
-                    columns = [part.column(0).take(pa.array(row)), ids.take(pa.array(col)), pa.array(values[row, col])]
+                    given = unit_matrix(part.column(1), matrix.shape[1])
+                    if at_least is None:
+                        row, col = (x.ravel() for x in np.indices((len(given), len(matrix))))
+                        values = (np.round(given @ matrix.T, DECIMALS) + 0.0).ravel()
+                    else:
+                        row, col, values, dropped = pairs_at_least(given, matrix, at_least)
+                        if skipped is not None:
+                            skipped.add(dropped)
+                    columns = [part.column(0).take(pa.array(row)), ids.take(pa.array(col)), pa.array(values)]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
         scored = asked.mapInArrow(score, schema)
@@ -333,8 +362,9 @@ def text_scores(
     document_text: str = "text",
     prompt: str = "",
     dim: int = 64,
+    at_least: float | None = None,
 ) -> DataFrame:
-    """Scores of texts; ``prompt`` is put in front of the query texts only."""
+    """Scores of texts, or those that reach ``at_least``; ``prompt`` is put in front of the query texts only."""
     asked = queries.select(query_id, hashed_encoder(F.concat(F.lit(prompt), F.col(query_text)), dim).alias("vector"))
     known = documents.select(document_id, hashed_encoder(F.col(document_text), dim).alias("vector"))
-    return cosine_scores(asked, known, query_id, document_id)
+    return cosine_scores(asked, known, query_id, document_id, at_least=at_least)

@@ -7,12 +7,13 @@ windows below order is one row per label, not per item.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierlabel.operators.groups import running_sums
+
 # The taxonomy levels, the confidence levels and the cut-offs of the running share.
 LEVELS = ("segment", "family", "class")
 CONFIDENCE_LEVELS = ("Low", "Medium", "High")
@@ -120,52 +121,68 @@ def classification_summary(
     return labels.agg(*columns)
 
 
-def _label_counts(df: DataFrame, level: str) -> DataFrame:
-    present = df.filter(F.col(level).isNotNull())
-    return present.groupBy(F.col(level).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+Levels = str | Sequence[str]
+
+
+def _label_counts(df: DataFrame, levels: Levels, **sums: str) -> DataFrame:
+    """``(level, label, n, ..)``: rows per label of all levels in one scan; of ``sums`` the rows right with that prefix."""
+    names = [levels] if isinstance(levels, str) else list(levels)
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(lv).alias("level"),
+                F.col(lv).cast("string").alias("label"),
+                *[_right(lv, f"{prefix}{lv}").cast("long").alias(name) for name, prefix in sums.items()],
+            )
+            for lv in names
+        ]
+    )
+    long = df.select(F.explode(each).alias("r")).select("r.*").filter(F.col("label").isNotNull())
+    return long.groupBy("level", "label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(name).alias(name) for name in sums])
+
 
+def _shown(df: DataFrame, levels: Levels) -> DataFrame:
+    return df.drop("level") if isinstance(levels, str) else df
 
-def level_distribution(df: DataFrame, level: str) -> DataFrame:
+
+def level_distribution(df: DataFrame, levels: Levels) -> DataFrame:
     """Rows per label in falling order, with running count, share of all, and places from both ends.
 
-    ``share`` is the percentage of all rows; reports show it for the ten largest labels. Equal counts are
-    ordered by label. ``top_3``, ``top_5`` and ``bottom_5`` mark the ends of the list.
+    For a list of levels, they come from one scan, with the level as first column. ``share`` is the percentage of all rows;
+    reports show it for the ten largest labels. Equal counts are ordered by label. ``top_3``, ``top_5`` and ``bottom_5`` mark
+    the ends of the list.
     """
     order = [F.desc("n"), F.asc("label")]
-    down = Window.orderBy(*order)
-    counted = _label_counts(df, level)
-    everything = Window.partitionBy()
-    ranked = counted.select(
-        "label",
-        "n",
-        F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cumulative"),
-        F.row_number().over(down).cast("long").alias("place"),
-        F.sum("n").over(everything).alias("__total"),
-        F.count(F.lit(1)).over(everything).alias("__labels"),
-    )
-    return ranked.select(
-        "label",
-        "n",
-        "cumulative",
-        F.round(F.col("n") * 100.0 / F.col("__total"), 9).alias("share"),
-        "place",
-        (F.col("place") <= 3).alias("top_3"),
-        (F.col("place") <= 5).alias("top_5"),
-        (F.col("place") > F.col("__labels") - 5).alias("bottom_5"),
+    ranked = running_sums(_label_counts(df, levels), "level", order, {"cumulative": F.col("n"), "place": F.lit(1).cast("long")})
+    return _shown(
+        ranked.select(
+            "level",
+            "label",
+            "n",
+            "cumulative",
+            F.round(F.col("n") * 100.0 / F.col("cumulative_total"), 9).alias("share"),
+            "place",
+            (F.col("place") <= 3).alias("top_3"),
+            (F.col("place") <= 5).alias("top_5"),
+            (F.col("place") > F.col("place_total") - 5).alias("bottom_5"),
+        ),
+        levels,
     )
 
 
-def pareto_cutoff(df: DataFrame, level: str, shares: Sequence[float] = PARETO_SHARES) -> DataFrame:
+def pareto_cutoff(df: DataFrame, levels: Levels, shares: Sequence[float] = PARETO_SHARES) -> DataFrame:
     """Per share p the last label whose running count is at most p of all rows; null if the first exceeds it."""
-    spread = level_distribution(df, level).select("label", "cumulative")
-    total = F.max("cumulative").over(Window.partitionBy())
-    spread = spread.withColumn("__total", total)
+    names = [levels] if isinstance(levels, str) else list(levels)
+    spread = running_sums(_label_counts(df, names), "level", [F.desc("n"), F.asc("label")], {"cumulative": F.col("n")})
+    total = F.col("cumulative_total")
     cuts = [
-        F.max_by("label", F.when(F.col("cumulative") <= F.col("__total") * F.lit(p), F.col("cumulative"))).alias(f"c{i}")
+        F.max_by("label", F.when(F.col("cumulative") <= total * F.lit(p), F.col("cumulative"))).alias(f"c{i}")
         for i, p in enumerate(shares)
     ]
+    found = spread.groupBy("level").agg(*cuts)
     rows = F.array(*[F.struct(F.lit(float(p)).alias("share"), F.col(f"c{i}").alias("label")) for i, p in enumerate(shares)])
-    return spread.agg(*cuts).select(F.explode(rows).alias("r")).select("r.share", "r.label")
+    every = df.sparkSession.createDataFrame([(lv,) for lv in names], "level string")
+    return _shown(every.join(found, "level", "left").select("level", F.explode(rows).alias("r")).select("level", "r.share", "r.label"), levels)
 
 
 def taxonomy_coverage(
@@ -199,7 +216,7 @@ def confidence_distribution(df: DataFrame, mode: str = "full", levels: Sequence[
     a true label count. Levels without a prediction column are skipped.
     """
     if mode not in ("full", "correct", "incorrect"):
-        raise ValueError("mode must be one of: 'full', 'correct', 'incorrect'")
+        raise ValueError(f"unknown mode {mode!r}: rows are full, correct or incorrect")
     present = [lv for lv in levels if f"pred_{lv}" in df.columns]
     if not present:
         raise ValueError("no prediction column")
@@ -222,33 +239,34 @@ def confidence_distribution(df: DataFrame, mode: str = "full", levels: Sequence[
     return df.agg(*counts).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def classification_results(df: DataFrame, level: str, mode: str = "absolute") -> DataFrame:
+def classification_results(df: DataFrame, levels: Levels, mode: str = "absolute") -> DataFrame:
     """Per true label the right, wrong and all rows, as counts or percentages, with places from both ends.
 
-    ``place`` orders by all rows; ``top_5`` and ``bottom_5`` mark the labels with the most and the fewest
-    (or best and worst) right rows.
+    For a list of levels, they come from one scan, with the level as first column. ``place`` orders by all rows;
+    ``top_5`` and ``bottom_5`` mark the labels with the most and the fewest (or best and worst) right rows.
     """
     if mode not in ("absolute", "percentage"):
         raise ValueError("mode must be 'absolute' or 'percentage'")
-    counted = (
-        df.filter(F.col(level).isNotNull())
-        .groupBy(F.col(level).alias("label"))
-        .agg(_count_if(_right(level, f"pred_{level}")).alias("correct"), F.count(F.lit(1)).alias("total"))
-        .withColumn("incorrect", F.col("total") - F.col("correct"))
-    )
+    counted = _label_counts(df, levels, correct="pred_").withColumnRenamed("n", "total")
+    counted = counted.withColumn("incorrect", F.col("total") - F.col("correct"))
     if mode == "percentage":
         for c in ("correct", "incorrect"):
             counted = counted.withColumn(c, F.round(F.col(c) * 100.0 / F.col("total"), 9))
-    by_right = F.row_number().over(Window.orderBy(F.desc("correct"), F.asc("label")))
-    labels = F.count(F.lit(1)).over(Window.partitionBy())
-    return counted.select(
-        "label",
-        "correct",
-        "incorrect",
-        "total",
-        F.row_number().over(Window.orderBy(F.desc("total"), F.asc("label"))).cast("long").alias("place"),
-        (by_right <= 5).alias("top_5"),
-        (by_right > labels - 5).alias("bottom_5"),
+    one = F.lit(1).cast("long")
+    placed = running_sums(counted, "level", [F.desc("total"), F.asc("label")], {"place": one}).drop("place_total")
+    placed = running_sums(placed, "level", [F.desc("correct"), F.asc("label")], {"by_right": one})
+    return _shown(
+        placed.select(
+            "level",
+            "label",
+            "correct",
+            "incorrect",
+            "total",
+            "place",
+            (F.col("by_right") <= 5).alias("top_5"),
+            (F.col("by_right") > F.col("by_right_total") - 5).alias("bottom_5"),
+        ),
+        levels,
     )
 
 
@@ -278,6 +296,5 @@ def sublevel_summary(df: DataFrame, upper: str, sub: str) -> DataFrame:
 
 
 def all_levels(operator, df: DataFrame, levels: Sequence[str] = LEVELS, **options) -> DataFrame:
-    """The same operator for several levels, with the level as first column."""
-    frames = [operator(df, lv, **options).select(F.lit(lv).alias("level"), "*") for lv in levels]
-    return reduce(DataFrame.unionByName, frames)
+    """``level_distribution``, ``pareto_cutoff`` or ``classification_results`` for several levels, from one scan."""
+    return operator(df, list(levels), **options)

@@ -140,5 +140,10 @@ def distinct_titles(taxonomy: DataFrame, title: str, order: str = "row_idx") ->
 
 
 def top_1(distances: DataFrame, target: str, reference: str, distance: str = "distance") -> DataFrame:
-    """The nearest reference of each target; equal distances go to the lowest reference id."""
-    return first_rows(distances, [target], [distance, reference])
+    """The nearest reference of each target; equal distances go to the lowest reference id.
+
+    A minimum over (distance, reference, other columns): each task keeps one row per target before anything is shuffled.
+    """
+    others = [c for c in distances.columns if c not in (target, reference, distance)]
+    best = distances.groupBy(target).agg(F.min(F.struct(distance, reference, *others)).alias("__best"))
+    return best.select(*[target if c == target else F.col(f"__best.{c}").alias(c) for c in distances.columns])

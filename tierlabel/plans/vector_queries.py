@@ -209,9 +209,26 @@ def top_k_of_repeated_ids(spark, sf):
                   row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS rn FROM scores) t WHERE rn = 1""",
 )
 def top_1_per_group(spark, sf):
-    scores = D.cosine_scores(_targets(spark, sf), _class_prototypes(spark, sf), "vec_id")
+    candidates = D.top_k_similar(_targets(spark, sf), _class_prototypes(spark, sf), 5, "vec_id")
     distance = (F.round(F.lit(1.0) - F.col("score"), 9) + 0.0).alias("distance")
-    return G.top_1(scores.select("vec_id", "reference_id", distance), "vec_id", "reference_id")
+    return G.top_1(candidates.select("vec_id", "reference_id", distance), "vec_id", "reference_id")
+
+
+@query(
+    "a08_top_1_of_candidates",
+    """SELECT l_partkey, l_suppkey, distance FROM
+         (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY distance, l_suppkey) AS rn FROM
+            (SELECT l_partkey, l_suppkey, round(l_extendedprice / l_quantity, 9) AS distance FROM lineitem) c) t WHERE rn = 1""",
+)
+def top_1_of_candidates(spark, sf):
+    """The cheapest supplier of each part, from all offers."""
+    distance = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 9).alias("distance")
+    return G.top_1(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", distance), "l_partkey", "l_suppkey")
+
+
+@query("v04_at_least", f"WITH {_EMBEDDING_SQL} SELECT vec_id, id AS reference_id, score + 0.0e0 AS score FROM scores WHERE score >= 0.6")
+def cosine_scores_at_least(spark, sf):
+    return D.cosine_scores(_targets(spark, sf), _class_prototypes(spark, sf), "vec_id", at_least=0.6)
 
 
 @query(
@@ -285,6 +302,22 @@ def create_embeddings(spark, sf):
     return wide.select("id", *[(F.round(F.col(f"embed_{i}").cast("double"), 6) + 0.0).alias(f"embed_{i}") for i in range(64)])
 
 
+@query(
+    "v04_prompt",
+    f"""WITH names AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name),
+             brands AS (SELECT p_brand, min(p_partkey) AS reference_id FROM part GROUP BY p_brand),
+             texts AS (SELECT 'class of: ' || p_name AS t FROM names UNION SELECT p_brand AS t FROM brands), {ENCODER_SQL}
+        SELECT id, reference_id, round(list_cosine_similarity(a.v, b.v), 9) + 0.0e0 AS score
+        FROM names JOIN enc a ON a.t = 'class of: ' || p_name, brands JOIN enc b ON b.t = p_brand""",
+)
+def scores_with_a_prompt(spark, sf):
+    """Distinct product names, with a prompt in front, against distinct brands."""
+    part = table(spark, sf, "part")
+    names = part.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id"))
+    brands = part.groupBy(F.col("p_brand").alias("text")).agg(F.min("p_partkey").alias("reference_id"))
+    return D.text_scores(names, brands, prompt="class of: ")
+
+
 @query(
     "j01_result_table",
     f"""WITH {_EMBEDDING_SQL}
@@ -366,6 +399,13 @@ def brand_similarity(spark, sf):
     return model.predict(inputs.items(spark, sf).select("item_id", "product_name"), "product_name")
 
 
+@query("v09_brand_similarity_in_blocks", BRAND_SQL)
+def brand_similarity_in_blocks(spark, sf):
+    """The catalogue passes by in blocks of 100 kB."""
+    model = CatalogueModel.fit(inputs.catalogue(spark, sf))
+    return model.predict(inputs.items(spark, sf).select("item_id", "product_name"), "product_name", block_bytes=100_000)
+
+
 @query(
     "v09_brand_similarity_of_documents",
     f"""WITH texts AS (SELECT DISTINCT text AS t FROM documents), {_CATALOGUE_SQL}
