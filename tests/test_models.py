@@ -17,6 +17,7 @@ from tierlabel.operators.linear import LinearModel, _direction, _minimise
 from tierlabel.operators.tables import split_dataset
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
+from tierlabel.plans.bundle import catalogue_handle, load_ensemble, save_ensemble, versions
 from tierlabel.plans.ensemble import OUTPUT_COLUMNS, Ensemble, as_items, title_vectors, train, train_and_test
 from tierlabel.plans.jobs import classify_file, write_profile
 from tierlabel.sources.tables import write_csv
@@ -280,7 +281,7 @@ def test_sparse_blocks_hold_their_bytes(spark, small):
 
 def test_brands_of_documents_move_no_texts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    found = CatalogueModel.fit(inputs.catalogue(spark, small)).handle().search(docs, "text")
+    found = CatalogueModel.fit(inputs.catalogue(spark, small)).handle().references.search(docs, "text")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
@@ -497,6 +498,47 @@ def test_stream_equals_batch_and_continues(spark, small, tmp_path):
     same(spark.read.parquet(sink).drop("batch_id"), model.predict(items, "product_name"))
 
 
+def test_bundle_and_stream_handle(spark, small, tmp_path):
+    items = inputs.items(spark, small).select("item_id", "product_name", "class")
+    gpc, catalogue = inputs.full_taxonomy(spark, small), inputs.catalogue(spark, small)
+    languages = LanguageModel.fit(inputs.items(spark, small), "product_name", "lang")
+    memory = spark.createDataFrame([("a", "b")], "source string, translation string")
+    ensemble, linear = train(items, gpc, catalogue, languages=languages, memory=memory)
+    folder = str(tmp_path / "bundle")
+    with pytest.raises(FileNotFoundError):
+        load_ensemble(spark, folder)
+    assert save_ensemble(ensemble, linear, folder) == "version-000001"
+    loaded = load_ensemble(spark, folder)
+    asked = items.drop("class").limit(40)
+    same(ensemble.flat(asked), loaded.flat(asked))
+    assert loaded.dim == ensemble.dim and rows(loaded.memory) == [("a", "b")] and loaded.languages.languages == languages.languages
+
+    # a version without a manifest is not there; one that lacks a part is an error
+    (tmp_path / "bundle" / "version-000002").mkdir()
+    assert versions(spark, folder) == ["version-000001"]
+    handle = catalogue_handle(spark, folder)
+    first = handle.get()
+    first.predict(asked, "product_name").collect()
+    spark.sparkContext.setJobGroup("second batch", "")
+    assert handle.get() is first
+    again = handle.get().predict(asked, "product_name")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("second batch") == []
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "Subquery" not in plan
+    spark.sparkContext.setJobGroup("rest", "")
+
+    smaller = CatalogueModel.fit(catalogue.filter("row_idx < 20"))
+    ensemble.brands, ensemble.memory = smaller, TranslationMemory(spark, str(tmp_path / "memory"))
+    assert save_ensemble(ensemble, linear, folder) == "version-000003"
+    assert handle.get() is not first and handle.version == "version-000003"
+    same(handle.get().predict(asked, "product_name"), smaller.predict(asked, "product_name"))
+    assert load_ensemble(spark, folder).memory.path == str(tmp_path / "memory")
+    (tmp_path / "bundle" / "version-000003" / "linear" / "weights" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError, match="linear/weights"):
+        load_ensemble(spark, folder)
+    same(load_ensemble(spark, folder, "version-000001").flat(asked), loaded.flat(asked))
+
+
 @pytest.mark.parametrize("partitions", [1, 16])
 def test_results_do_not_depend_on_partitions(spark, small, partitions):
     items = inputs.items(spark, small).select("item_id", "product_name")

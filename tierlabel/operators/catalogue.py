@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierlabel.functions.text import product_document
 from tierlabel.operators.sparse import BLOCK_BYTES, BlockSearch
@@ -15,6 +19,25 @@ from tierlabel.operators.tfidf import TfidfSettings, load_settings, save_setting
 LABELS = ("Segment", "Family", "Class")
 
 
+@dataclass
+class CatalogueHandle:
+    """What scoring needs of a catalogue: the search, the first row, and the labels by row if they fit a block."""
+
+    references: BlockSearch
+    first: object
+    labels: Broadcast | None
+
+    def label_column(self) -> Callable:
+        shared = self.labels
+
+        @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in LABELS]))
+        def look_up(rows: pd.Series) -> pd.DataFrame:
+            found = shared.value.reindex(rows).reset_index(drop=True).astype(object)
+            return found.where(found.notna(), None)
+
+        return look_up
+
+
 @dataclass
 class CatalogueModel:
     """TF-IDF fitted on the catalogue's own documents, with the catalogue's vectors and labels as tables."""
@@ -23,7 +46,7 @@ class CatalogueModel:
     idf: DataFrame
     vectors: DataFrame
     rows: DataFrame
-    _handles: dict[int, BlockSearch] = field(default_factory=dict, repr=False, compare=False)
+    _handles: dict[int, CatalogueHandle] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def fit(cls, catalogue: DataFrame, settings: TfidfSettings = TfidfSettings()) -> CatalogueModel:
@@ -33,31 +56,41 @@ class CatalogueModel:
         vectors = tfidf_transform(docs, "row_idx", "document", idf, settings)
         return cls(settings, idf.persist(), vectors.persist(), catalogue.select("row_idx", *LABELS))
 
-    def handle(self, block_bytes: int = BLOCK_BYTES) -> BlockSearch:
-        """The measured and, if it fits one block, broadcast reference side; made once, so that later calls start no job."""
+    def handle(self, block_bytes: int = BLOCK_BYTES) -> CatalogueHandle:
+        """The reference side, measured and, as far as it fits a block, broadcast; made once, so that later calls start no job."""
         if block_bytes not in self._handles:
-            self._handles[block_bytes] = BlockSearch.prepare(self.settings, self.idf, self.vectors, "row_idx", block_bytes)
+            search = BlockSearch.prepare(self.settings, self.idf, self.vectors, "row_idx", block_bytes)
+            size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in LABELS), F.lit(16 * (1 + len(LABELS))))
+            measured = self.rows.agg(F.min("row_idx").alias("first"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+            labels = None
+            if measured["bytes"] <= block_bytes:
+                labels = self.rows.sparkSession.sparkContext.broadcast(self.rows.select("row_idx", *LABELS).toPandas().set_index("row_idx"))
+            self._handles[block_bytes] = CatalogueHandle(search, measured["first"], labels)
         return self._handles[block_bytes]
 
     def predict(self, items: DataFrame, text: str, prefix: str = "brand_", block_bytes: int = BLOCK_BYTES) -> DataFrame:
         """Items with the catalogue row, cosine score and labels of their best entry.
 
         The first entry wins ties. A text without any known token gets the first catalogue row, score 0
-        and ``matched = false``.
+        and ``matched = false``. Labels that fit a block are broadcast with it; others are joined.
         """
-        scored = self.handle(block_bytes).search(items, text)
+        handle = self.handle(block_bytes)
+        scored = handle.references.search(items, text)
         # without any known token: the first row, whether or not it has a vector
-        nothing = F.col("__score") == 0
-        scored = scored.withColumn("__ref", F.when(nothing, self.rows.agg(F.min("row_idx")).scalar()).otherwise(F.col("__ref")))
-        labels = [F.col(c).alias(f"{prefix}{c.lower()}") for c in LABELS]
-        lookup = self.rows.select(F.col("row_idx").alias("__row"), *labels)
-        return lookup_join(scored, lookup, "__ref", "__row").select(
-            *items.columns,
+        first = F.lit(handle.first).cast(self.rows.schema["row_idx"].dataType)
+        ref = F.when(F.coalesce(F.col("__score"), F.lit(0.0)) > 0, F.col("__ref")).otherwise(first)
+        scored = scored.withColumn("__ref", ref)
+        found = [
             F.col("__ref").alias(f"{prefix}row"),
-            F.col("__score").alias(f"{prefix}score"),
+            F.greatest(F.col("__score"), F.lit(0.0)).alias(f"{prefix}score"),
             (F.col("__score") > 0).alias(f"{prefix}matched"),
-            *[f"{prefix}{c.lower()}" for c in LABELS],
-        )
+        ]
+        names = [f"{prefix}{c.lower()}" for c in LABELS]
+        if handle.labels is not None:
+            looked_up = scored.withColumn("__labels", handle.label_column()(F.col("__ref")))
+            return looked_up.select(*items.columns, *found, *[F.col(f"__labels.{c}").alias(n) for c, n in zip(LABELS, names)])
+        lookup = self.rows.select(F.col("row_idx").alias("__row"), *[F.col(c).alias(n) for c, n in zip(LABELS, names)])
+        return lookup_join(scored, lookup, "__ref", "__row").select(*items.columns, *found, *names)
 
     def save(self, path: str) -> None:
         for name in ("idf", "vectors", "rows"):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlabel.operators.language import translate_missing
+from tierlabel.sources.folders import is_complete, subfolders
 
 _SCHEMA = "source string, translation string"
 
@@ -25,18 +26,10 @@ class TranslationMemory:
     spark: SparkSession
     path: str
 
-    def _system(self):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def batches(self) -> list[str]:
         """The names of the complete batches."""
-        folder, system = self._system()
-        if not system.exists(folder):
-            return []
-        found = [s.getPath() for s in system.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("batch=")]
-        marked = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(p.getName()[len("batch=") :] for p in found if system.exists(marked(p, "_SUCCESS")))
+        names = [n for n in subfolders(self.spark, self.path) if n.startswith("batch=")]
+        return [n[len("batch=") :] for n in names if is_complete(self.spark, f"{self.path}/{n}")]
 
     def table(self) -> DataFrame:
         """``(source, translation)``, one row per source; of two batches the first by name counts."""

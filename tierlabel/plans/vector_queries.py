@@ -17,6 +17,7 @@ from tierlabel.operators.memory import TranslationMemory
 from tierlabel.operators.tables import result_table
 from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
+from tierlabel.plans.bundle import load_ensemble, save_ensemble
 from tierlabel.plans.ensemble import Ensemble, title_vectors, train, train_and_test
 from tierlabel.plans.inputs import table
 from tierlabel.plans.registry import query
@@ -581,6 +582,18 @@ def run_ensemble(spark, sf):
     return rows.drop("lang").withColumn("confidence_rate", F.round("confidence_rate", 9))
 
 
+_VOTED_BY_SVM = _ensemble_sql("SELECT p_partkey AS item_id, p_brand || ' ' || p_name AS product_name, p_brand || ' ' || p_name AS t, p_name AS clf_class FROM part")
+
+
+@query("v12_ensemble_bundle", f"WITH {_VOTED_BY_SVM} SELECT {_FLAT_COLUMNS} FROM w JOIN firsts ON firsts.c = pred_class")
+def ensemble_bundle(spark, sf):
+    """The fitted ensemble saved, and loaded as it was."""
+    items, folder = inputs.items(spark, sf), scratch_path(spark, "bundle")
+    save_ensemble(*train(items, inputs.full_taxonomy(spark, sf), inputs.catalogue(spark, sf)), folder)
+    rows = load_ensemble(spark, folder).flat(items.select("item_id", "product_name"))
+    return rows.withColumn("confidence_rate", F.round("confidence_rate", 9))
+
+
 _DOCUMENT_MEMORY = "SELECT text AS source, min(doc_id) AS k FROM documents WHERE lang IN ('fr', 'de') GROUP BY text"
 
 _VOTED_DOCUMENTS = _ensemble_sql(f"""SELECT d.doc_id AS item_id, d.text AS product_name,
@@ -615,9 +628,6 @@ def ensemble_of_documents(spark, sf):
     return rows.drop("product_name")
 
 
-_VOTED_BY_SVM = _ensemble_sql("SELECT p_partkey AS item_id, p_brand || ' ' || p_name AS product_name, p_brand || ' ' || p_name AS t, p_name AS clf_class FROM part")
-
-
 @query("v14_ensemble_with_svm", f"WITH {_VOTED_BY_SVM} SELECT {_FLAT_COLUMNS} FROM w JOIN firsts ON firsts.c = pred_class")
 def ensemble_with_svm(spark, sf):
     """All three classifiers fitted and voting: the fifteen output columns."""

@@ -24,6 +24,9 @@ def score_stream(
     Items do not depend on each other, so the stream has no state and needs no watermark. Each micro-batch runs
     the batch function ``score`` and overwrites its own folder ``batch_id=n``: a batch that is repeated after a
     failure leaves the same rows once. By default all files that are there are scored and the query ends.
+
+    A ``score`` that asks a ``ModelHandle`` for its model takes a new version between micro-batches, and starts no
+    job for the model while the version stays the same.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
