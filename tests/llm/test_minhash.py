@@ -96,3 +96,13 @@ def test_connected_components(spark):
     want = {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 560)}, 8: 8, 9: 8}
     assert out == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_row_of_each_group_stays_without_usable_ids(spark, documents):
+    same, other = "a b c d e f g h", "one two three four five six seven"
+    docs = documents([(1, same), (1, same), (2, same), (None, same), (None, same), (3, other), (None, ""), (None, None), (4, "")])
+    left = drop_near_duplicates(docs).collect()
+    assert sorted(repr(r.text) for r in left) == sorted(map(repr, [same, other, "", None, ""]))
+    assert left[0].asDict().keys() == docs.first().asDict().keys()
+    unique = documents([(5, same), (3, same), (9, other)])
+    assert sorted(r.doc_id for r in drop_near_duplicates(unique).collect()) == [3, 9]

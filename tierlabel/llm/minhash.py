@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from hashlib import blake2b
 
@@ -392,6 +392,15 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
 
 
 def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
-    """The documents with one of each group kept, columns unchanged."""
-    gone = near_duplicates(docs, settings).filter("NOT kept").select(F.col(settings.id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(settings.id_col) == F.col("__gone"), "left_anti")
+    """The documents with one of each group kept, columns unchanged.
+
+    The smallest id of a group stays. Where ids are null or occur twice, rows get a stored number in place of the id,
+    and the smallest number stays, so that repeated rows and copies without an id go too.
+    """
+    id_col = settings.id_col
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        gone = near_duplicates(docs, settings).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
+        return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    numbered = store(docs.withColumn("__row", F.monotonically_increasing_id()), "near-numbered")
+    gone = near_duplicates(numbered, replace(settings, id_col="__row")).filter("NOT kept").select(F.col("__row").alias("__gone"))
+    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
