@@ -18,10 +18,12 @@ from tierlabel.operators.tables import result_table
 from tierlabel.operators.tfidf import TfidfSettings, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
 from tierlabel.plans.bundle import load_ensemble, save_ensemble
-from tierlabel.plans.ensemble import Ensemble, title_vectors, train, train_and_test
+from tierlabel.plans.ensemble import OUTPUT_COLUMNS, Ensemble, title_vectors, train, train_and_test
 from tierlabel.plans.inputs import table
+from tierlabel.plans.jobs import classify_file
 from tierlabel.plans.registry import query
 from tierlabel.session import scratch_path
+from tierlabel.sources.tables import read_table, write_csv
 from tierlabel.streaming.scoring import score_stream
 
 # --- tokens and TF-IDF --------------------------------------------------------------------------------
@@ -227,9 +229,9 @@ def top_1_of_candidates(spark, sf):
     return G.top_1(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", distance), "l_partkey", "l_suppkey")
 
 
-@query("v04_at_least", f"WITH {_EMBEDDING_SQL} SELECT vec_id, id AS reference_id, score + 0.0e0 AS score FROM scores WHERE score >= 0.6")
+@query("v04_at_least", f"WITH {_EMBEDDING_SQL} SELECT vec_id, id AS reference_id, score + 0.0e0 AS score FROM scores WHERE score >= 0.25")
 def cosine_scores_at_least(spark, sf):
-    return D.cosine_scores(_targets(spark, sf), _class_prototypes(spark, sf), "vec_id", at_least=0.6)
+    return D.cosine_scores(_targets(spark, sf), _class_prototypes(spark, sf), "vec_id", at_least=0.25)
 
 
 @query(
@@ -637,6 +639,17 @@ def ensemble_with_svm(spark, sf):
     return rows.withColumn("confidence_rate", F.round("confidence_rate", 9))
 
 
+@query("t10_classify_file", f"WITH {_VOTED_BY_SVM} SELECT DISTINCT {_FLAT_COLUMNS} FROM w JOIN firsts ON firsts.c = pred_class")
+def classify_a_file(spark, sf):
+    """The batch job: a CSV file of names goes in, a CSV file with a row per distinct name comes out."""
+    items, source, target = inputs.items(spark, sf), *[f"{scratch_path(spark, name)}.csv" for name in ("names", "classified")]
+    write_csv(items.select("product_name"), source)
+    ensemble, _ = train(items, inputs.full_taxonomy(spark, sf), inputs.catalogue(spark, sf))
+    classify_file(spark, ensemble, source, "product_name string", target)
+    texts = ", ".join(f"{c} {'double' if c == 'confidence_rate' else 'string'}" for c in OUTPUT_COLUMNS)
+    return read_table(spark, target, texts).withColumn("confidence_rate", F.round("confidence_rate", 9))
+
+
 # The fitted linear classifier gives every held-out item its own class, since its text names it; this needs training
 # items of every class, which the smallest table does not have.
 _HELD_OUT = _ensemble_sql(f"""SELECT * FROM (SELECT p_partkey AS item_id, p_brand || ' ' || p_name AS product_name, {_ITEM_TEXT} AS t, p_name AS clf_class,
