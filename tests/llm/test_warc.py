@@ -1,6 +1,9 @@
 import base64
+import gzip
 import hashlib
 import random
+import re
+import zlib
 
 import pytest
 from pyspark.sql import types as T
@@ -62,6 +65,82 @@ def test_damage_costs_only_what_it_hits(members, seed):
         assert found == want
 
 
+def texts(n, r, size=400):
+    """Records of a text that packs well, so that damage does not stop the unpacking at once."""
+    return [record_bytes(i, f"http://x/{i}", " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randrange(size))).encode(), None, "2020") for i in range(n)]
+
+
+def ids(numbers):
+    return [f"<urn:page:{i}>" for i in numbers]
+
+
+@pytest.mark.parametrize("bad", [0, 1, 3])
+def test_bad_record_inside_a_member_is_a_gap_in_unpacked_bytes(bad):
+    records = texts(4, random.Random(3))
+    spoiled = list(records)
+    spoiled[bad] = records[bad][:-6] + bytes([records[bad][-6] ^ 1]) + records[bad][-5:]
+    data = packed(b"".join(records[:2])) + packed(b"".join(spoiled)) + packed(records[0])
+    assert good(data) == ids([0, 1]) + ids(i for i in range(4) if i != bad) + ids([0])
+    gaps = [s for s in Salvage(lambda at, n: data[at : at + n], len(data)).stretches() if s.record is None]
+    assert [(s.reason, s.inner_offset, s.inner_length) for s in gaps] == [("block digest", sum(map(len, records[:bad])), len(records[bad]))]
+    inside = [s for s in Salvage(lambda at, n: data[at : at + n], len(data)).stretches() if s.offset == gaps[0].offset]
+    assert sum(s.inner_length for s in inside) == sum(map(len, spoiled))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_whole_file_member_with_a_broken_byte(seed):
+    r = random.Random(seed)
+    records = texts(30, r)
+    whole = packed(b"".join(records))
+    at = r.randrange(10, len(whole))
+    data = whole[:at] + bytes([whole[at] ^ (1 << r.randrange(8))]) + whole[at + 1 :] + packed(record_bytes(99, "u", b"after", None, "2020"))
+    sound = len(zlib.decompressobj(31).decompress(whole[: at - 1]))  # bytes that surely come out before the damage
+    before = sum(sum(map(len, records[: i + 1])) <= sound for i in range(30))
+    found = good(data)
+    assert found[:before] == ids(range(before)) and found[-1] == "<urn:page:99>" and len(set(found)) == len(found)
+    assert any(reason for *_, reason in salvage(data))
+    for *_, kept, _ in salvage(data):
+        for x in kept:
+            i = int(x.headers["warc-record-id"][10:-1])
+            assert i == 99 or records[i].endswith(x.block + b"\r\n\r\n")
+
+
+def test_damage_that_does_not_stop_the_unpacking_costs_one_record():
+    """A literal byte changes in place: the checksum of the member fails, every other record is there."""
+    records = texts(5, random.Random(8))
+    raw = zlib.compressobj(0, zlib.DEFLATED, 31)
+    whole = bytearray(raw.compress(b"".join(records)) + raw.flush())
+    whole[whole.index(records[2][-40:])] ^= 1
+    assert good(bytes(whole)) == ids([0, 1, 3, 4])
+    reasons = [reason for *_, reason in salvage(bytes(whole)) if reason]
+    assert reasons == ["block digest", "member checksum"]
+
+
+def test_records_without_digest_count_only_in_sound_members():
+    plain = re.sub(rb"WARC-(Block|Payload)-Digest:.*\r\n", b"", record_bytes(1, "u", b"text", None, "2020"))
+    whole = packed(plain * 3)
+    assert len(good(whole)) == 3 and good(whole[:-1] + b"\x77") == []
+
+
+def test_large_members_are_read_in_pieces():
+    r = random.Random(4)
+    records = [record_bytes(i, "u", r.randbytes(700_000), None, "2020") for i in range(30)]
+    named = gzip.compress(b"".join(records), 1)
+    named = named[:3] + b"\x08" + named[4:10] + b"file.warc\0" + named[10:]
+    largest = 0
+
+    def read(at, n):
+        nonlocal largest
+        largest = max(largest, n)
+        return named[at : at + n]
+
+    found = list(Salvage(read, len(named)).stretches())
+    assert [s.record.headers["warc-record-id"] for s in found] == ids(range(30)) and largest <= 1 << 20
+    cut = named[: len(named) // 2]
+    found = good(cut)
+    assert found == ids(range(len(found))) and 13 <= len(found) <= 15
+
+
 def test_noise_only():
     assert salvage(b"") == [] and [x[1] for x in salvage(b"no archive at all" * 99)] == [17 * 99]
 

@@ -4,10 +4,13 @@ Writing: equal payloads are stored once. The record of the largest id is the res
 record is a gzip member of its own; tasks write files of about ``file_bytes`` straight to the shared folder and hand in
 the names of finished files, so only files of committed tasks are ever read, whatever attempts died before.
 
-Reading: a record is good if its member unpacks with a right checksum, its header parses, its block has the stated
-length and end, and its block and payload digests agree. Where any of this fails, the reader searches for the next gzip
-magic or version line at which a good record starts, goes on there, and reports the bytes between as a gap. Plain and
-packed records may alternate in a file. Memory: one record; files are read in windows.
+Reading: a record is good if its header parses, its block has the stated length and end, and its block and payload
+digests agree. Where this fails, the reader searches for the next gzip magic or version line at which a good record
+starts, in the file and inside the unpacked bytes of a member, goes on there, and reports the bytes between as a gap.
+Of a member that does not unpack, or whose checksum is wrong, records with an agreeing block digest are kept. What follows
+a place where the packed stream itself cannot be read on is lost up to the next member, and reported. Plain and
+packed records may alternate in a file. Memory: one record and two windows, whatever the length of files and members;
+a very long text is one record.
 
 Edge cases: a null text has an empty payload; rows that share the largest id of a payload are all responses; a null
 id is a response only if its payload has no other id; an empty table gives no records; a file of noise is one gap.
@@ -17,9 +20,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 
 from tierlabel.llm.common import new_folder, store
 
-_WINDOW = 1 << 20
+_WINDOW = 1 << 20  # bytes of a file held at once
+_PIECE = 1 << 16
+_KEPT = 8 << 20  # a member of up to so many unpacked bytes is unpacked once, others twice
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d")
 _FIELD = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+$")
 _DEMANDED = ("warc-type", "warc-record-id", "warc-date")
+_VERSION_START = re.compile(rb"WARC/\d")
 _VERSION = re.compile(rb"WARC/\d+\.\d+$")
 
 
@@ -191,90 +198,227 @@ def _agrees(stated: str | None, data: bytes) -> bool:
     return not stated or not stated.startswith("sha1:") or stated[5:].upper() == base32_sha1(data)
 
 
+@dataclass
+class Stretch:
+    """A record and where it was, or a gap (no record) and its reason. Inner places count unpacked bytes of a member."""
+
+    offset: int
+    length: int
+    record: Record | None = None
+    reason: str | None = None
+    inner_offset: int | None = None
+    inner_length: int | None = None
+
+
+def read_record(read, at: int, size: int) -> tuple[Record, int]:
+    """The record at a place of ``size`` bytes behind ``read(offset, n)``, and the place after it."""
+    if read(at, 5) != b"WARC/":
+        raise Damaged("no version line")
+    head = b""
+    while b"\r\n\r\n" not in head:
+        chunk = read(at + len(head), _PIECE)
+        if not chunk or len(head) > _WINDOW:
+            raise Damaged("header without end")
+        head += chunk
+    length = re.search(rb"(?im)^content-length:[ \t]*(\d{1,15})[ \t]*\r", head[: head.index(b"\r\n\r\n") + 1])
+    if not length:
+        raise Damaged("no content length")
+    total = head.index(b"\r\n\r\n") + 8 + int(length[1])
+    if at + total > size:
+        raise Damaged("block without end")
+    record, n = parse_record(head[:total] + read(at + len(head), max(0, total - len(head))))
+    return record, at + n
+
+
+def next_match(pattern: re.Pattern, read, at: int, size: int) -> int:
+    """The first place from ``at`` on where a short pattern matches, or ``size``."""
+    while at < size:
+        m = pattern.search(read(at, _PIECE + 8))
+        if m and m.start() < _PIECE:
+            return at + m.start()
+        at += _PIECE
+    return size
+
+
+class Unpacked:
+    """The bytes of a gzip member, unpacked as far as they can be, read forwards in pieces.
+
+    ``check`` goes through the member once: ``size`` bytes come out, ``stop`` is the place in the file where the member
+    ends or cannot be unpacked any further, ``reason`` says why it is broken.
+    """
+
+    def __init__(self, read, at: int):
+        self.file, self.begin = read, self._data_start(read, at)
+        self.base, self.held, self.rest = 0, b"", None
+        self.check()
+
+    @staticmethod
+    def _data_start(read, at: int) -> int:
+        head = read(at, 1 << 17)
+        if len(head) < 18 or head[2] != 8 or head[3] & 0xE0:
+            raise Damaged("member without header")
+        end = 10
+        if head[3] & 4:
+            end += 2 + int.from_bytes(head[10:12], "little")
+        for flag in (8, 16):  # name, comment
+            if head[3] & flag:
+                end = head.find(b"\0", end) + 1
+                if not end:
+                    raise Damaged("member without header")
+        return at + end + (2 if head[3] & 2 else 0)
+
+    def _pieces(self) -> Iterator[bytes]:
+        """Unpacked pieces; sets ``stop``, and ``reason`` if the packed bytes break off or make no sense."""
+        maker, place, size, data = zlib.decompressobj(-15), self.begin, _PIECE, b""
+        self.reason = None
+        while not maker.eof:
+            chunk = self.file(place, size)
+            if not chunk and len(data) < _WINDOW:  # nor is output waiting
+                self.reason = "member without end"
+                break
+            before = maker.copy()
+            try:
+                data = maker.decompress(chunk, _WINDOW)
+            except zlib.error as e:
+                if len(chunk) <= 1:
+                    self.reason = f"member: {e}"
+                    break
+                maker, size = before, 256 if size > 256 else 1  # come as near to the damage as possible
+                continue
+            place += len(chunk) - len(maker.unconsumed_tail) - len(maker.unused_data)
+            yield data
+        self.stop = place
+
+    def check(self) -> None:
+        crc, self.size, parts = 0, 0, []
+        for piece in self._pieces():
+            crc = zlib.crc32(piece, crc)
+            self.size += len(piece)
+            if self.size <= _KEPT:
+                parts.append(piece)
+        if not self.reason:
+            end = self.file(self.stop, 8)
+            if end == crc.to_bytes(4, "little") + (self.size & 0xFFFFFFFF).to_bytes(4, "little"):
+                self.stop += 8
+            else:
+                self.reason = "member checksum"
+        if self.size <= _KEPT:
+            self.held = b"".join(parts)
+
+    def read(self, at: int, n: int) -> bytes:
+        """Bytes from a place that has not been passed by ``forget``."""
+        end = min(at + n, self.size)
+        if end > self.base + len(self.held):
+            if self.rest is None:
+                state = self.stop, self.reason
+                self.rest = self._pieces()
+                self.stop, self.reason = state
+            parts, have = [self.held], self.base + len(self.held)
+            while have < end:
+                parts.append(next(self.rest))
+                have += len(parts[-1])
+            self.held = b"".join(parts)
+        return self.held[at - self.base : max(end, at) - self.base]
+
+    def forget(self, at: int) -> None:
+        if at - self.base >= _WINDOW:
+            self.base, self.held = at, self.held[at - self.base :]
+
+
 class Salvage:
-    """Records and gaps of one file, read through ``read(offset, n)``."""
+    """Records and gaps of one file, read through ``read(offset, n)``.
 
-    def __init__(self, read, size: int):
-        self.read, self.size = read, size
-
-    def _member(self, at: int) -> tuple[list[Record], int]:
-        maker, parts, place = zlib.decompressobj(31), [], at
-        try:
-            while not maker.eof:
-                chunk = self.read(place, _WINDOW)
-                if not chunk:
-                    raise Damaged("member without end")
-                parts.append(maker.decompress(chunk))
-                place += len(chunk)
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        data, records, done = b"".join(parts), [], 0
-        while done < len(data):
-            record, done = parse_record(data, done)
-            records.append(record)
-        return records, place - len(maker.unused_data)
-
-    def _plain(self, at: int) -> tuple[list[Record], int]:
-        head = b""
-        while b"\r\n\r\n" not in head:
-            chunk = self.read(at + len(head), 1 << 16)
-            if not chunk or len(head) > _WINDOW:
-                raise Damaged("header without end")
-            head += chunk
-        length = re.search(rb"(?im)^content-length:\s*(\d{1,15})\r", head[: head.index(b"\r\n\r\n") + 1])
-        if not length:
-            raise Damaged("no content length")
-        total = head.index(b"\r\n\r\n") + 8 + int(length[1])
-        if at + total > self.size:
-            raise Damaged("block without end")
-        record, n = parse_record(head[:total] + self.read(at + len(head), max(0, total - len(head))))
-        return [record], at + n
-
-    def _at(self, place: int) -> tuple[list[Record], int]:
-        start = self.read(place, 6)
-        if start.startswith(b"\x1f\x8b\x08"):
-            return self._member(place)
-        if start.startswith(b"WARC/"):
-            return self._plain(place)
-        raise Damaged("no member or version line")
-
-    def _starts(self, place: int) -> Iterator[int]:
-        """Places where a member or a version line may start."""
-        while place < self.size:
-            window = self.read(place, _WINDOW + 8)
-            for m in _START.finditer(window):
-                if m.start() < _WINDOW:
-                    yield place + m.start()
-            place += _WINDOW
+    A member that unpacks wholly gives every good record in it; bytes between them are gaps in unpacked bytes. Of a
+    broken member the records count whose block digest is stated and agrees, before the damage and, if unpacking goes
+    on, after it. The search for the next member begins right behind the start of a broken one, since damage may make
+    it run into others; a record that it has already given is not given again.
+    """
 
-    def __iter__(self) -> Iterator[tuple[int, int, list[Record], str | None]]:
-        """(offset, length, records, reason): records of a good stretch, or a gap with none and its reason."""
-        place = 0
+    def __init__(self, read, size: int):
+        self._source, self.size = read, size
+        self._from, self._held = 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        """Bytes of the file, through a window."""
+        end = min(at + n, self.size)
+        if at < self._from or end > self._from + len(self._held):
+            self._from, self._held = at, self._source(at, max(n, _WINDOW))
+        return self._held[at - self._from : max(end, at) - self._from]
+
+    def _inside(self, at: int, data: Unpacked) -> Iterator[Stretch]:
+        """Records and gaps in a member."""
+        place, gap, length = 0, None, data.stop - at
+        while place < data.size:
+            try:
+                record, after = read_record(data.read, place, data.size)
+                if data.reason and not record.headers.get("warc-block-digest", "").startswith("sha1:"):
+                    raise Damaged("record without digest in a broken member")
+            except Damaged as e:
+                gap = gap or (place, str(e))
+                place = next_match(_VERSION_START, data.read, place + 1, data.size)
+                data.forget(place)
+                continue
+            if gap:
+                yield Stretch(at, length, None, gap[1], gap[0], place - gap[0])
+                gap = None
+            yield Stretch(at, length, record, None, place, after - place)
+            place = after
+            data.forget(place)
+        if gap:
+            yield Stretch(at, length, None, gap[1], gap[0], data.size - gap[0])
+
+    def _at(self, place: int) -> tuple[Iterable[Stretch], int, str | None]:
+        """What starts here, with at least one good record: its stretches (a list if plain), its end, why it is broken."""
+        start = self.read(place, 5)
+        if start == b"WARC/":
+            record, after = read_record(self.read, place, self.size)
+            return [Stretch(place, after - place, record)], after, None
+        if not start.startswith(b"\x1f\x8b\x08"):
+            raise Damaged("no member or version line")
+        data = Unpacked(self.read, place)
+        inside, first = self._inside(place, data), []
+        for stretch in inside:
+            first.append(stretch)
+            if stretch.record:
+                return itertools.chain(first, inside), data.stop, data.reason
+        raise Damaged(data.reason or (first[0].reason if first else "empty member"))
+
+    def stretches(self) -> Iterator[Stretch]:
+        place, gap = 0, None  # start and reason of the gap that the place is in
+        told, told_end = set(), 0  # records that a broken member has given, and where it stopped
         while place < self.size:
             try:
-                records, after = self._at(place)
-                yield place, after - place, records, None
+                found, after, reason = self._at(place)
+                if isinstance(found, list) and place < told_end and found[0].record.headers["warc-record-id"] in told:
+                    raise Damaged("record of a broken member, stored as it is")
+            except Damaged as e:
+                gap = gap or (place, str(e))
+                place = next_match(_START, self.read, place + 1, self.size)
+                continue
+            if gap and gap[0] < place:
+                yield Stretch(gap[0], place - gap[0], None, gap[1])
+            gap = None
+            if not reason:
+                yield from found
                 place = after
                 continue
-            except Damaged as e:
-                reason = str(e)
-            resumed = None
-            for start in self._starts(place + 1):
-                try:
-                    resumed = start, *self._at(start)
-                    break
-                except Damaged:
-                    continue
-            end = resumed[0] if resumed else self.size
-            yield place, end - place, [], reason
-            place = end
-            if resumed:
-                yield end, resumed[2] - end, resumed[1], None
-                place = resumed[2]
+            told, told_end = set(), after
+            for stretch in found:
+                if stretch.record:
+                    told.add(stretch.record.headers["warc-record-id"])
+                yield stretch
+            gap, place = (after, reason), next_match(_START, self.read, place + 1, self.size)
+        if gap and gap[0] < self.size:
+            yield Stretch(gap[0], self.size - gap[0], None, gap[1])
+
+    def __iter__(self) -> Iterator[tuple[int, int, list[Record], str | None]]:
+        """(offset, length, records, reason): a good record, or a gap with none and its reason."""
+        for s in self.stretches():
+            yield s.offset, s.length, [s.record] if s.record else [], s.reason
 
 
 _SCHEMA = (
-    "path string, offset long, length long, gap string, record_type string, record_id string, refers_to string, uri string, "
+    "path string, offset long, length long, inner_offset long, inner_length long, gap string, record_type string, record_id string, refers_to string, uri string, "
     "payload_bytes long, payload_digest string, payload binary"
 )
 
@@ -283,29 +427,31 @@ def read_archives(spark: SparkSession, files: DataFrame, with_payload: bool = Tr
     """All records of the files in column ``path``, and their gaps (``gap`` has the reason, all else is null).
 
     A file is read by one task, a window at a time; the writer above keeps files to ``file_bytes``. ``offset`` and
-    ``length`` are those of the gzip member or plain record in the file, or of the quarantined bytes.
+    ``length`` are those of the gzip member or plain record in the file, or of the quarantined bytes; ``inner_offset``
+    and ``inner_length`` are places in the unpacked bytes of the member, null outside of members.
     """
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def rows_of(path: str) -> Iterator[tuple]:
         system, place = pafs.FileSystem.from_uri(path)
         with system.open_input_file(place) as file:
-            for offset, length, records, reason in Salvage(lambda at, n: file.read_at(n, at), file.size()):
-                if reason is not None:
-                    yield (path, offset, length, reason, *[None] * 7)
-                for r in records:
-                    h = r.headers
-                    digest = h.get("warc-payload-digest", "")
-                    if h.get("warc-type") != "revisit":
-                        digest = f"sha1:{base32_sha1(r.payload)}"
-                    yield (
-                        *(path, offset, length, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to")),
-                        *(h.get("warc-target-uri"), r.payload_bytes, digest.removeprefix("sha1:")),
-                        r.payload if with_payload and h.get("warc-type") != "revisit" else None,
-                    )
+            for s in Salvage(lambda at, n: file.read_at(n, at), file.size()).stretches():
+                where = path, s.offset, s.length, s.inner_offset, s.inner_length
+                if s.record is None:
+                    yield (*where, s.reason, *[None] * 7)
+                    continue
+                h = s.record.headers
+                digest = h.get("warc-payload-digest", "")
+                if h.get("warc-type") != "revisit":
+                    digest = f"sha1:{base32_sha1(s.record.payload)}"
+                yield (
+                    *(*where, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to")),
+                    *(h.get("warc-target-uri"), s.record.payload_bytes, digest.removeprefix("sha1:")),
+                    s.record.payload if with_payload and h.get("warc-type") != "revisit" else None,
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.string(), *[pa.int64()] * 4, *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
