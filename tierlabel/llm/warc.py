@@ -285,7 +285,7 @@ class Unpacked:
                     break
                 maker, size = before, 256 if size > 256 else 1  # come as near to the damage as possible
                 continue
-            place += len(chunk) - len(maker.unconsumed_tail) - len(maker.unused_data)
+            place += len(chunk) - len(maker.unused_data if maker.eof else maker.unconsumed_tail)
             yield data
         self.stop = place
 
