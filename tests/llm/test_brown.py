@@ -88,3 +88,87 @@ def test_exchange_reaches_a_local_optimum():
             moved[w] = c
             assert likelihood(bigrams, moved, classes + 2) <= best + 1e-6
     assert own[n:].tolist() == [classes, classes + 1]
+
+
+def brute_scores(rows, core_words, classes, passes, min_count, smoothing):
+    """Scores by dictionaries and whole likelihoods; only the exchange itself is the library's."""
+    texts = {i: (t or "").translate(LOWER) for i, t in rows}
+    tokens = {i: WORD.findall(t) for i, t in texts.items()}
+    train = [w for i, w in tokens.items() if i % 5 != 2]
+    counts = collections.Counter(itertools.chain(*train))
+    core = [w for w, _ in sorted(counts.items(), key=lambda x: -x[1])][:core_words]
+    total, end = classes + 2, classes + 1
+    number = {w: k for k, w in enumerate(core)}
+
+    def pairs(kind_of, closing):
+        for text in train:
+            kinds = [closing, *map(kind_of, text), closing]
+            yield from zip(kinds, kinds[1:])
+
+    table = np.zeros((core_words + 2, core_words + 2))
+    for a, b in pairs(lambda w: number.get(w, core_words), core_words + 1):
+        table[a, b] += 1
+    own = exchange(table, core_words, classes, passes)
+    first = {w: int(own[k]) for w, k in number.items()}
+    grid = np.zeros((total, total))
+    for a, b in pairs(lambda w: first.get(w, classes), end):
+        grid[a, b] += 1
+
+    def gain(w, k):
+        moved = grid.copy()
+        for text in train:
+            kinds = [end, *(first.get(x, classes) for x in text), end]
+            for at, x in enumerate(text):
+                if x == w:
+                    moved[kinds[at], k] += 1
+                    moved[k, kinds[at + 2]] += 1
+        return round(likelihood(moved, np.arange(total), total), 6)
+
+    final = dict(first)
+    for w in counts.keys() - first.keys():
+        gains = [gain(w, k) for k in range(classes)]
+        final[w] = gains.index(max(gains)) if counts[w] >= min_count else classes
+    last = np.zeros((total, total))
+    for a, b in pairs(lambda w: final.get(w, classes), end):
+        last[a, b] += 1
+    transitions = np.log10((last + smoothing) / (last.sum(axis=1, keepdims=True) + smoothing * total))
+    size, rare = collections.Counter(), [w for w in counts if final[w] == classes]
+    for w, n in counts.items():
+        size[final[w]] += n
+
+    def score(text):
+        kinds = [end, *(final.get(w, classes) for w in text), end]
+        value = sum(transitions[a, b] for a, b in zip(kinds, kinds[1:]))
+        for w in text:
+            k = final.get(w, classes)
+            value += math.log10((counts[w] + 1) / (size[classes] + len(rare) + 1) if k == classes else counts[w] / size[k])
+        return value
+
+    return {i: (score(t), sum(final.get(w, classes) != classes for w in t) + 1) for i, t in tokens.items()}
+
+
+@pytest.mark.parametrize("head_words,parts", [(60, 5), (4, 2)])
+def test_scores_equal_brute_force(documents, head_words, parts):
+    """With a head list that holds all core words, and with one so small that most of them come from the other words."""
+    r = random.Random(12)
+    rows = [(i, language(r, "xy"[i % 2], r.randrange(40)).title()) for i in range(150)]
+    rows += [(200 + i, " ".join([f"core{i}"] * 3 + ["yb1", f"core{(i + 1) % 9}"]) + " ") for i in range(9)]
+    rows += [(300 + 5 * i, f"core{i} " * (200 + 10 * i)) for i in range(9)]  # their counts differ, so no tie decides
+    rows += [(1002, None), (1007, ""), (1012, "never seen Xa1 core3 xa1"), (2000, "long " + "xb2 ya3 " * 20_000)]
+    settings = BrownSettings(classes=3, class_words=6, head_words=head_words, sample_rows=5000, min_count=3)
+    want = brute_scores(rows, 6, 3, settings.passes, 3, settings.smoothing)
+    out = {x["doc_id"]: x for x in score_documents(documents(rows).repartition(parts), held_out(), settings).collect()}
+    assert out.keys() == want.keys()
+    for i, (score, classed) in want.items():
+        assert out[i]["n_classed"] == classed
+        assert out[i]["score"] == pytest.approx(score, rel=1e-9)
+
+
+def test_words_with_a_class_grow_with_the_corpus(documents):
+    def classed(texts):
+        r = random.Random(2)
+        rows = [(10 * i, " ".join(f"w{r.randrange(texts)}" for _ in range(20))) for i in range(texts)]
+        out = score_documents(documents(rows), held_out(), SMALL).collect()
+        return sum(x["n_classed"] for x in out) / sum(x["n_tokens"] for x in out)
+
+    assert classed(100) > 0.95 and classed(1000) > 0.95
