@@ -155,7 +155,7 @@ def test_scores_equal_brute_force(documents, head_words, parts):
     rows += [(200 + i, " ".join([f"core{i}"] * 3 + ["yb1", f"core{(i + 1) % 9}"]) + " ") for i in range(9)]
     rows += [(300 + 5 * i, f"core{i} " * (200 + 10 * i)) for i in range(9)]  # their counts differ, so no tie decides
     rows += [(1002, None), (1007, ""), (1012, "never seen Xa1 core3 xa1"), (2000, "long " + "xb2 ya3 " * 20_000)]
-    settings = BrownSettings(classes=3, class_words=6, head_words=head_words, sample_rows=5000, min_count=3)
+    settings = BrownSettings(classes=3, class_words=6, head_words=head_words, sample_rows=5000, min_count=3, block_tokens=head_words)
     want = brute_scores(rows, 6, 3, settings.passes, 3, settings.smoothing)
     out = {x["doc_id"]: x for x in score_documents(documents(rows).repartition(parts), held_out(), settings).collect()}
     assert out.keys() == want.keys()

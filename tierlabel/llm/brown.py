@@ -47,6 +47,7 @@ class BrownSettings:
     sample_rows: int = 4000  # rows that the head list is drawn from
     passes: int = 12
     smoothing: float = 0.5
+    block_tokens: int = 1 << 17  # tokens that a task works on at once, or one row
     seed: int = 5
     id_col: str = "doc_id"
     text_col: str = "text"
@@ -82,6 +83,16 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return (offsets - offsets[0]).astype(np.int64), column.values.slice(offsets[0], offsets[-1] - offsets[0])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most ``limit`` values in a list column, or one row."""
+    for table in batches:
+        offsets, first = table.column(column).offsets.to_numpy(), 0
+        while first < table.num_rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+            yield table.slice(first, last - first)
+            first = last
+
+
 def neighbours(bounds: np.ndarray, kinds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, kind before, kind) of all tokens: each text starts after an end and closes with one."""
     n, counts = len(bounds) - 1, np.diff(bounds)
@@ -161,8 +172,8 @@ def best_classes(grid: np.ndarray, classes: int, owner: np.ndarray, codes: np.nd
     best = np.zeros(n, np.int64)
     order = np.argsort(owner, kind="stable")
     owner, codes, counts = owner[order], codes[order], counts[order]
-    for first in range(0, n, 1000):
-        m = min(1000, n - first)
+    for first in range(0, n, 250):
+        m = min(250, n - first)
         part = slice(*np.searchsorted(owner, [first, first + m]))
         vectors = np.bincount((owner[part] - first) * 2 * total + codes[part], counts[part], minlength=m * 2 * total).reshape(m, 2 * total)
         word, code = np.nonzero(vectors)  # by word, then by code
@@ -233,12 +244,12 @@ def _tokens(docs: DataFrame, held_out: Column, head: np.ndarray, settings: Brown
     return store(rows.mapInArrow(run, schema), "lm-tokens")
 
 
-def _summed(rows: DataFrame, of_batch, size: int) -> np.ndarray:
-    """Sums over all tasks of an array of a fixed size that ``of_batch`` makes of each Arrow batch."""
+def _summed(rows: DataFrame, of_batch, size: int, settings: BrownSettings) -> np.ndarray:
+    """Sums over all tasks of an array of a fixed size that ``of_batch`` makes of each block of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
-        for table in batches:
+        for table in _blocks(batches, 0, settings.block_tokens):
             counts += of_batch(table)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
@@ -249,7 +260,7 @@ def _summed(rows: DataFrame, of_batch, size: int) -> np.ndarray:
     return counts
 
 
-def _head_counts(train: DataFrame, n_head: int) -> tuple[np.ndarray, int, int]:
+def _head_counts(train: DataFrame, n_head: int, settings: BrownSettings) -> tuple[np.ndarray, int, int]:
     """Counts of the head words, number of words, number of documents."""
 
     def of_batch(table: pa.RecordBatch) -> np.ndarray:
@@ -258,7 +269,7 @@ def _head_counts(train: DataFrame, n_head: int) -> tuple[np.ndarray, int, int]:
         counts[-2:] = len(places), table.num_rows
         return counts
 
-    counts = _summed(train.select("places"), of_batch, n_head + 2)
+    counts = _summed(train.select("places"), of_batch, n_head + 2, settings)
     return counts[:-2], int(counts[-2]), int(counts[-1])
 
 
@@ -308,7 +319,7 @@ def _choose_core(head: np.ndarray, counts: np.ndarray, tail: DataFrame, settings
     return Core(of_head, others[order], numbers[~is_head][order], n[chosen])
 
 
-def _bigrams(train: DataFrame, core: Core) -> np.ndarray:
+def _bigrams(train: DataFrame, core: Core, settings: BrownSettings) -> np.ndarray:
     """Counts of neighbours among core words, other words and ends, over all training documents."""
     n = len(core.counts)
     shared = train.sparkSession.sparkContext.broadcast(core)
@@ -318,23 +329,23 @@ def _bigrams(train: DataFrame, core: Core) -> np.ndarray:
         _, before, kind = neighbours(bounds, numbers, n + 1)
         return np.bincount(before * (n + 2) + kind, minlength=(n + 2) ** 2)
 
-    return _summed(train.select("places", "words"), of_batch, (n + 2) ** 2).reshape(n + 2, n + 2).astype(np.float64)
+    return _summed(train.select("places", "words"), of_batch, (n + 2) ** 2, settings).reshape(n + 2, n + 2).astype(np.float64)
 
 
-def _neighbour_counts(train: DataFrame, core: Core, own: np.ndarray, n_head: int, total: int) -> DataFrame:
+def _neighbour_counts(train: DataFrame, core: Core, own: np.ndarray, n_head: int, settings: BrownSettings) -> DataFrame:
     """(in_head, word, code, n): how often a word that is not a core word has which classes beside it.
 
     Head words are known by their places and counted in the task, with a code for the class before and one, from
-    ``total`` on, for the class after. Other words have one code for both, from 2 * ``total`` on.
+    ``classes + 2`` on, for the class after. Other words have one code for both, from twice that on.
     """
-    n_core = len(core.counts)
+    n_core, total = len(core.counts), settings.classes + 2
     shared = train.sparkSession.sparkContext.broadcast((core, own))
     names = ["in_head", "word", "code", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, own = shared.value
         sums = np.zeros(n_head * 2 * total, np.int32)
-        for table in batches:
+        for table in _blocks(batches, 0, settings.block_tokens):
             bounds, places, numbers = core.of_tokens(table, n_core)
             _, before, kinds = neighbours(bounds, own[numbers], total - 1)
             at = np.flatnonzero(numbers == n_core)  # tokens of no core word; their places among tokens and ends:
@@ -410,15 +421,15 @@ class BrownModel:
 def fit_brown(train: DataFrame, head: np.ndarray, settings: BrownSettings = BrownSettings()) -> tuple[BrownModel, DataFrame]:
     """Classes of all words from rows of :func:`_tokens`: of head words in the model, of others as (word, n, class)."""
     classes, total, spark = settings.classes, settings.classes + 2, train.sparkSession
-    counts, n_words, n_ends = _head_counts(train, len(head))
+    counts, n_words, n_ends = _head_counts(train, len(head), settings)
     tail = train.select(F.explode(F.arrays_zip("words", "tfs")).alias("t")).groupBy(F.col("t.words").alias("word"))
     tail = store(tail.agg(F.sum("t.tfs").alias("n")), "lm-tail-counts")
     core = _choose_core(head, counts, tail, settings)
-    table = _bigrams(train, core)
+    table = _bigrams(train, core, settings)
     own = exchange(table, len(core.counts), classes, settings.passes)
     member = np.zeros((len(own), total))
     member[np.arange(len(own)), own] = 1
-    vocabulary = _vocabulary(_neighbour_counts(train, core, own, len(head), total), member.T @ table @ member, settings)
+    vocabulary = _vocabulary(_neighbour_counts(train, core, own, len(head), settings), member.T @ table @ member, settings)
 
     word_class = np.full(len(head), classes, np.int64)
     further = vocabulary.filter("in_head").select("word", "class").toArrow()
@@ -455,7 +466,7 @@ def _classed(tokens: DataFrame, tail_words: DataFrame, model: BrownModel, settin
         emissions = np.zeros(classes + 1)
         some = model.class_counts[:classes] > 0
         emissions[:classes][some] = np.log10(model.class_counts[:classes][some])
-        for table in batches:
+        for table in _blocks(batches, 2, settings.block_tokens):
             held = table.column(1).to_numpy(zero_copy_only=False)
             k = table.column(3).to_numpy()
             bounds, places = _lists(table.column(2))
@@ -509,14 +520,14 @@ def score_documents(docs: DataFrame, held_out: Column, settings: BrownSettings =
         _, before, kind = neighbours(bounds, kinds.to_numpy().astype(np.int64), end)
         return np.bincount(before * total + kind, minlength=total**2)
 
-    grid = _summed(rows.filter("NOT held_out").select("classes"), of_batch, total**2).reshape(total, total)
+    grid = _summed(rows.filter("NOT held_out").select("classes"), of_batch, total**2, settings).reshape(total, total)
     transitions = np.log10((grid + settings.smoothing) / (grid.sum(axis=1, keepdims=True) + settings.smoothing * total))
     base_size = float(np.log10(model.n_tokens + model.n_types + 1.0))
     rare_size = float(np.log10(int(model.class_counts[settings.classes]) + int(model.class_types[settings.classes]) + 1.0))
     n_train = int(model.n_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches:
+        for table in _blocks(batches, 7, settings.block_tokens):
             bounds, kinds = _lists(table.column(7))
             n_tokens, base, inside, n_rare = (table.column(i).to_numpy() for i in (2, 4, 5, 6))
             text, before, kind = neighbours(bounds, kinds.to_numpy().astype(np.int64), end)
