@@ -13,7 +13,8 @@ from tierlabel.operators import language as L
 from tierlabel.operators import sparse
 from tierlabel.operators.sparse import best_reference
 from tierlabel.operators.memory import TranslationMemory
-from tierlabel.operators.linear import LinearModel, _direction, _minimise
+from tierlabel.operators import linear
+from tierlabel.operators.linear import Descent, LinearModel, _direction
 from tierlabel.operators.tables import split_dataset
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
@@ -292,11 +293,57 @@ def test_minimiser_on_a_quadratic():
     def loss(w):
         return (scale * (w - goal) ** 2).sum(axis=0), 2 * scale * (w - goal)
 
-    w = _minimise(loss, (3, 2), 1.0, 1e-8, 200)
+    at = Descent(np.zeros((3, 2)))
+    for _ in range(200):
+        at.step(*loss(at.trial()), 1.0, 1e-8)
+    assert not at.active().any()
+    w = at.w
     assert w == pytest.approx(goal * 2 * scale / (1 + 2 * scale), abs=1e-5)
     assert (_direction(np.ones((3, 2)), [], []) == -1).all()
 
 
+def fitted(train, **options):
+    model = LinearModel.fit(train, "t", "c", TfidfSettings(min_df=2), **options)
+    return {(r.class_id, r.token): r.weight for r in model.weights.collect()}
+
+
+def test_svm_in_groups_parts_and_tiny_holds(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    data = [(" ".join(r.choices(words[k * 2 : k * 2 + 12], k=5)), f"c{k}") for k in range(4) for _ in range(40)]
+    train = spark.createDataFrame([*data, (None, "c0"), ("", "c1"), ("w1 w2", None)], "t string, c string").repartition(9)
+    close = {"class_weight": "balanced", "tolerance": 1e-7, "max_passes": 500}  # the optimum is unique
+    whole = fitted(train, **close)
+    monkeypatch.setattr(linear, "FAN_IN", 2)
+    monkeypatch.setattr(linear, "HELD_BYTES", 1)
+    monkeypatch.setattr(linear, "SCORE_CELLS", 200)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        pieces = fitted(train, **close, weight_cells=1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert whole.keys() == pieces.keys()
+    assert [pieces[k] for k in whole] == pytest.approx(list(whole.values()), abs=1e-4)
+
+
+def test_svm_jobs_do_not_grow_with_groups_and_no_silent_stop(spark):
+    data = [(f"{a} {b} {a}{b}", f"c{a}") for a in range(6) for b in range(6)]
+    train = spark.createDataFrame(data, "t string, c string")
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for cells in (10_000, 1):
+        spark.sparkContext.setJobGroup(f"svm {cells}", "")
+        LinearModel.fit(train, "t", "c", weight_cells=cells)
+        counts.append(len(tracker.getJobIdsForGroup(f"svm {cells}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] < 1.5 * counts[0]  # six groups instead of one; the number of passes differs a little
+    with pytest.raises(RuntimeError, match="have not converged in 1 passes"):
+        LinearModel.fit(train, "t", "c", max_passes=1)
+    with pytest.raises(ValueError, match="no training rows"):
+        LinearModel.fit(train.filter("false"), "t", "c")
+
+
 def test_svm_saved_loaded_and_both_paths(spark, small, tmp_path):
     items = inputs.items(spark, small)
     with pytest.raises(ValueError):

@@ -1,9 +1,10 @@
 """Linear classifier: TF-IDF features, one linear support vector machine per class, labels by lookup.
 
 For each class k the weights minimise ``|w|^2 / 2 + C * sum of s_i * max(0, 1 - y_i w.x_i)^2`` (squared hinge,
-one against the rest, the constant feature counted in ``|w|``). The problems of all classes share one pass over
-the data per step: tasks give loss and gradient of their rows, Spark adds them up, and the driver moves each
-class along its own quasi-Newton direction (limited-memory BFGS; Nocedal & Wright, Numerical Optimization).
+one against the rest, the constant feature counted in ``|w|``). All classes share one Spark job per step: tasks
+give loss and gradient of their rows, which are added up per class; a task per group of classes then moves each of them
+along its own quasi-Newton direction (limited-memory BFGS; Nocedal & Wright, Numerical Optimization). Weights, gradients
+and step histories are rows of a table in the shared folder; the driver sees the number of classes still moving.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tierlabel.operators.blocks import SCORE_CELLS
@@ -25,10 +27,11 @@ from tierlabel.operators.sparse import BIAS, BLOCK_BYTES, best_reference
 from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, load_settings, save_settings, tfidf_fit, tfidf_transform
 from tierlabel.session import scratch_path
+from tierlabel.sources.folders import qualified
 
-WEIGHT_CELLS = 1_000_000  # weights solved for at once: terms x classes of one group of classes
-DRIVER_CELLS = 4_000_000  # numbers in partial gradients that the driver adds up itself
-FAN_IN = 32  # partial gradients added up in one task
+WEIGHT_CELLS = 250_000  # weights of one group of classes: terms x classes
+HELD_BYTES = 64 << 20  # training blocks that a task holds while the groups' weights pass by
+FAN_IN = 32  # partial gradients of a class added up in one task
 MEMORY = 6  # steps that the quasi-Newton direction remembers
 
 
@@ -43,25 +46,25 @@ def label_lookup(items: DataFrame, taxonomy: DataFrame, class_col: str, prefix:
 
 
 def _training_blocks(rows: DataFrame, max_terms: int) -> DataFrame:
-    """Pack ``(class_id, copies, terms, weights)`` rows into binary blocks of at most ``max_terms`` terms.
+    """Pack ``(class_id, copies, positive, terms, weights)`` rows into binary blocks of at most ``max_terms`` terms.
 
     A block also keeps its entries in the order of their term, for the gradient. It is built once.
     """
 
     def flat(batch: pa.RecordBatch, lo: int, hi: int) -> bytes:
         part = batch.slice(lo, hi - lo)
-        label, copies, terms, weights = (part.column(i) for i in range(4))
+        label, copies, positive, terms, weights = (part.column(i) for i in range(5))
         length = terms.value_lengths().to_numpy(zero_copy_only=False)
         term, weight = terms.flatten().to_numpy(), weights.flatten().to_numpy()
         order = np.argsort(term, kind="stable")
         distinct, first = np.unique(term[order], return_index=True)
         row = np.repeat(np.arange(hi - lo), length)
         starts = np.cumsum(length) - length
-        return pickle.dumps((label.to_numpy(), copies.to_numpy(), starts, row, term, weight, order, distinct, first))
+        return pickle.dumps((label.to_numpy(), copies.to_numpy(), positive.to_numpy(), starts, row, term, weight, order, distinct, first))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
             cuts, lo = [], 0
             while lo < len(batch):
                 done = ends[lo - 1] if lo else 0
@@ -70,19 +73,19 @@ def _training_blocks(rows: DataFrame, max_terms: int) -> DataFrame:
                 lo = hi
             yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.binary())], names=["block"])
 
-    return rows.select("class_id", "copies", "terms", "weights").mapInArrow(pack, "block binary")
+    return rows.select("class_id", "copies", "positive", "terms", "weights").mapInArrow(pack, "block binary")
 
 
-def _loss_and_gradient(block: tuple, w: np.ndarray, first_class: int, positive: np.ndarray):
+def _loss_and_gradient(block: tuple, w: np.ndarray, first_class: int):
     """Sums over one block for the classes ``first_class ..``: loss per class, distinct terms, gradient rows."""
-    label, copies, starts, row, term, weight, order, distinct, first = block
+    label, copies, positive, starts, row, term, weight, order, distinct, first = block
     margin = np.add.reduceat(w[term] * weight[:, None], starts, axis=0)
     sign = np.full(margin.shape, -1.0)
     cost = np.repeat(copies[:, None], margin.shape[1], axis=1)
     own = label - first_class
     mine = np.flatnonzero((own >= 0) & (own < margin.shape[1]))
     sign[mine, own[mine]] = 1.0
-    cost[mine, own[mine]] *= positive[own[mine]]
+    cost[mine, own[mine]] *= positive[mine]
     short = np.maximum(0.0, 1.0 - sign * margin)
     slope = -2.0 * cost * short * sign
     return (cost * short * short).sum(axis=0), distinct, np.add.reduceat((weight[:, None] * slope[row])[order], first, axis=0)
@@ -90,53 +93,58 @@ def _loss_and_gradient(block: tuple, w: np.ndarray, first_class: int, positive:
 
 def _sum_partials(keys: tuple, parts: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(b.as_py()) for b in parts["sums"].combine_chunks()], axis=0)
-    columns = [pa.array([k.as_py()], pa.int32()) for k in keys] + [pa.array([total.tobytes()], pa.binary())]
-    return pa.table(columns, names=parts.column_names[: len(keys)] + ["sums"])
+    values = [pa.array([k.as_py()], pa.int64()) for k in keys] + [parts["g"].slice(0, 1), pa.array([total.tobytes()], pa.binary())]
+    return pa.table(values, names=["k", "salt", "g", "sums"])
 
 
-def _distributed_sums(
-    blocks: DataFrame, n_parts: int, n_terms: int, first_class: int, positive: np.ndarray
-) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """A function from weights to (loss per class, gradient): one Spark job per call.
+def _read(folder: str, g: int, column: str) -> pa.Scalar:
+    """A value of the one row of group ``g``, read in a task."""
+    system, root = pafs.FileSystem.from_uri(folder)
+    return pq.read_table(f"{root}/g={g}", columns=[column], filesystem=system, partitioning=None)[column][0]
 
-    Each task gives one row per class. While all of them together are small, the driver adds them up;
-    otherwise tasks do so, per class and in groups of at most ``FAN_IN`` rows.
-    """
-    context = blocks.sparkSession.sparkContext
-    salts = math.ceil(n_parts / FAN_IN)
-
-    def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shared = context.broadcast(w)
 
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+def _partial_sums(blocks: DataFrame, state: str, n_terms: int, n_classes: int, width: int) -> DataFrame:
+    """Loss and gradient of each task's rows at the trial weights in ``state``: ``(k, salt, g, sums)``, loss last.
 
-            weights = shared.value
-            width = weights.shape[1]
-            sums = np.zeros((n_terms + 1, width))  # the last row is the loss
-            for batch in batches:
-                for packed in batch.column(0):
-                    loss, terms, rows = _loss_and_gradient(pickle.loads(packed.as_py()), weights, first_class, positive)
+    A task holds training blocks of bounded size, meets one group of classes after the other with them, and goes on.
+    """
+    limit = HELD_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId()
+        held, size = [], 0
+
+        def meet() -> Iterator[pa.RecordBatch]:
+            for g, first in enumerate(range(0, n_classes, width)):
+                packed = _read(state, g, "trial")
+                if not packed.is_valid:  # every class of the group has stopped: a row without sums carries it along
+                    columns = [pa.array([v], pa.int64()) for v in (first, salt, g)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([b""], pa.binary())], names=["k", "salt", "g", "sums"])
+                    continue
+                trial = np.frombuffer(packed.as_buffer()).reshape(n_terms, -1)
+                sums = np.zeros((n_terms + 1, trial.shape[1]))  # the last row is the loss
+                for block in held:
+                    loss, terms, rows = _loss_and_gradient(pickle.loads(block), trial, first)
                     sums[terms] += rows
                     sums[-1] += loss
-            salt = np.full(width, TaskContext.get().partitionId() % salts, dtype=np.int32)
-            packed = pa.array([sums[:, k].tobytes() for k in range(width)], pa.binary())
-            columns = [pa.array(np.arange(width, dtype=np.int32)), pa.array(salt), packed]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "salt", "sums"])
-
-        parts = blocks.mapInArrow(partial, "k int, salt int, sums binary")
-        if n_parts * w.size > DRIVER_CELLS:
-            if salts > 1:
-                parts = parts.groupBy("k", "salt").applyInArrow(_sum_partials, "k int, salt int, sums binary")
-            parts = parts.select("k", "sums").groupBy("k").applyInArrow(_sum_partials, "k int, sums binary")
-        table = parts.select("k", "sums").toArrow()
-        shared.destroy()
-        sums = np.zeros((n_terms + 1, w.shape[1]))
-        for k, partial_sums in zip(table["k"].to_pylist(), table["sums"].to_pylist()):
-            sums[:, k] += np.frombuffer(partial_sums)
-        return sums[-1], sums[:-1]
-
-    return evaluate
+                n = trial.shape[1]
+                numbers = [np.arange(first, first + n), np.full(n, salt), np.full(n, g)]
+                packed = pa.array([sums[:, k].tobytes() for k in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), packed], names=["k", "salt", "g", "sums"])
+
+        for batch in batches:
+            for block in batch.column(0):
+                held.append(block.as_py())
+                size += len(held[-1])
+                if size >= limit:
+                    yield from meet()
+                    held, size = [], 0
+        if held:
+            yield from meet()
+
+    return blocks.mapInArrow(run, "k long, salt long, g long, sums binary")
 
 
 def _direction(gradient: np.ndarray, steps: list[np.ndarray], changes: list[np.ndarray]) -> np.ndarray:
@@ -159,51 +167,130 @@ def _direction(gradient: np.ndarray, steps: list[np.ndarray], changes: list[np.n
     return -q
 
 
-def _minimise(
-    evaluate: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
-    shape: tuple[int, int],
-    c: float,
-    tolerance: float,
-    max_passes: int,
-) -> np.ndarray:
-    """Minimise all columns of the weights; each has its own step length and stops on its own."""
-
-    def objective(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, gradient = evaluate(w)
-        return 0.5 * (w * w).sum(axis=0) + c * loss, w + c * gradient
-
-    w = np.zeros(shape)
-    value, gradient = objective(w)
-    goal = tolerance * np.sqrt((gradient * gradient).sum(axis=0))
-    steps: list[np.ndarray] = []
-    changes: list[np.ndarray] = []
-    direction = -gradient / np.maximum(1.0, np.sqrt((gradient * gradient).sum(axis=0)))
-    length = np.ones(shape[1])
-    for _ in range(max_passes):
-        active = np.sqrt((gradient * gradient).sum(axis=0)) > goal
-        if not active.any():
-            break
-        move = np.where(active, length, 0.0) * direction
-        new_value, new_gradient = objective(w + move)
-        slope = (gradient * move).sum(axis=0)
-        accepted = active & (new_value <= value + 1e-4 * slope)
+@dataclass
+class Descent:
+    """Where the classes (columns) of one group are on their way down; each has its own step length and stops on its own."""
+
+    w: np.ndarray
+    value: np.ndarray | None = None
+    gradient: np.ndarray | None = None
+    goal: np.ndarray | None = None
+    direction: np.ndarray | None = None
+    length: np.ndarray | None = None
+    steps: list[np.ndarray] = field(default_factory=list)
+    changes: list[np.ndarray] = field(default_factory=list)
+
+    def active(self) -> np.ndarray:
+        if self.value is None:
+            return np.ones(self.w.shape[1], bool)
+        return np.sqrt((self.gradient * self.gradient).sum(axis=0)) > self.goal
+
+    def _move(self) -> np.ndarray:
+        return np.where(self.active(), self.length, 0.0) * self.direction
+
+    def trial(self) -> np.ndarray:
+        """The weights at which the loss is wanted next."""
+        return self.w if self.value is None else self.w + self._move()
+
+    def step(self, loss: np.ndarray, slopes: np.ndarray, c: float, tolerance: float) -> None:
+        """Take loss and its gradient at the trial weights."""
+        at = self.trial()
+        new_value, new_gradient = 0.5 * (at * at).sum(axis=0) + c * loss, at + c * slopes
+        if self.value is None:
+            self.value, self.gradient = new_value, new_gradient
+            size = np.sqrt((new_gradient * new_gradient).sum(axis=0))
+            self.goal, self.direction = tolerance * size, -new_gradient / np.maximum(1.0, size)
+            self.length = np.ones(at.shape[1])
+            return
+        move, active = self._move(), self.active()
+        slope = (self.gradient * move).sum(axis=0)
+        accepted = active & (new_value <= self.value + 1e-4 * slope)
         # a rejected class tries again from where it is, at the minimum of the parabola through both values
-        curve = 2.0 * (new_value - value - slope)
+        curve = 2.0 * (new_value - self.value - slope)
         shrink = np.clip(-slope / np.where(curve > 0, curve, 1.0), 0.1, 0.5)
-        length = np.where(accepted, 1.0, np.where(active, length * shrink, length))
-        steps.append(np.where(accepted, move, 0.0))
-        changes.append(np.where(accepted, new_gradient - gradient, 0.0))
-        if not accepted.any():
-            steps.pop(), changes.pop()
-        steps, changes = steps[-MEMORY:], changes[-MEMORY:]
-        w = np.where(accepted, w + move, w)
-        value = np.where(accepted, new_value, value)
-        gradient = np.where(accepted, new_gradient, gradient)
-        direction = np.where(accepted, _direction(gradient, steps, changes), direction)
-    left = int((np.sqrt((gradient * gradient).sum(axis=0)) > goal).sum())
+        self.length = np.where(accepted, 1.0, np.where(active, self.length * shrink, self.length))
+        if accepted.any():
+            self.steps = [*self.steps, np.where(accepted, move, 0.0)][-MEMORY:]
+            self.changes = [*self.changes, np.where(accepted, new_gradient - self.gradient, 0.0)][-MEMORY:]
+        self.w = np.where(accepted, at, self.w)
+        self.value = np.where(accepted, new_value, self.value)
+        self.gradient = np.where(accepted, new_gradient, self.gradient)
+        self.direction = np.where(accepted, _direction(self.gradient, self.steps, self.changes), self.direction)
+
+
+_STATE = "g long, state binary, trial binary, moving long"
+
+
+def _state_row(g: int, at: Descent) -> pa.Table:
+    moving = int(at.active().sum())
+    trial = np.ascontiguousarray(at.trial()).tobytes() if moving else None
+    columns = [pa.array([g], pa.int64()), pa.array([pickle.dumps(at)], pa.binary()), pa.array([trial], pa.binary()), pa.array([moving], pa.int64())]
+    return pa.table(columns, names=["g", "state", "trial", "moving"])
+
+
+def _solve(blocks: DataFrame, n_terms: int, n_classes: int, width: int, c: float, tolerance: float, max_passes: int) -> str:
+    """Move all classes until each has stopped; one job per pass. Gives the folder of the last states.
+
+    A pass reads the states of the one before from the shared folder and writes its own, so a lost executor costs a
+    task. A group that has stopped is carried along and no longer compared with the rows.
+    """
+    spark = blocks.sparkSession
+    folder = qualified(spark, scratch_path(spark, "descent"))
+    n_groups = math.ceil(n_classes / width)
+    n_parts = blocks.select(F.spark_partition_id()).distinct().count()
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                yield from _state_row(g, Descent(np.zeros((n_terms, min(width, n_classes - g * width))))).to_batches()
+
+    def step(before: str) -> Callable[[pa.Table], pa.Table]:
+        def run(parts: pa.Table) -> pa.Table:
+            g = parts["g"][0].as_py()
+            at = pickle.loads(_read(before, g, "state").as_py())
+            if at.active().any():
+                sums = np.zeros((n_terms + 1, at.w.shape[1]))
+                for k, partial in zip(parts["k"].to_pylist(), parts["sums"]):
+                    sums[:, k - g * width] += np.frombuffer(partial.as_buffer())
+                at.step(sums[-1], sums[:-1], c, tolerance)
+            return _state_row(g, at)
+
+        return run
+
+    def written(states: DataFrame, number: int) -> int:
+        seen = Observation()
+        observed = states.observe(seen, F.sum("moving").alias("moving"))
+        observed.write.partitionBy("g").option("compression", "none").parquet(f"{folder}/{number}")
+        return seen.get["moving"]
+
+    left = written(spark.range(n_groups).mapInArrow(start, _STATE), 0)
+    for number in range(max_passes + 1):  # the first one finds where the classes start
+        if not left:
+            return f"{folder}/{number}"
+        before, n = f"{folder}/{number}", n_parts
+        parts = _partial_sums(blocks, before, n_terms, n_classes, width)
+        while n > FAN_IN:
+            n = math.ceil(n / FAN_IN)
+            parts = parts.withColumn("salt", F.col("salt") % n).groupBy("k", "salt").applyInArrow(_sum_partials, parts.schema)
+        moved = parts.groupBy("g").applyInArrow(step(before), _STATE)
+        left = written(moved, number + 1)
     if left:
-        raise RuntimeError(f"{left} of {shape[1]} classes have not converged in {max_passes} passes; allow more of them")
-    return w
+        raise RuntimeError(f"{left} of {n_classes} classes have not converged in {max_passes} passes; allow more of them")
+    return f"{folder}/{max_passes + 1}"
+
+
+def _weights(states: DataFrame, width: int) -> DataFrame:
+    """``(class_id, term_id, weight)`` of the weights that are not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                w = pickle.loads(packed.as_py()).w
+                term_id, k = np.nonzero(w)
+                columns = [pa.array(k + g * width, pa.int64()), pa.array(term_id, pa.int64()), pa.array(w[term_id, k])]
+                yield pa.RecordBatch.from_arrays(columns, names=["class_id", "term_id", "weight"])
+
+    return states.select("g", "state").mapInArrow(run, "class_id long, term_id long, weight double")
 
 
 @dataclass
@@ -232,9 +319,9 @@ class LinearModel:
 
         Equal (text, class) rows become one row with their number as weight, which leaves the objective as
         it is. ``class_weight='balanced'`` weighs the rows of a class, in its own problem, by
-        n / (classes * rows of the class). Classes are solved in groups of at most ``weight_cells`` weights
-        (at least one class), so that what the driver and a task hold depends on neither the rows nor the
-        number of classes; bound the vocabulary with ``min_df``.
+        n / (classes * rows of the class). Classes are moved in groups of at most ``weight_cells`` weights
+        (at least one class), so that what a task holds depends on neither the rows nor the
+        number of classes; bound the vocabulary with ``min_df``. The driver holds none of it.
         """
         if class_weight not in (None, "balanced"):
             raise ValueError("class_weight must be None or 'balanced'")
@@ -245,7 +332,12 @@ class LinearModel:
         terms = class_table(idf, "token", "term_id", "token")
         distinct = rows.groupBy("__text", "class_name").agg(F.count(F.lit(1)).alias("copies")).persist()
         classes = class_table(distinct, "class_name", "class_id")
-        counted = distinct.join(classes, "class_name")
+        n_rows, n_classes = distinct.agg(F.sum("copies"), F.count_distinct("class_name")).first()
+        if not n_classes:
+            raise ValueError("there are no training rows with a class")
+        positive = F.lit(float(n_rows)) / (F.lit(n_classes) * F.sum("copies")) if class_weight else F.lit(1.0)
+        known = distinct.groupBy("class_name").agg(positive.alias("positive")).join(classes, "class_name")
+        counted = lookup_join(distinct, known.withColumnRenamed("class_name", "__name"), "class_name", "__name", "inner")
 
         texts = counted.select("__text").distinct()
         vectors = tfidf_transform(texts, "__text", "__text", idf, settings).join(terms, "token")
@@ -256,32 +348,21 @@ class LinearModel:
         examples = counted.join(packed, "__text").select(
             F.col("class_id"),
             F.col("copies").cast("double").alias("copies"),
+            F.col("positive"),
             F.col("v.term_id").alias("terms"),
             F.col("v.weight").alias("weights"),
         )
-        per_class = counted.groupBy("class_id").agg(F.sum("copies")).orderBy("class_id").toArrow()
-        counts = per_class.column(1).to_numpy().astype(np.float64)
-        if not len(counts):
-            raise ValueError("there are no training rows with a class")
-        positive = counts.sum() / (len(counts) * counts) if class_weight else np.ones(len(counts))
-
-        width = max(1, weight_cells // n_terms)
-        blocks = _training_blocks(examples, max(1, SCORE_CELLS // min(width, len(counts)))).persist()
-        n_parts = blocks.select(F.spark_partition_id()).distinct().count()
-        path = scratch_path(spark, "weights")
-        for first in range(0, len(counts), width):
-            group = positive[first : first + width]
-            evaluate = _distributed_sums(blocks, n_parts, n_terms, first, group)
-            w = _minimise(evaluate, (n_terms, len(group)), c, tolerance, max_passes)
-            term_id, k = np.nonzero(w)
-            table = pd.DataFrame({"class_id": k + first, "term_id": term_id, "weight": w[term_id, k]})
-            spark.createDataFrame(table, "class_id long, term_id long, weight double").write.mode("append").parquet(path)
-        blocks.unpersist()
+
+        width = min(max(1, weight_cells // n_terms), n_classes)
+        path = scratch_path(spark, "training")
+        _training_blocks(examples, max(1, SCORE_CELLS // width)).write.parquet(path)
+        solved = _solve(spark.read.parquet(path), n_terms, n_classes, width, c, tolerance, max_passes)
         distinct.unpersist()
         tokens = terms.unionByName(
             spark.createDataFrame([(n_terms - 1, BIAS)], "term_id long, token string")
         )
-        weights = spark.read.parquet(path).join(tokens, "term_id").select("class_id", "token", "weight")
+        found = _weights(spark.read.schema(_STATE).parquet(solved), width)
+        weights = found.join(tokens, "term_id").select("class_id", "token", "weight")
         return cls(settings, idf, weights.persist(), classes)
 
     def predict(

@@ -12,6 +12,12 @@ def _open(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as tasks need it."""
+    target, system = _open(spark, path)
+    return system.makeQualified(target).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target, system = _open(spark, path)
     return system.exists(target)
