@@ -27,7 +27,7 @@ from tierlabel.operators.sparse import BIAS, BLOCK_BYTES, best_reference
 from tierlabel.operators.tables import lookup_join
 from tierlabel.operators.tfidf import TfidfSettings, load_settings, save_settings, tfidf_fit, tfidf_transform
 from tierlabel.session import scratch_path
-from tierlabel.sources.folders import qualified
+from tierlabel.sources.folders import kept_until_the_end, remove
 
 WEIGHT_CELLS = 250_000  # weights of one group of classes: terms x classes
 HELD_BYTES = 64 << 20  # training blocks that a task holds while the groups' weights pass by
@@ -228,14 +228,13 @@ def _state_row(g: int, at: Descent) -> pa.Table:
     return pa.table(columns, names=["g", "state", "trial", "moving"])
 
 
-def _solve(blocks: DataFrame, n_terms: int, n_classes: int, width: int, c: float, tolerance: float, max_passes: int) -> str:
+def _solve(blocks: DataFrame, folder: str, n_terms: int, n_classes: int, width: int, c: float, tolerance: float, max_passes: int) -> str:
     """Move all classes until each has stopped; one job per pass. Gives the folder of the last states.
 
     A pass reads the states of the one before from the shared folder and writes its own, so a lost executor costs a
-    task. A group that has stopped is carried along and no longer compared with the rows.
+    task. Older states are removed. A group that has stopped is carried along and no longer compared with the rows.
     """
     spark = blocks.sparkSession
-    folder = qualified(spark, scratch_path(spark, "descent"))
     n_groups = math.ceil(n_classes / width)
     n_parts = blocks.select(F.spark_partition_id()).distinct().count()
 
@@ -274,6 +273,7 @@ def _solve(blocks: DataFrame, n_terms: int, n_classes: int, width: int, c: float
             parts = parts.withColumn("salt", F.col("salt") % n).groupBy("k", "salt").applyInArrow(_sum_partials, parts.schema)
         moved = parts.groupBy("g").applyInArrow(step(before), _STATE)
         left = written(moved, number + 1)
+        remove(spark, before)
     if left:
         raise RuntimeError(f"{left} of {n_classes} classes have not converged in {max_passes} passes; allow more of them")
     return f"{folder}/{max_passes + 1}"
@@ -354,9 +354,9 @@ class LinearModel:
         )
 
         width = min(max(1, weight_cells // n_terms), n_classes)
-        path = scratch_path(spark, "training")
-        _training_blocks(examples, max(1, SCORE_CELLS // width)).write.parquet(path)
-        solved = _solve(spark.read.parquet(path), n_terms, n_classes, width, c, tolerance, max_passes)
+        folder = kept_until_the_end(spark, scratch_path(spark, "linear"))
+        _training_blocks(examples, max(1, SCORE_CELLS // width)).write.parquet(f"{folder}/training")
+        solved = _solve(spark.read.parquet(f"{folder}/training"), folder, n_terms, n_classes, width, c, tolerance, max_passes)
         distinct.unpersist()
         tokens = terms.unionByName(
             spark.createDataFrame([(n_terms - 1, BIAS)], "term_id long, token string")

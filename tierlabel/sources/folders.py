@@ -18,6 +18,20 @@ def qualified(spark: SparkSession, path: str) -> str:
     return system.makeQualified(target).toString()
 
 
+def kept_until_the_end(spark: SparkSession, path: str) -> str:
+    """Make a folder that goes when the application ends; its path with its file system."""
+    target, system = _open(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return qualified(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    target, system = _open(spark, path)
+    system.delete(target, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target, system = _open(spark, path)
     return system.exists(target)
