@@ -18,6 +18,7 @@ from tierlabel.operators.linear import Descent, LinearModel, _direction
 from tierlabel.operators.tables import split_dataset
 from tierlabel.operators.tfidf import TfidfSettings, packed_vectors, tfidf_fit, tfidf_transform
 from tierlabel.plans import inputs
+from tierlabel.plans.catalog import ORACLE, QUERIES
 from tierlabel.plans.bundle import catalogue_handle, load_ensemble, save_ensemble, versions
 from tierlabel.plans.ensemble import OUTPUT_COLUMNS, Ensemble, as_items, title_vectors, train, train_and_test
 from tierlabel.plans.jobs import classify_file, write_profile
@@ -384,6 +385,20 @@ def test_translation(spark):
     assert rows(translate_non_english(items, "t", "lang").select("translated")) == rows(items.select("t"))
 
 
+def test_a_text_of_two_languages(spark, tmp_path):
+    items = spark.createDataFrame([(1, "de la", "fr"), (2, "de la", "es"), (3, "de la", "en"), (4, "de la", None)], "id int, t string, __lang string")
+    memory = spark.createDataFrame([("de la", "fr", "of the"), ("de la", "it", "WRONG")], "source string, lang string, translation string")
+    got = translate_non_english(items, "t", "__lang", memory)
+    assert got.columns == ["id", "t", "__lang", "translated"]
+    assert [r.translated for r in got.orderBy("id").collect()] == ["of the", "de la", "de la", "de la"]
+    got = translate_non_english(items, "t", "__lang", memory, lambda texts: [t.upper() for t in texts])
+    assert [r.translated for r in got.orderBy("id").collect()] == ["of the", "DE LA", "de la", "de la"]
+    docs = items.filter("__lang IS NOT NULL").toDF("doc_id", "text", "lang")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.createOrReplaceTempView("documents")
+    same(QUERIES["x06_translate_non_english"](spark, str(tmp_path)), spark.sql(ORACLE["x06_translate_non_english"]))
+
+
 def test_language_of_short_and_empty_texts(spark):
     docs = spark.createDataFrame([("the ring the", "en"), ("der ring der", "de"), ("den ding", "de")], "t string, lang string")
     model = LanguageModel.fit(docs, "t", "lang")
