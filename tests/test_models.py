@@ -10,7 +10,7 @@ from tierlabel.operators.catalogue import CatalogueModel
 from tierlabel.operators.hierarchy import classify, hierarchical_classify
 from tierlabel.operators.language import LanguageModel, translate_non_english
 from tierlabel.operators import language as L
-from tierlabel.operators import sparse
+from tierlabel.operators import sparse, tfidf
 from tierlabel.operators.sparse import best_reference
 from tierlabel.operators.memory import TranslationMemory
 from tierlabel.operators import linear
@@ -385,6 +385,16 @@ def test_translation(spark):
     assert rows(translate_non_english(items, "t", "lang").select("translated")) == rows(items.select("t"))
 
 
+def test_a_task_counts_a_bounded_number_of_tokens(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tfidf, "TASK_TOKENS", 1000, raising=False)
+    spark.range(2000).selectExpr("id AS p_partkey", "'A' AS p_type", "'B' AS p_brand", "concat('part ', id) AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/part.parquet")
+    counted = [tfidf.term_counts(docs, "p_partkey", "p_name", TfidfSettings()), *[QUERIES[f"v01_tokenize_{n}"](spark, str(tmp_path)) for n in ("word_pairs", "within_words")]]
+    for found in counted:
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) >= 4000 and max(sizes) <= 3000
+
+
 def test_a_text_of_two_languages(spark, tmp_path):
     items = spark.createDataFrame([(1, "de la", "fr"), (2, "de la", "es"), (3, "de la", "en"), (4, "de la", None)], "id int, t string, __lang string")
     memory = spark.createDataFrame([("de la", "fr", "of the"), ("de la", "it", "WRONG")], "source string, lang string, translation string")
