@@ -385,6 +385,25 @@ def test_translation(spark):
     assert rows(translate_non_english(items, "t", "lang").select("translated")) == rows(items.select("t"))
 
 
+def test_the_blocks_of_a_stage_pass_by_in_one_worker(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id long, __vector array<double>")
+    found = D.best_matches(vectors, vectors, 2, "id", "id", broadcast_cells=60)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    same(found.select("id", "__refs"), D.best_matches(vectors, vectors, 2, "id", "id").select("id", "__refs"))
+    texts = spark.createDataFrame([(i, f"a{i % 9} b{i % 5} c") for i in range(60)], "id long, t string")
+    idf = tfidf_fit(texts, "t")
+    weights = tfidf_transform(texts, "id", "t", idf)
+    found = best_reference(texts, "t", TfidfSettings(), idf, weights, "id", 2000)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2  # norms, and all blocks
+    same(found, best_reference(texts, "t", TfidfSettings(), idf, weights, "id"))
+
+
+def test_hashes_are_taken_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(D, "TOKEN_SLICE", 10, raising=False)
+    length = np.array([3, 4, 5, 50, 0, 0, 2])
+    assert list(D.token_slices(length)) == [(0, 2), (2, 3), (3, 4), (4, 7)] and list(D.token_slices(length[:0])) == []
+
+
 def test_a_task_counts_a_bounded_number_of_tokens(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tfidf, "TASK_TOKENS", 1000, raising=False)
     spark.range(2000).selectExpr("id AS p_partkey", "'A' AS p_type", "'B' AS p_brand", "concat('part ', id) AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
