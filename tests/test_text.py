@@ -77,3 +77,16 @@ def test_stop_words_and_accents(spark):
 def test_wrong_options():
     with pytest.raises(ValueError):
         X.tokens(None, ngram_range=(2, 1))
+
+
+def test_normal_forms_are_made_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from tierlabel.functions import text
+
+    monkeypatch.setattr(text, "TEXT_SLICE", 5, raising=False)
+    seen = []
+    given = pa.array(["abc", "de", None, "a long one", "", "f"])
+    assert text._in_slices(given, lambda part: seen.append(part.to_pylist()) or part).equals(given)
+    assert seen == [["abc", "de", None], ["a long one"], ["", "f"]]
+    assert text._in_slices(given[:0], lambda part: part).to_pylist() == []
