@@ -94,3 +94,10 @@ def test_training_that_has_not_converged_is_told(documents):
     with pytest.warns(UserWarning, match="not converged in 2 passes"):
         fit_licenses(documents([(1, "a line")]), LicenseSettings(max_passes=2))
     assert LicenseSettings().max_passes == 60
+
+
+def test_every_scored_line_is_trained_on_or_held_out(documents):
+    """More of them than a sample of 4,000 once took."""
+    rows = [(i, "\n".join(f"they need written permission of the copyright office for plan {i} {k}" for k in range(10))) for i in range(900)]
+    got = licenses.labelled(documents(rows), LicenseSettings(), all_lines=False).filter("scored")
+    assert got.select("terms").distinct().count() == 9000

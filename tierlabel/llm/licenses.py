@@ -7,9 +7,10 @@ vectors of hashed words and word pairs, and a multinomial logistic regression gi
 probability from which a family is believed is calibrated on held-out unknown paragraphs. A believed family is confirmed
 if the paragraph shares ``similar`` of its word pairs with a template of that family, or the template with it.
 
-The classifier is fitted on the templates, on stretches of them, and on bounded samples (``sample_paragraphs`` each) of
-corpus paragraphs as unknown: of those that are scored but that no template confirms, and of those that are not scored.
-The probability is calibrated on held-out ones of the former. All of it is DataFrame functions and Spark's own vectorizer and regression; scoring is one pass
+The classifier is fitted on the templates, on stretches of them, and on all corpus paragraphs that are scored but that no
+template confirms, as unknown: nothing is sampled. A fifth of these is held out, and on all of it the probability is calibrated.
+Paragraphs that are not scored, for which the classifier is never asked, are not among its training rows. Equal paragraphs are one row with
+their number as weight. All of it is DataFrame functions and Spark's own vectorizer and regression; scoring is one pass
 over the texts without a shuffle (the templates, some dozens of fixed rows, are broadcast).
 
 Edge cases: null and empty texts, and paragraphs of white space, give no rows; a paragraph that occurs repeatedly is
@@ -111,18 +112,17 @@ OTHERS = [
 
 _WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _TOLERANCE = 1e-6  # share of the objective that a pass gains at the end
+TASK_ROWS = 20_000  # distinct training paragraphs of a task
 _LEAST_PAIRS = 5  # of a paragraph that may be a part of a template
 
 
 @dataclass(frozen=True)
 class LicenseSettings:
     features: int = 8192
-    sample_paragraphs: int = 4000
     similar: float = 0.7
     false_share: float = 0.005  # of held-out unknown paragraphs that may pass for a family
     least_probability: float = 0.5
     max_passes: int = 60  # of the training
-    seed: int = 3
     id_col: str = "doc_id"
     text_col: str = "text"
 
@@ -192,28 +192,28 @@ def _alike(shape: Column) -> Column:
 
 
 def unknown_paragraphs(lines: DataFrame, settings: LicenseSettings) -> DataFrame:
-    """(paragraph, scored): at most ``sample_paragraphs`` lines that are scored and that no template confirms, and as many others."""
+    """(paragraph, scored): the lines that are scored and that no template confirms, and all that are not scored."""
     shapes = F.array(*[F.array(*[F.lit(p) for p in own]) for own in _shapes()])
     near = _near(lines, settings).filter(F.array_max(F.transform(shapes, _alike)) < settings.similar)
     far = lines.filter(_shared_at_most(F.col("paragraph")) < least_shared(settings))
-    n = settings.sample_paragraphs
-    return near.select("paragraph", F.lit(True).alias("scored")).limit(n).union(far.select("paragraph", F.lit(False)).limit(n))
+    return near.select("paragraph", F.lit(True).alias("scored")).union(far.select("paragraph", F.lit(False)))
 
 
-def labelled(docs: DataFrame, settings: LicenseSettings) -> DataFrame:
-    """(family, terms, scored): templates, stretches of them of eight words and more, and unknown paragraphs."""
+def labelled(docs: DataFrame, settings: LicenseSettings, all_lines: bool = True) -> DataFrame:
+    """(family, terms, scored): templates, stretches of them of eight words and more, and unknown paragraphs.
+
+    Without ``all_lines``, of the corpus only those that are scored.
+    """
     spark = docs.sparkSession
     whole = templates(spark).withColumn("own", F.split("paragraph", " "))
     starts = F.sequence(F.lit(0), F.greatest(F.size("own") - 8, F.lit(0)))
     stretches = whole.withColumn("start", F.explode(starts)).withColumn("length", F.explode(F.array(*[F.lit(n) for n in (8, 12, 200)])))
     stretches = stretches.withColumn("paragraph", F.array_join(F.slice("own", F.col("start") + 1, F.col("length")), " "))
     known = whole.union(whole).union(whole).select("family", "paragraph").union(stretches.select("family", "paragraph"))
-    n = docs.count()
-    fraction = min(1.0, settings.sample_paragraphs / max(n, 1))
-    lines = docs.select(settings.text_col).sample(fraction, settings.seed)
-    lines = lines.select(F.explode(F.split(settings.text_col, "\n")).alias("paragraph"))
+    lines = docs.select(F.explode(F.split(settings.text_col, "\n")).alias("paragraph"))
+    found = unknown_paragraphs(lines, settings)
     fixed = spark.range(8).select(F.explode(F.array(*[F.lit(x) for x in OTHERS])).alias("paragraph"))
-    unknown = unknown_paragraphs(lines, settings).union(fixed.select("paragraph", F.lit(False)))
+    unknown = (found if all_lines else found.filter("scored")).union(fixed.select("paragraph", F.lit(False)))
     both = known.select("family", "paragraph", F.lit(False).alias("scored")).union(unknown.select(F.lit(UNKNOWN), "paragraph", "scored"))
     return _with_terms(both).select("family", "terms", "scored").filter(F.size("terms") > 0)
 
@@ -238,22 +238,24 @@ def fit_licenses(docs: DataFrame, settings: LicenseSettings = LicenseSettings())
     families = sorted([*TEMPLATES, UNKNOWN])
     names = F.array(*[F.lit(f) for f in families])
     vectors = HashingTF(inputCol="terms", outputCol="features", numFeatures=settings.features, binary=True)
-    rows = labelled(docs, settings).withColumn("label", (F.array_position(names, F.col("family")) - 1).cast("double"))
+    rows = labelled(docs, settings, all_lines=False).groupBy("family", "terms", "scored").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("label", (F.array_position(names, F.col("family")) - 1).cast("double"))
     rows = rows.withColumn("held_out", F.pmod(F.xxhash64("terms"), F.lit(5)) == 0).persist()
     # weights: each class counts alike
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("label").agg(F.sum("copies").alias("n"))
     train = rows.filter((F.col("family") != UNKNOWN) | ~F.col("held_out")).join(F.broadcast(counts), "label")
-    train = train.withColumn("weight", F.lit(1000.0) / F.col("n"))
+    train = train.withColumn("weight", F.lit(1000.0) * F.col("copies") / F.col("n"))
     regression = LogisticRegression(
         family="multinomial", weightCol="weight", regParam=0.002, elasticNetParam=0.05, maxIter=settings.max_passes, tol=_TOLERANCE
     )
-    # a bounded set: few tasks per step
-    fitted = regression.fit(vectors.transform(train).select("features", "label", "weight").coalesce(2))
+    # few tasks per step, as many as the rows need
+    n_tasks = max(2, math.ceil(rows.count() / TASK_ROWS))
+    fitted = regression.fit(vectors.transform(train).select("features", "label", "weight").repartition(n_tasks, "features"))
     history = fitted.summary.objectiveHistory
     if len(history) > settings.max_passes and history[-2] - history[-1] > _TOLERANCE * abs(history[-1]):
         warnings.warn(f"the license classifier has not converged in {settings.max_passes} passes: {history[-2]} to {history[-1]}", stacklevel=2)
     model = LicenseModel(vectors, fitted, families, settings.least_probability)
-    held_out = model.predict(rows.filter(F.col("scored") & F.col("held_out")).select("terms"))
+    held_out = model.predict(rows.filter(F.col("scored") & F.col("held_out")).select("terms", F.explode(F.sequence(F.lit(1), F.col("copies")))))
     passed = F.when(F.col("family") != UNKNOWN, F.col("probability")).otherwise(0.0)
     limit = held_out.agg(F.percentile_approx(passed, 1 - settings.false_share, 10_000)).first()[0]
     model.threshold = max(settings.least_probability, limit or 0.0)
