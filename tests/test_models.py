@@ -329,6 +329,19 @@ def test_svm_in_groups_parts_and_tiny_holds(spark, monkeypatch):
     assert [pieces[k] for k in whole] == pytest.approx(list(whole.values()), abs=1e-4)
 
 
+def test_svm_training_shuffles_no_texts_and_leaves_no_sums(spark, tmp_path, monkeypatch):
+    """Texts are no key of the token rows, and the sums of a pass go with it."""
+    monkeypatch.setattr(linear, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    asked = []
+    if hasattr(linear, "tfidf_transform"):
+        monkeypatch.setattr(linear, "tfidf_transform", lambda *a: asked.append(a[1]) or tfidf_transform(*a))
+    train = spark.createDataFrame([("a b c", "x"), ("b c d", "y"), ("a a", "x"), ("", "y")], "t string, c string")
+    LinearModel.fit(train, "t", "c")
+    assert not asked
+    left = sorted(p.name for p in (tmp_path / "linear").iterdir() if not p.name.startswith("."))
+    assert len(left) == 2 and "training" in left  # and the last states
+
+
 def test_svm_jobs_do_not_grow_with_groups_and_no_silent_stop(spark):
     data = [(f"{a} {b} {a}{b}", f"c{a}") for a in range(6) for b in range(6)]
     train = spark.createDataFrame(data, "t string, c string")
