@@ -1,5 +1,7 @@
 """Vectors, classifiers, languages, ensemble and stream."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from row_helpers import rows
@@ -109,6 +111,21 @@ def test_encoder_of_empty_text(spark):
     assert abs(sum(x * x for x in got[3]) - 1) < 1e-6
 
 
+@pytest.mark.parametrize("dim", [6, 64, 128, 1 << 15])
+def test_encoder_sends_small_numbers_and_keeps_its_hashes(spark, dim):
+    df = spark.createDataFrame([("a red ring",), ("blue",)], "text string")
+    got = df.select("text", D.hashed_encoder(F.col("text"), dim).alias("v"))
+    kind = "tinyint" if dim <= 64 else "smallint" if dim <= 1 << 14 else "bigint"
+    assert f"as {kind})" in got._jdf.queryExecution().analyzed().toString()
+    for row in got.collect():
+        want = np.zeros(dim)
+        for word in row.text.split():
+            for i in range(len(word)):
+                h = int(hashlib.md5(f" {word} "[i : i + 3].encode()).hexdigest()[:15], 16)
+                want[h % dim] += 1 - 2 * (h // dim % 2)
+        assert row.v == pytest.approx(list(want / np.linalg.norm(want)), abs=1e-6)
+
+
 # --- nearest labels ---
 
 
@@ -411,6 +428,16 @@ def test_the_blocks_of_a_stage_pass_by_in_one_worker(spark):
     same(found, best_reference(texts, "t", TfidfSettings(), idf, weights, "id"))
 
 
+def test_detection_takes_texts_in_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([("the ring and the bolt", "en"), ("la rueda y el perno", "es"), ("", "en")], "text string, lang string")
+    model = LanguageModel.fit(docs, "text", "lang")
+    asked = docs.select("text").unionByName(docs.select("text")).unionByName(spark.createDataFrame([(None,)], "text string")).coalesce(1)
+    want = rows(model.detect(asked, "text"))
+    assert list(L._slices([3, 4, 5, 50, 0, 2], 10)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    monkeypatch.setattr(L, "DETECT_SLICE", 1)
+    assert rows(model.detect(asked, "text")) == want
+
+
 def test_hashes_are_taken_in_slices(spark, monkeypatch):
     monkeypatch.setattr(D, "TOKEN_SLICE", 10, raising=False)
     length = np.array([3, 4, 5, 50, 0, 0, 2])
