@@ -428,6 +428,36 @@ def test_the_blocks_of_a_stage_pass_by_in_one_worker(spark):
     same(found, best_reference(texts, "t", TfidfSettings(), idf, weights, "id"))
 
 
+def test_a_task_compares_equal_texts_once(spark):
+    texts = spark.createDataFrame([(i, f"a{i % 9} b{i % 5} c") for i in range(60)], "id long, t string")
+    idf = tfidf_fit(texts, "t")
+    weights = tfidf_transform(texts, "id", "t", idf)
+    asked = texts.unionByName(texts).unionByName(texts).coalesce(1).orderBy("id")
+    skipped = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        for name, given in (("once", texts.coalesce(1)), ("thrice", asked.coalesce(1))):
+            skipped[name] = spark.sparkContext.accumulator(0)
+            found = best_reference(given, "t", TfidfSettings(), idf, weights, "id", 2000, skipped[name])
+            got = found.select("t", "__ref", "__score").distinct()
+            assert rows(got) == rows(best_reference(texts, "t", TfidfSettings(), idf, weights, "id").select("t", "__ref", "__score").distinct())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 0 < skipped["thrice"].value <= skipped["once"].value
+
+
+def test_catalogue_labels_come_with_the_search(spark):
+    """One Python worker a task, with the labels of texts that match nothing too; more blocks and a join give the same."""
+    catalogue = spark.createDataFrame([(i, f"s{i}", f"b{i}", f"p{i}", f"s{i}", None if i == 3 else f"f{i}", f"c{i}") for i in range(2, 9)], CATALOGUE)
+    items = spark.createDataFrame([(1, "p4"), (2, "b3 p3"), (3, "no such word"), (4, None)], "Segment int, t string")
+    model = CatalogueModel.fit(catalogue)
+    found = model.predict(items, "t")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = {1: ("s4", "f4", "c4"), 2: ("s3", None, "c3"), 3: ("s2", "f2", "c2"), 4: ("s2", "f2", "c2")}
+    assert {r.Segment: (r.brand_segment, r.brand_family, r.brand_class) for r in found.collect()} == want
+    same(found, model.predict(items, "t", block_bytes=300))
+
+
 def test_detection_takes_texts_in_slices(spark, monkeypatch):
     docs = spark.createDataFrame([("the ring and the bolt", "en"), ("la rueda y el perno", "es"), ("", "en")], "text string, lang string")
     model = LanguageModel.fit(docs, "text", "lang")
