@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tierlabel.operators import dense as D
 from tierlabel.operators.catalogue import CatalogueModel
+from tierlabel.operators.evaluation import accuracy
 from tierlabel.operators.hierarchy import classify, hierarchical_classify
 from tierlabel.operators.language import LanguageModel, translate_non_english
 from tierlabel.operators import language as L
@@ -624,6 +625,56 @@ def test_ensemble_output_and_test_job(spark, small, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "predictions.csv")).count() == split.filter("is_test").count()
 
 
+def test_equal_items_are_fitted_on_and_scored_once(spark, small, tmp_path, monkeypatch):
+    items = inputs.items(spark, small).drop("item_id")
+    items = items.unionByName(items.filter("class LIKE 'h%'")).unionByName(items).repartition(5)
+    gpc, catalogue, memory = inputs.full_taxonomy(spark, small), inputs.catalogue(spark, small), inputs.item_memory(spark, small)
+    held_out = items.filter("family < 'Brand#2'").unionByName(items.orderBy(*items.columns).limit(1).withColumn("product_name", F.lit(None).cast("string")))
+    fitted, scored = [], []
+    fit, run = LinearModel.fit.__func__, Ensemble.run
+    monkeypatch.setattr(LinearModel, "fit", classmethod(lambda cls, rows, *a, **o: fitted.append(rows.count()) or fit(cls, rows, *a, **o)))
+    monkeypatch.setattr(Ensemble, "run", lambda self, rows, **o: scored.append(rows.count()) or run(self, rows, **o))
+    options = {"lang": "lang", "memory": memory}
+    once = rows(train_and_test(items, held_out, gpc, catalogue, **options))
+    every = rows(train_and_test(items, held_out, gpc, catalogue, output=str(tmp_path / "predictions.csv"), **options))
+    assert once == every
+    assert fitted == [items.select("product_name", "lang", "class").distinct().count()] * 2
+    assert scored == [held_out.distinct().count(), held_out.count()]
+
+
+def test_models_read_their_tables_once(spark, small):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    items, catalogue = inputs.items(spark, small).repartition(3), inputs.catalogue(spark, small)
+    LinearModel.fit(items.select(seen("product_name").alias("t"), "class"), "t", "class")
+    assert read.value == items.count()
+    read.value = 0
+    model = CatalogueModel.fit(catalogue.repartition(3).withColumn("Product", seen("Product")).withColumn("Class", seen("Class")))
+    model.predict(items, "product_name").count()
+    assert read.value == 2 * catalogue.count()
+
+
+def test_copies_count_as_rows(spark):
+    each = [("a b", "x", "x", 2), ("b c", "y", "x", 3), ("", None, None, 1), (None, "x", "x", 1)]
+    packed = spark.createDataFrame(each, "t string, class string, pred_class string, n long")
+    loose = packed.withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).drop("n", "i")
+    assert rows(tfidf_fit(packed, "t", copies="n")) == rows(tfidf_fit(loose, "t"))
+    assert rows(accuracy(packed, ["class"], copies="n")) == rows(accuracy(loose, ["class"])) == [(round(3 / 7, 9),)]
+    assert rows(accuracy(packed.limit(0), ["class"], copies="n")) == rows(accuracy(loose.limit(0), ["class"])) == [(None,)]
+    options = {"tolerance": 1e-7, "max_passes": 500, "class_weight": "balanced"}
+    whole, counted = (
+        {(r.class_id, r.token): r.weight for r in LinearModel.fit(df, "t", "class", **options, **o).weights.collect()}
+        for df, o in ((loose, {}), (packed, {"copies": "n"}))
+    )
+    assert whole.keys() == counted.keys()
+    assert [counted[k] for k in whole] == pytest.approx(list(whole.values()), abs=1e-6)
+
+
 def test_jobs_from_files_to_files(spark, small, tmp_path):
     gpc, catalogue = inputs.full_taxonomy(spark, small), inputs.catalogue(spark, small)
     model = CatalogueModel.fit(catalogue)

@@ -195,5 +195,10 @@ def test_split_sizes(spark, n):
     assert split.filter("is_test").count() == -(-n // 5)
 
 
+def test_split_is_cut_once_for_both_sides(spark):
+    split = T.split_dataset(spark.range(50).select("id", F.lit("a").alias("class")), "id")
+    assert "Subquery" not in split._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_of_nothing(spark):
     assert T.split_dataset(spark.range(0).select("id", F.lit("a").alias("class")), "id").count() == 0

@@ -29,10 +29,11 @@ def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def accuracy(df: DataFrame, levels: Sequence[str] = LEVELS, prefix: str = "pred_") -> DataFrame:
-    """One row: the share of right predictions for each level."""
+def accuracy(df: DataFrame, levels: Sequence[str] = LEVELS, prefix: str = "pred_", copies: str | None = None) -> DataFrame:
+    """One row: the share of right predictions for each level. With a column ``copies`` a row counts as that many."""
+    each = F.lit(1) if copies is None else F.col(copies)
     return df.agg(
-        *[F.round(F.avg(_right(lv, f"{prefix}{lv}").cast("double")), 9).alias(f"{lv}_accuracy") for lv in levels]
+        *[F.round(F.sum(F.when(_right(lv, f"{prefix}{lv}"), each).otherwise(0)) / F.sum(each), 9).alias(f"{lv}_accuracy") for lv in levels]
     )
 
 
