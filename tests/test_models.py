@@ -1,6 +1,7 @@
 """Vectors, classifiers, languages, ensemble and stream."""
 
 import hashlib
+import pickle
 
 import numpy as np
 import pytest
@@ -347,6 +348,55 @@ def test_svm_in_groups_parts_and_tiny_holds(spark, monkeypatch):
     assert [pieces[k] for k in whole] == pytest.approx(list(whole.values()), abs=1e-4)
 
 
+def test_svm_in_pieces_of_the_vocabulary(spark, tmp_path, monkeypatch):
+    """A task holds a piece of a group's weights; the pieces agree on every step, and nothing but the last states is left."""
+    import random
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    data = [(" ".join(r.choices(words[k * 10 : k * 10 + 20], k=6)), f"c{k}") for k in range(3) for _ in range(20)]
+    train = spark.createDataFrame([*data, (None, "c0"), ("", "c1"), ("w1 w2", None)], "t string, c string").repartition(2)
+    close = {"class_weight": "balanced", "tolerance": 1e-4}  # the optimum is unique
+    whole = fitted(train, **close)
+    monkeypatch.setattr(linear, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(linear, "PIECE_TERMS", 15, raising=False)
+    monkeypatch.setattr(linear, "HELD_BYTES", 300)
+    pieces = fitted(train, **close, weight_cells=40)
+    assert whole.keys() == pieces.keys()
+    assert [pieces[k] for k in whole] == pytest.approx(list(whole.values()), abs=3e-3)
+    left = sorted(p.name for p in (tmp_path / "linear").iterdir() if not p.name.startswith("."))
+    assert len(left) == 2 and "training" in left
+    states = spark.read.parquet(str(tmp_path / "linear" / left[0])).select("state").collect()
+    cells = [pickle.loads(x.state).w.size for x in states]
+    assert len(whole) <= sum(cells) <= 3 * 41 and max(cells) <= 40  # not all terms of a class
+
+
+def test_wide_references_are_cut(spark, monkeypatch):
+    """A reference that is larger than a block is not held as a whole, and its scores are the same."""
+    import random
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    idf = spark.createDataFrame([(w, 1.0 + i / 60) for i, w in enumerate(words)], "token string, idf double")
+    weights = [(f"r{k}", w, r.uniform(-1, 1)) for k in range(5) for w in [*words, ""] if r.random() < 0.9]
+    refs = spark.createDataFrame(weights, "ref string, token string, weight double")
+    texts = [None, "", "zz", *[" ".join(r.choices([*words, "zz"], k=r.randrange(1, 12))) for _ in range(60)]] * 2
+    items = spark.createDataFrame([(i % 9 or None, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+    for norm in ("l2", "l1", None):
+        settings = TfidfSettings(norm=norm)
+        want = sorted(map(tuple, best_reference(items, "t", settings, idf, refs, "ref").collect()), key=repr)
+        built = []
+        with monkeypatch.context() as m:
+            for name, value in (("WIDE_CLASSES", 2), ("WIDE_CELLS", 30), ("HELD_BYTES", 500)):
+                m.setattr(sparse, name, value, raising=False)
+            build = sparse.Block.build
+            m.setattr(sparse.Block, "build", lambda *a: built.append(len(a[0])) or build(*a))
+            got = sorted(map(tuple, best_reference(items, "t", settings, idf, refs, "ref", 1500).collect()), key=repr)
+        assert max(built, default=0) * sparse.POSTING_BYTES <= 1500
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-8)
+
+
 def test_svm_training_shuffles_no_texts_and_leaves_no_sums(spark, tmp_path, monkeypatch):
     """Texts are no key of the token rows, and the sums of a pass go with it."""
     monkeypatch.setattr(linear, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
